@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sieveline import fixed
+from sieveline.functions.bind import bind
 from sieveline.functions.patterns import SPACES
 
 DAY_MICROS = 86_400_000_000
@@ -26,41 +27,43 @@ def parse_month(raw: Column, year_only_month: int, as_of: Column) -> Column:
     Reads a month name and year, month/year, year-month, a bare year (``year_only_month`` decides the
     month, 0 for starts and 11 for ends) and the words for "still there".
     """
-    text = F.regexp_replace(F.trim(F.regexp_replace(raw, f"^[{SPACES}]+|[{SPACES}]+$", "")), "[.,]", " ")
-    text = F.regexp_replace(text, f"[{SPACES}]+", " ")
+    spaced = F.regexp_replace(F.regexp_replace(raw, f"^[{SPACES}]+|[{SPACES}]+$", ""), "[.,]", " ")
     named = r"(?i)^([a-z]{3,9}) *'?(\d{2}|\d{4})$"
-    name = F.lower(F.regexp_extract(text, named, 1))
-    name_month = F.array_position(F.array(*[F.lit(m) for m in fixed.MONTHS]), F.substring(name, 1, 3)).cast("int")
-    year = _number(text, named, 2)
-    full_year = F.when(F.length(F.regexp_extract(text, named, 2)) == 2, year + 2000).otherwise(year)
     month_first = r"^(\d{1,2}) *[/\-] *(\d{4})$"
     year_first = r"^(\d{4}) *[/\-] *(\d{1,2})$"
 
-    def valid(month: Column) -> Column:
-        return month.between(1, 12)
-
-    return (
-        F.when(raw.isNull() | (raw == ""), F.lit(None).cast("int"))
-        .when(text.rlike(fixed.PRESENT_PATTERN), month_index(as_of))
-        .when(text.rlike(named), F.when(name_month > 0, full_year * 12 + name_month - 1))
-        .when(
-            text.rlike(month_first) & valid(_number(text, month_first, 1)),
-            _number(text, month_first, 2) * 12 + _number(text, month_first, 1) - 1,
+    def read(text: Column) -> Column:
+        name = F.substring(F.lower(F.regexp_extract(text, named, 1)), 1, 3)
+        name_month = F.nullif(F.array_position(F.array(*[F.lit(m) for m in fixed.MONTHS]), name), F.lit(0)).cast("int")
+        year = _number(text, named, 2)
+        full_year = F.when(year < 100, year + 2000).otherwise(year)
+        return (
+            F.when(text == "", F.lit(None).cast("int"))
+            .when(text.rlike(fixed.PRESENT_PATTERN), month_index(as_of))
+            .when(text.rlike(named), full_year * 12 + name_month - 1)
+            .when(text.rlike(month_first) & _number(text, month_first, 1).between(1, 12),
+                  _number(text, month_first, 2) * 12 + _number(text, month_first, 1) - 1)
+            .when(text.rlike(year_first) & _number(text, year_first, 2).between(1, 12),
+                  _number(text, year_first, 1) * 12 + _number(text, year_first, 2) - 1)
+            .when(text.rlike(r"^\d{4}$"), text.cast("int") * 12 + year_only_month)
         )
-        .when(
-            text.rlike(year_first) & valid(_number(text, year_first, 2)),
-            _number(text, year_first, 1) * 12 + _number(text, year_first, 2) - 1,
-        )
-        .when(text.rlike(r"^\d{4}$"), text.cast("int") * 12 + year_only_month)
-    )
+
+    return bind(F.regexp_replace(spaced, f"[{SPACES}]+", " "), read)
 
 
 def role_span(start_raw: Column, end_raw: Column, as_of: Column) -> Column:
     """struct(first, last, months) of a role, both ends included; null if unread or inverted."""
-    first = parse_month(start_raw, 0, as_of)
-    last = parse_month(F.coalesce(end_raw, F.lit("present")), 11, as_of)
-    span = F.struct(first.alias("first"), last.alias("last"), (last - first + 1).alias("months"))
-    return F.when(last >= first, span)
+    ends = F.struct(
+        parse_month(start_raw, 0, as_of).alias("first"),
+        parse_month(F.coalesce(end_raw, F.lit("present")), 11, as_of).alias("last"),
+    )
+    return bind(
+        ends,
+        lambda e: F.when(
+            e["last"] >= e["first"],
+            F.struct(e["first"].alias("first"), e["last"].alias("last"), (e["last"] - e["first"] + 1).alias("months")),
+        ),
+    )
 
 
 def duration_text(months: Column) -> Column:

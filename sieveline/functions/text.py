@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieveline.functions.bind import bind
 from sieveline.functions.patterns import SPACES, jvm
 
 # Characters that compare equal after normalisation.
@@ -101,26 +102,29 @@ def shingles(word_list: Column, n: int) -> Column:
 def decode_entities(text: Column) -> Column:
     """Numeric references (hexadecimal first), then the five named ones, the ampersand last."""
 
-    def numeric(value: Column, pattern: str, digits_at, number) -> Column:
-        refs = F.array_distinct(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)))
-        ordered = F.concat(
-            F.filter(refs, lambda r: number(digits_at(r)) != 38), F.filter(refs, lambda r: number(digits_at(r)) == 38)
+    def replace_refs(value: Column, pattern: str, code) -> Column:
+        coded = F.transform(
+            F.array_distinct(F.regexp_extract_all(value, F.lit(pattern), F.lit(0))),
+            lambda r: F.struct((code(r) == 38).alias("ampersand"), code(r).alias("code"), r.alias("ref")),
         )
         return F.aggregate(
-            ordered,
+            F.array_sort(coded),
             value,
-            lambda acc, r: F.replace(
-                acc, r, F.decode(F.unhex(F.lpad(F.hex(number(digits_at(r))), 8, "0")), "UTF-32")
-            ),
+            lambda acc, r: F.replace(acc, r["ref"], F.decode(F.unhex(F.lpad(F.hex(r["code"]), 8, "0")), "UTF-32")),
         )
 
-    hexed = numeric(
-        text,
-        "(?i)&#x[0-9a-f]{1,6};",
-        lambda r: F.regexp_extract(r, "(?i)x([0-9a-f]+);", 1),
-        lambda d: F.conv(d, 16, 10).cast("bigint"),
-    )
-    out = numeric(hexed, r"&#\d{1,7};", lambda r: F.regexp_extract(r, r"(\d+)", 1), lambda d: d.cast("bigint"))
+    def hexadecimal(ref: Column) -> Column:
+        return F.conv(F.regexp_extract(ref, "(?i)x([0-9a-f]+);", 1), 16, 10).cast("bigint")
+
+    def decimal(ref: Column) -> Column:
+        return F.regexp_extract(ref, r"(\d+)", 1).cast("bigint")
+
+    def numeric(value: Column) -> Column:
+        first = replace_refs(value, "(?i)&#x[0-9a-f]{1,6};", hexadecimal)
+        return bind(first, lambda v: replace_refs(v, r"&#\d{1,7};", decimal))
+
+    # Most texts hold no numeric reference and skip both passes.
+    out = bind(text, lambda v: F.when(F.contains(v, F.lit("&#")), numeric(v)).otherwise(v))
     for entity, char in [("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import fixed
+from sieveline.functions.bind import bind
 from sieveline.functions.patterns import jvm, matches, term_pattern
 from sieveline.operators.redact import SHOWN, comparable, present_terms, _dictionary, _with_form
 from sieveline.term_lists import INSTITUTIONS, PLACES
@@ -43,9 +44,7 @@ def leak_categories(
         }
         return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
 
-    # A one-element array binds the stripped text and its comparable form once for all checks.
-    bound = F.transform(F.array(F.regexp_replace(profile_text, placeholder, " ")), lambda t: F.struct(t.alias("t"), comparable(t).alias("h")))
-    return F.get(F.transform(bound, lambda b: checks(b["t"], b["h"])), F.lit(0))
+    return bind(F.regexp_replace(profile_text, placeholder, " "), lambda t: bind(comparable(t), lambda h: checks(t, h)))
 
 
 def audit(profiles: DataFrame) -> DataFrame:

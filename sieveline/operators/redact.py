@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sieveline import fixed
 from sieveline.functions import text as tx
+from sieveline.functions.bind import bind, text_list
 from sieveline.functions.patterns import WORD_START, any_of, jvm, term_pattern
 from sieveline.term_lists import GENERIC_COMPANY_WORDS, INSTITUTIONS, LANGUAGES, PLACES
 
@@ -42,19 +43,22 @@ def name_terms(name: Column) -> Column:
 
 def company_terms(raw: Column) -> Column:
     """The cleaned company name, and the words before the first one that only describes it."""
-    cleaned = tx.squeeze(
-        F.regexp_replace(F.regexp_replace(raw, r"\(.*?\)", " "), r"[,|].*$", "")
-    )
-    parts = F.split(cleaned, " ")
-    generic = F.array(*[F.lit(w) for w in GENERIC_COMPANY_WORDS])
-    flags = F.transform(parts, lambda w: F.array_contains(generic, F.replace(F.lower(w), F.lit("."), F.lit(""))))
-    at = F.array_position(flags, F.lit(True)).cast("int")
-    lead_words = F.when(at > 0, F.slice(parts, F.lit(1), at - 1)).otherwise(parts)
-    lead = F.regexp_replace(F.array_join(lead_words, " "), "[.,]+$", "")
-    usable = raw.isNotNull() & (cleaned != "") & ~cleaned.rlike(jvm(fixed.NOT_A_COMPANY_PATTERN, True))
-    return F.when(
-        usable, F.array_distinct(F.filter(F.array(cleaned, lead), lambda t: F.length(t) >= 3))
-    ).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    generic = text_list(GENERIC_COMPANY_WORDS)
+
+    def lead(parts: Column) -> Column:
+        flags = F.transform(parts, lambda w: F.array_contains(generic, F.replace(F.lower(w), F.lit("."), F.lit(""))))
+        at = F.array_position(flags, F.lit(True)).cast("int")
+        kept = bind(at, lambda n: F.when(n > 0, F.slice(parts, F.lit(1), n - 1)).otherwise(parts))
+        return F.regexp_replace(F.array_join(kept, " "), "[.,]+$", "")
+
+    def terms(cleaned: Column) -> Column:
+        usable = (cleaned != "") & ~cleaned.rlike(jvm(fixed.NOT_A_COMPANY_PATTERN, True))
+        both = F.array(cleaned, bind(F.split(cleaned, " "), lead))
+        return F.when(usable, F.array_distinct(F.filter(both, lambda t: F.length(t) >= 3))).otherwise(none)
+
+    cleaned = tx.squeeze(F.regexp_replace(F.regexp_replace(raw, r"\(.*?\)", " "), r"[,|].*$", ""))
+    return bind(F.coalesce(cleaned, F.lit("")), terms)
 
 
 def place_terms(places: Column) -> Column:
@@ -94,8 +98,8 @@ def _with_form(terms: Column) -> Column:
 
 def _dictionary(terms: list[str]) -> Column:
     """The same pairs for a fixed list, made on the driver once."""
-    forms = [(t, " ".join(t.upper().lower().split())) for t in terms]
-    return F.array(*[F.struct(F.lit(t).alias("term"), F.lit(f).alias("form")) for t, f in forms])
+    forms = [" ".join(t.upper().lower().split()) for t in terms]
+    return F.arrays_zip(text_list(terms).alias("term"), text_list(forms).alias("form"))
 
 
 def present_terms(pairs: Column, haystack: Column) -> Column:
@@ -238,15 +242,15 @@ def drop_reason(unit: Column) -> Column:
 
 def strip_languages(skill: Column) -> Column:
     """A skill entry without human languages; null when nothing else is left."""
+
+    def strip(prefix: Column) -> Column:
+        entries = F.transform(F.split(F.substr(skill, F.length(prefix) + 1), "[,;·]"), tx.js_trim)
+        kept = F.filter(entries, lambda e: (e != "") & ~e.rlike(jvm(LANGUAGE_WORD)))
+        lead = F.when(prefix != "", F.concat(tx.js_trim(prefix), F.lit(" "))).otherwise("")
+        return F.concat(lead, F.nullif(F.array_join(kept, ", "), F.lit("")))
+
     prefix = F.regexp_extract(skill, jvm(fixed.LANGUAGE_PREFIX_PATTERN, True), 0)
-    entries = F.split(F.substr(skill, F.length(prefix) + 1), "[,;·]")
-    kept = F.filter(
-        F.transform(entries, tx.js_trim), lambda e: (e != "") & ~e.rlike(jvm(LANGUAGE_WORD))
-    )
-    lead = F.when(prefix != "", F.concat(tx.js_trim(prefix), F.lit(" "))).otherwise("")
-    return F.when(~skill.rlike(jvm(LANGUAGE_WORD)), skill).when(
-        F.size(kept) > 0, F.concat(lead, F.array_join(kept, ", "))
-    )
+    return F.when(skill.rlike(jvm(LANGUAGE_WORD)), bind(prefix, strip)).otherwise(skill)
 
 
 def language_count(skill: Column) -> Column:
