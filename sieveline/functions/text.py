@@ -90,13 +90,13 @@ def plain_words(text: Column) -> Column:
 
 def shingles(word_list: Column, n: int) -> Column:
     """Every run of n words, joined by blanks; empty when there are fewer."""
-    return F.when(
-        F.size(word_list) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(word_list) - (n - 1)),
-            lambda i: F.array_join(F.slice(word_list, i, n), " "),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def runs(listed: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(listed) - (n - 1))
+        made = F.transform(starts, lambda i: F.array_join(F.slice(listed, i, n), " "))
+        return F.when(F.size(listed) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    return bind(word_list, runs)
 
 
 def decode_entities(text: Column) -> Column:

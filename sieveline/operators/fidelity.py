@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline import fixed
 from sieveline.functions import text as tx
+from sieveline.functions.bind import bind
 from sieveline.functions.dates import half_up
 
 
@@ -48,7 +49,9 @@ def check_fidelity(docs: DataFrame) -> DataFrame:
         {
             "_said": total(F.col("_bullets")) + total(F.col("_fields")),
             "_free": total(F.transform(free, lambda line: tx.plain_normal(line["folded"]))),
-            "_missing": F.size(F.filter("_bullets", lambda b: ~F.contains(F.col("_haystack"), b))),
+            "_missing": bind(
+                F.col("_haystack"), lambda text: F.size(F.filter("_bullets", lambda b: ~F.contains(text, b)))
+            ),
         }
     )
     coverage = F.when(F.col("_free") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("_said") / F.col("_free")))

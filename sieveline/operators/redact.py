@@ -145,6 +145,13 @@ def prepare_terms(
     )
 
 
+def mark_contacts(text: Column) -> Column:
+    """E-mail addresses, links and phone numbers of a text, by pattern alone."""
+    out = F.regexp_replace(text, jvm(fixed.EMAIL_PATTERN), MARKS["emails"])
+    out = F.regexp_replace(out, jvm(fixed.URL_PATTERN, True), MARKS["urls"])
+    return F.regexp_replace(out, jvm(fixed.PHONE_PATTERN), MARKS["phones"])
+
+
 def _mark_terms(text: Column, terms: Column) -> Column:
     out = F.regexp_replace(text, jvm(fixed.EMAIL_PATTERN), MARKS["emails"])
     out = replace_terms(out, terms["urls"], MARKS["urls"])
@@ -214,7 +221,11 @@ def unmark(text: Column) -> Column:
         (jvm(r"^[\s·|,]+|[\s·|,]+$"), ""),
     ]:
         out = F.regexp_replace(out, pattern, replacement)
-    out = tx.js_trim(out)
+    return show_marks(tx.js_trim(out))
+
+
+def show_marks(text: Column) -> Column:
+    out = text
     for name, shown in SHOWN.items():
         if shown:
             out = F.replace(out, F.lit(MARKS[name]), F.lit(shown))
