@@ -12,6 +12,11 @@ from sieveline.functions.patterns import SPACES
 DAY_MICROS = 86_400_000_000
 
 
+def micros(moment: Column) -> Column:
+    """Microseconds on the clock; a time without a zone is read in the session's."""
+    return F.unix_micros(moment.cast("timestamp"))
+
+
 def month_index(moment: Column) -> Column:
     """Months since year zero, January = 0."""
     return F.year(moment) * 12 + F.month(moment) - 1
@@ -78,15 +83,15 @@ def duration_text(months: Column) -> Column:
 
 def whole_days(since: Column, now: Column) -> Column:
     """Days gone by on the exact clock, rounded down."""
-    return F.floor((F.unix_micros(now) - F.unix_micros(since)) / DAY_MICROS).cast("int")
+    return F.floor((micros(now) - micros(since)) / DAY_MICROS).cast("int")
 
 
 def older_than(since: Column, days: Column, now: Column) -> Column:
-    return F.unix_micros(now) - F.unix_micros(since) >= days * F.lit(DAY_MICROS)
+    return micros(now) - micros(since) >= days * F.lit(DAY_MICROS)
 
 
 def minutes_after(moment: Column, minutes: Column) -> Column:
-    return F.timestamp_micros((F.unix_micros(moment) + minutes.cast("bigint") * 60_000_000).cast("bigint"))
+    return F.timestamp_micros((micros(moment) + minutes.cast("bigint") * 60_000_000).cast("bigint"))
 
 
 def local_date(moment: Column) -> Column:
@@ -97,7 +102,7 @@ def local_date(moment: Column) -> Column:
 def weeks_left(target_date: Column, now: Column) -> Column:
     """Whole weeks to the end of the target day at +05:30, never below zero."""
     deadline = F.to_utc_timestamp(F.to_timestamp(F.concat(target_date.cast("string"), F.lit(" 23:59:59"))), fixed.LOCAL_ZONE)
-    weeks = F.floor((F.unix_micros(deadline) - F.unix_micros(now)) / (7 * DAY_MICROS))
+    weeks = F.floor((micros(deadline) - micros(now)) / (7 * DAY_MICROS))
     return F.greatest(F.lit(0), weeks).cast("int")
 
 

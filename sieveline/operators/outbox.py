@@ -115,7 +115,7 @@ def after_attempt(claimed: DataFrame, now: Column) -> DataFrame:
 
 def retry_due(evaluations: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """Documents that may be taken up: queued and come, or processing with an expired lease; oldest first."""
-    expired = F.timestamp_micros(F.unix_micros(now) - fixed.LEASE_SECONDS * 1_000_000)
+    expired = F.timestamp_micros(dates.micros(now) - fixed.LEASE_SECONDS * 1_000_000)
     due = evaluations.filter(
         ((F.col("status") == "queued") & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now)))
         | ((F.col("status") == "processing") & (F.col("claimed_at") < expired))
@@ -327,7 +327,7 @@ def attempt_outcomes(attempts: DataFrame, now: Column | None = None) -> DataFram
         .otherwise("requeued")
     )
     wait = F.when(result == "transient", dates.backoff_seconds(F.col("transient_retries"))).otherwise(F.lit(fixed.RETRY_SECONDS))
-    next_at = F.timestamp_micros(F.unix_micros("last.at") + wait * F.lit(1_000_000).cast("bigint"))
+    next_at = F.timestamp_micros(dates.micros(F.col("last.at")) + wait * F.lit(1_000_000).cast("bigint"))
     out = reduced.withColumn("outcome", outcome)
     return out.select(
         "doc_id", "outcome", "transient_retries", "real_attempts",

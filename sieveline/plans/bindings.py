@@ -14,14 +14,8 @@ from pyspark.sql import functions as F
 
 from sieveline import config as cfg
 from sieveline import fixed
-from sieveline.functions import dates, hashing, text as tx
-from sieveline.functions.patterns import jvm
-from sieveline.operators import (
-    calibration, combine, decisions, dictionary, evidence, experience, guard, identity, outbox, rank, redact, reports,
-    retention, validity,
-)
-from sieveline.operators.skew import latest_per_key, spread
-from sieveline.sources import stages
+from sieveline.operators import combine, evidence, rank, reports
+from sieveline.operators.skew import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
