@@ -52,13 +52,43 @@ def jvm(pattern: str, ignore_case: bool = False, unicode_case: bool = False) ->
     return flags + "".join(out)
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The pattern cut at its outermost bars."""
+    parts, depth, in_class, start, i = [], 0, False, 0, 0
+    while i < len(pattern):
+        char = pattern[i]
+        if char == "\\":
+            i += 1
+        elif in_class:
+            in_class = char != "]"
+        elif char == "[":
+            in_class = True
+        elif char in "()":
+            depth += 1 if char == "(" else -1
+        elif char == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, pattern[start:]]
+
+
 def any_of(patterns: list[str], ignore_case: bool = True) -> str:
-    """One pattern that matches where any of the given ones does."""
-    return jvm("|".join(f"(?:{p})" for p in patterns), ignore_case)
+    """One pattern that matches where any of the given ones does.
+
+    Alternatives that open at a word's start share one look behind, so most places of a text are
+    passed with a single test. Only for finding: which alternative matched is not told.
+    """
+    alternatives = [a for p in patterns for a in _alternatives(p)]
+    at_start = [a[2:] for a in alternatives if a.startswith("\\b") and _edge(a[2:]) == WORD_START]
+    others = [a for a in alternatives if not (a.startswith("\\b") and _edge(a[2:]) == WORD_START)]
+    parts = [jvm(a) for a in others]
+    if at_start:
+        parts.append(WORD_START + "(?:" + "|".join(jvm(a) for a in at_start) + ")")
+    return ("(?i)" if ignore_case else "") + "|".join(parts)
 
 
 def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
-    return text.rlike(jvm(pattern, ignore_case))
+    return text.rlike(any_of([pattern], ignore_case))
 
 
 def term_pattern(term: Column) -> Column:

@@ -24,6 +24,7 @@ from sieveline import fixed
 from sieveline.functions import dates
 from sieveline.functions.text import clean_line, clean_note
 from sieveline.operators.skew import positions
+from sieveline.session import materialise
 
 CHUNK = 10_000
 
@@ -114,56 +115,53 @@ def clean_decision_text(commands: DataFrame) -> DataFrame:
     )
 
 
-def _by_key(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Runs of equal (evaluation, chunk) in batches that are sorted by it; a run may come in pieces."""
-    for batch in batches:
-        keys = batch["evaluation_id"].to_numpy(), batch["chunk"].to_numpy()
-        cuts = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1
-        edges = [0, *cuts.tolist(), len(batch)]
-        for a, b in zip(edges, edges[1:]):
-            if b > a:
-                yield (keys[0][a], keys[1][a]), batch.iloc[a:b]
-
-
-def _codes(piece: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    code = piece["command"].map({c: i for i, c in enumerate(COMMANDS)}).to_numpy()
-    return code, piece["no_contact"].to_numpy().astype(int), piece["refusal"].notna().to_numpy()
+def _rows(batch: pd.DataFrame) -> Iterator[tuple]:
+    """(evaluation, chunk, command, no_contact, refusal or None) of a sorted batch."""
+    refusals = [r if isinstance(r, str) else None for r in batch["refusal"]]
+    return zip(batch["evaluation_id"].tolist(), batch["chunk"].tolist(), batch["command"].tolist(), batch["no_contact"].tolist(), refusals)
 
 
 def _sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per chunk: where each possible start state ends."""
     table = transition_table()
+    codes = {c: i for i, c in enumerate(COMMANDS)}
     key, ends = None, None
-    for this, piece in _by_key(batches):
-        if this != key:
-            if key is not None:
-                yield pd.DataFrame({"evaluation_id": [key[0]], "chunk": [key[1]], "ends": [ends.tolist()]})
-            key, ends = this, np.arange(len(STATES), dtype=np.int16)
-        for code, contact, refused in zip(*_codes(piece)):
-            if not refused:
-                ends = table[code, contact][ends]
+    for batch in batches:
+        closed = []
+        for evaluation, chunk, command, contact, refusal in _rows(batch):
+            if (evaluation, chunk) != key:
+                if key is not None:
+                    closed.append((*key, ends.tolist()))
+                key, ends = (evaluation, chunk), np.arange(len(STATES), dtype=np.int16)
+            if refusal is None:
+                ends = table[codes[command], int(contact)][ends]
+        if closed:
+            yield pd.DataFrame(closed, columns=["evaluation_id", "chunk", "ends"])
     if key is not None:
-        yield pd.DataFrame({"evaluation_id": [key[0]], "chunk": [key[1]], "ends": [ends.tolist()]})
+        yield pd.DataFrame([(*key, ends.tolist())], columns=["evaluation_id", "chunk", "ends"])
 
 
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    key, state = None, STATES[START]
-    for this, piece in _by_key(batches):
-        if this != key:
-            key, state = this, STATES[int(piece["start"].iloc[0])]
-        reasons, statuses, after = [], [], []
-        for command, contact, refusal in zip(piece["command"], piece["no_contact"], piece["refusal"]):
-            state, reason = apply_command(state, command, bool(contact), refusal if isinstance(refusal, str) else None)
+    seen: dict = {}
+    key, state = None, START
+    for batch in batches:
+        reasons, states = [], []
+        for (evaluation, chunk, command, contact, refusal), start in zip(_rows(batch), batch["start"].tolist()):
+            if (evaluation, chunk) != key:
+                key, state = (evaluation, chunk), start
+            step = (state, command, contact, refusal)
+            if step not in seen:
+                after, reason = apply_command(STATES[state], command, bool(contact), refusal)
+                seen[step] = STATE_ID[after], reason
+            state, reason = seen[step]
             reasons.append(reason)
-            statuses.append(state[0])
-            after.append(STATE_ID[state])
-        yield pd.DataFrame(
-            {
-                "evaluation_id": piece["evaluation_id"].to_numpy(), "seq": piece["seq"].to_numpy(),
-                "command": piece["command"].to_numpy(), "accepted": [r is None for r in reasons],
-                "reason": reasons, "status_after": statuses, "state_after": after,
-            }
-        )
+            states.append(state)
+        out = batch[["evaluation_id", "seq", "command"]].copy()
+        out["accepted"] = [r is None for r in reasons]
+        out["reason"] = reasons
+        out["status_after"] = [STATES[s][0] for s in states]
+        out["state_after"] = states
+        yield out
 
 
 def _chunk_starts(sums: DataFrame, key_type: str) -> DataFrame:
@@ -194,6 +192,8 @@ def fold(commands: DataFrame, chunk: int = CHUNK) -> DataFrame:
     numbered = positions(commands.select(*columns), ["evaluation_id"], [F.col("seq")]).withColumn(
         "chunk", F.floor((F.col("position") - 1) / chunk).cast("bigint")
     )
+    # Read three times below: written once.
+    numbered = materialise(numbered)
     # Evaluations with a second chunk: at most one in ``chunk`` rows is the first of a later chunk.
     long_logs = numbered.filter(F.col("position") == chunk + 1).select("evaluation_id")
     cut = numbered.drop("position")

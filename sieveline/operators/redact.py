@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sieveline import fixed
 from sieveline.functions import text as tx
 from sieveline.functions.bind import bind, text_list
-from sieveline.functions.patterns import WORD_START, any_of, jvm, term_pattern
+from sieveline.functions.patterns import WORD_START, any_of, jvm, matches, term_pattern
 from sieveline.term_lists import GENERIC_COMPANY_WORDS, INSTITUTIONS, LANGUAGES, PLACES
 
 # What each counter's private-use mark is rendered as; silent marks leave nothing.
@@ -117,13 +117,31 @@ def replace_terms(text: Column, terms: Column, mark: str) -> Column:
     return F.aggregate(terms, text, lambda acc, term: F.regexp_replace(acc, term_pattern(term), F.lit(mark)))
 
 
-def case_variants(pattern: str, replacement: str) -> list[tuple[str, str]]:
-    """(pattern, replacement) for the upper-case, the capitalised and every other spelling."""
-    return [
-        (pattern.upper(), replacement.upper()),
-        (pattern[0].upper() + "(?i:" + pattern[1:] + ")", replacement[0].upper() + replacement[1:]),
-        (pattern[0] + "(?i:" + pattern[1:] + ")", replacement),
-    ]
+def case_passes() -> list[tuple[str, list[tuple[str, str]]]]:
+    """Three passes over the pronouns: upper case, capitalised, every other spelling.
+
+    Each is (pattern that tells whether the pass has work, [(pattern, replacement), ...]) with the
+    spellings of one rule side by side.
+    """
+
+    def spelled(words: list[str], case: str) -> str:
+        if case == "upper":
+            return "(?:" + "|".join(w.upper() for w in words) + ")"
+        first = str.upper if case == "title" else str.lower
+        return "(?:" + "|".join(f"{first(w[0])}(?i:{w[1:]})" for w in words) + ")"
+
+    def cased(word: str, case: str) -> str:
+        return word.upper() if case == "upper" else word[0].upper() + word[1:] if case == "title" else word
+
+    passes = []
+    for case in ("upper", "title", "lower"):
+        rules = [
+            (WORD_START + spelled(words, case) + jvm(tail), MARKS["pronouns"] + cased(replacement, case))
+            for words, tail, replacement in fixed.PRONOUN_RULES
+        ]
+        everyone = sorted({w for words, _, _ in fixed.PRONOUN_RULES for w in words if "'" not in w})
+        passes.append((WORD_START + spelled(everyone, case) + jvm(r"\b"), rules))
+    return passes
 
 
 def prepare_terms(
@@ -173,11 +191,18 @@ def _mark_honorifics(text: Column) -> Column:
 
 
 def _mark_pronouns(text: Column) -> Column:
+    def one_pass(has_work: str, rules: list[tuple[str, str]]):
+        def run(value: Column) -> Column:
+            replaced = value
+            for pattern, word in rules:
+                replaced = F.regexp_replace(replaced, pattern, word)
+            return F.when(value.rlike(has_work), replaced).otherwise(value)
+
+        return run
+
     out = text
-    for spellings, tail, replacement in fixed.PRONOUN_RULES:
-        for spelling in spellings:
-            for pattern, word in case_variants(spelling, replacement):
-                out = F.regexp_replace(out, WORD_START + pattern + jvm(tail), MARKS["pronouns"] + word)
+    for has_work, rules in case_passes():
+        out = bind(out, one_pass(has_work, rules))
     return out
 
 
@@ -203,21 +228,28 @@ def mark_identity(texts: Column, terms: Column) -> Column:
 
 
 def mark_academic(text: Column) -> Column:
-    out = text
-    for pattern in fixed.ACADEMIC_PATTERNS:
-        out = F.regexp_replace(out, jvm(pattern, True), MARKS["academic"])
-    return out
+    """Academic scores and honours of a text; one pass tells the texts that hold none."""
+
+    def run(value: Column) -> Column:
+        out = value
+        for pattern in fixed.ACADEMIC_PATTERNS:
+            out = F.regexp_replace(out, jvm(pattern, True), MARKS["academic"])
+        return F.when(value.rlike(any_of(fixed.ACADEMIC_PATTERNS)), out).otherwise(value)
+
+    return bind(text, run)
 
 
 def unmark(text: Column) -> Column:
     """Drop the silent marks, tidy what the drops left, render the others."""
-    silent = "".join(MARKS[name] for name, shown in SHOWN.items() if not shown)
-    out = F.translate(text, silent, "")
+    out = text
+    for name, shown in SHOWN.items():
+        if not shown:
+            out = F.replace(out, F.lit(MARKS[name]), F.lit(""))
     for pattern, replacement in [
         ("[ \\t]{2,}", " "),
         (jvm(r"\s+([,.;:)])"), "$1"),
         (jvm(r"\(\s*\)"), ""),
-        (jvm(r"(\s*[·|,]\s*){2,}"), " · "),
+        (jvm(r"\s*[·|,](?:\s*[·|,])+\s*"), " · "),
         (jvm(r"^[\s·|,]+|[\s·|,]+$"), ""),
     ]:
         out = F.regexp_replace(out, pattern, replacement)
@@ -234,21 +266,30 @@ def show_marks(text: Column) -> Column:
 
 def count_mark(texts: Column, mark: str) -> Column:
     """How many of the mark an array of texts holds."""
-    joined = F.array_join(texts, "")
-    return F.length(joined) - F.length(F.translate(joined, mark, ""))
+    return bind(
+        F.array_join(texts, ""), lambda joined: F.length(joined) - F.length(F.replace(joined, F.lit(mark), F.lit("")))
+    )
 
 
 # ---- units that go whole ----
 
 
+DROP_PATTERNS = [*fixed.GAP_PATTERNS, *fixed.PERSONAL_PATTERNS, fixed.RELOCATION_PATTERN, fixed.LANGUAGE_SENTENCE_PATTERN]
+
+
 def drop_reason(unit: Column) -> Column:
-    """gap, personal, relocation or language; null when the unit stays."""
-    return (
+    """gap, personal, relocation or language; null when the unit stays.
+
+    One pass tells the units that hold none of it, which are most; only the others take the ladder.
+    """
+    ladder = (
         F.when(unit.rlike(any_of(fixed.GAP_PATTERNS)), "gap")
         .when(unit.rlike(any_of(fixed.PERSONAL_PATTERNS)) | unit.rlike(jvm(fixed.PERSONAL_CASED_PATTERN)), "personal")
-        .when(unit.rlike(jvm(fixed.RELOCATION_PATTERN, True)), "relocation")
-        .when(unit.rlike(jvm(fixed.LANGUAGE_SENTENCE_PATTERN, True)) & unit.rlike(jvm(LANGUAGE_WORD)), "language")
+        .when(matches(unit, fixed.RELOCATION_PATTERN), "relocation")
+        .when(matches(unit, fixed.LANGUAGE_SENTENCE_PATTERN) & unit.rlike(jvm(LANGUAGE_WORD)), "language")
     )
+    any_reason = any_of([*DROP_PATTERNS, r"\bd\.?o\.?b\b"])
+    return F.when(unit.rlike(any_reason), ladder)
 
 
 def strip_languages(skill: Column) -> Column:
