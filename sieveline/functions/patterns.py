@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 WORD_START, WORD_END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-SPACES = r"\s\x{1680}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+# White space as one character class: the controls, every separator of Unicode, the zero-width mark. Kept to
+# three tests per character; spelled out as ranges it is several times slower.
+SPACES = r"\t\n\x0B\f\r\p{Z}\x{feff}"
 TERM_LEFT, TERM_RIGHT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
 

@@ -133,7 +133,7 @@ def _sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if key is not None:
                     closed.append((*key, ends.tolist()))
                 key, ends = (evaluation, chunk), np.arange(len(STATES), dtype=np.int16)
-            if refusal is None:
+            if refusal is None or command not in fixed.ACTIONS:
                 ends = table[codes[command], int(contact)][ends]
         if closed:
             yield pd.DataFrame(closed, columns=["evaluation_id", "chunk", "ends"])
