@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1_000
-SAMPLE_ROWS = 8_192
 SLICES = 512
+SAMPLE_PER_SLICE = 16
 BROADCAST_ROWS = 1_000_000
 
 
@@ -41,23 +41,26 @@ def positions(
 ) -> DataFrame:
     """1-based position of every row in its group, without a group ever meeting in one task.
 
-    ``groups`` are never null; ``order`` are ascending sort keys ending in a unique one. A bounded sample of the sort keys (the
-    SAMPLE_ROWS smallest key hashes, the same on every run) gives SLICES boundaries; a row's slice is
-    the number of boundaries below it. Slices are counted, ranked alone, and shifted by the rows
-    of the earlier slices of their group.
+    ``groups`` are never null; ``order`` are ascending sort keys ending in a unique one. A bounded
+    sample of the sort keys (the rows with the smallest key hashes, the same on every run) gives the
+    boundaries of some hundred slices, more on a cluster with more shuffle partitions; a row's slice is
+    the number of boundaries below it. Slices are counted, ranked alone, and shifted by the rows of the
+    earlier slices of their group.
     """
+    slices = max(SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sort_key = F.struct(*[F.col(g) for g in groups], *[c.alias(f"k{i}") for i, c in enumerate(order)])
     keyed = df.withColumn("_key", sort_key)
     sample = (
         keyed.select(F.xxhash64("_key").alias("h"), F.col("_key").alias("k"))
         .orderBy("h", "k")
-        .limit(SAMPLE_ROWS)
+        .limit(slices * SAMPLE_PER_SLICE)
         .agg(F.array_sort(F.collect_list("k")).alias("ks"))
     )
-    step = F.greatest(F.lit(1), F.floor(F.size("ks") / SLICES)).cast("int")
+    step = F.greatest(F.lit(1), F.floor(F.size("ks") / slices)).cast("int")
     bounds = sample.select(F.filter("ks", lambda k, i: (i % step == 0) & (i > 0)).alias("bounds"))
     # Binary search: each halving step moves past the boundaries that lie below the row's key.
-    halvings = F.array(*[F.lit(SLICES >> i) for i in range(SLICES.bit_length())])
+    top = 1 << slices.bit_length()
+    halvings = F.array(*[F.lit(top >> i) for i in range(top.bit_length())])
     sliced = keyed.withColumn("_bounds", bounds.scalar()).withColumn(
         "_slice",
         F.aggregate(
