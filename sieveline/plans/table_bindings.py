@@ -14,11 +14,13 @@ from sieveline.plans.bindings import NOW, now, query, table
 from sieveline.sources import stages
 
 TS = "TIMESTAMP '%s'" % NOW
-POOL = "p1"
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+EVENT_TYPES = ["view", "click", "signup", "purchase", "error"]
 
 
-def one_pool(spark: SparkSession) -> DataFrame:
-    return cfg.config_frame(spark, {POOL: fixed.DEFAULT_CONFIG})
+def pools_of(spark: SparkSession, names: list[str]) -> DataFrame:
+    """The values of a column as pools, all under the default configuration."""
+    return cfg.config_frame(spark, {name: fixed.DEFAULT_CONFIG for name in names})
 
 
 def minutes_sql(ts: str) -> str:
@@ -503,7 +505,7 @@ def outbox_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("invite_line_final"), F.col("o_orderdate").alias("decided_at"),
     )
     evaluations = o.select(
-        F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("candidate_id"), F.lit(POOL).alias("pool_id"),
+        F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("candidate_id"), F.col("o_orderpriority").alias("pool_id"),
         F.lit("scored").alias("pipeline_status"), F.lit("PM").alias("role_applied"), F.lit("PM").alias("role_title_final"),
     )
     people = table(spark, sf_dir, "customer").select(
@@ -517,7 +519,7 @@ def outbox_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.concat_ws(":", F.col("event_id").cast("string"), "kind").alias("idempotency_key"))
     )
     guarded = outbox.guard(wish.unionByName(wish), made, evaluations, people)
-    rows = outbox.plan(guarded, planned, one_pool(spark))
+    rows = outbox.plan(guarded, planned, pools_of(spark, PRIORITIES))
     return rows.select("idempotency_key", "decision_id", "kind", minutes(F.col("scheduled_at")).alias("scheduled_minute"))
 
 
@@ -545,7 +547,7 @@ def send_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("invite_line_final"), F.col("o_orderdate").alias("decided_at"),
     )
     evaluations = newest.select(
-        F.col("o_custkey").alias("doc_id"), F.col("o_custkey").alias("candidate_id"), F.lit(POOL).alias("pool_id"),
+        F.col("o_custkey").alias("doc_id"), F.col("o_custkey").alias("candidate_id"), F.col("o_orderpriority").alias("pool_id"),
         F.when(F.col("o_orderpriority") == "3-MEDIUM", "advanced").otherwise("booked").alias("pipeline_status"),
         F.lit("PM").alias("role_applied"), F.lit("PM").alias("role_title_final"),
     )
@@ -694,7 +696,7 @@ def nudge_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     last = latest_per_key(events, ["user_id"], [F.col("ts"), F.col("event_id")], ["event_type"])
     evaluations = last.select(
-        F.col("user_id").alias("doc_id"), F.lit(POOL).alias("pool_id"),
+        F.col("user_id").alias("doc_id"), F.col("event_type").alias("pool_id"),
         F.when(F.col("event_type") == "purchase", "booked").otherwise("advanced").alias("pipeline_status"),
     )
     invites = events.select(
@@ -705,7 +707,7 @@ def nudge_due(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("decision_id"), F.lit("nudge").alias("kind"), F.lit("sent").alias("status"),
         F.lit(None).cast("timestamp").alias("scheduled_at"), F.col("o_orderdate").alias("created_at"),
     )
-    out = outbox.nudges(made, evaluations, invites.unionByName(before), one_pool(spark), now())
+    out = outbox.nudges(made, evaluations, invites.unionByName(before), pools_of(spark, EVENT_TYPES), now())
     return out.select(F.col("asked_decision_id").alias("decision_id"), "evaluation_id", minutes(F.col("invited_at")).alias("invited_minute"))
 
 

@@ -9,6 +9,7 @@ from sieveline import fixed
 from sieveline.functions import hashing, text as tx
 from sieveline.operators import calibration, dictionary, evidence, fidelity, guard, identity, redact, validity
 from sieveline.plans.bindings import query, table, text_table
+from sieveline.session import materialise
 
 WORDS_SQL = r"len(regexp_extract_all(text, '[\p{L}\p{N}][^\s]*'))"
 
@@ -199,7 +200,8 @@ def quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = text_table(spark, sf_dir, "documents", "doc_id", ["lang", "text"])
-    keyed = docs.select("doc_id", F.col("lang").alias("pool_id"), F.sha2("text", 256).alias("record_key"))
+    # The texts are read once; linking goes on from the narrow keys.
+    keyed = materialise(docs.select("doc_id", F.col("lang").alias("pool_id"), F.sha2("text", 256).alias("record_key")))
     return identity.link_groups(keyed, "doc_id").select("doc_id", "link_head", "n_linked")
 
 
@@ -211,11 +213,11 @@ def duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copies of the documents somebody asks for (here: those labelled poor)."""
     docs = text_table(spark, sf_dir, "documents", "doc_id", ["lang", "text"])
-    keyed = docs.select(
-        F.col("doc_id").alias("candidate_id"), F.col("lang").alias("pool_id"), F.sha2("text", 256).alias("record_key")
+    keyed = materialise(
+        docs.select(F.col("doc_id").alias("candidate_id"), F.col("lang").alias("pool_id"), F.sha2("text", 256).alias("record_key"))
     )
     asked = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("candidate_id"))
-    pairs = identity.linked_with(identity.link_groups(keyed), asked)
+    pairs = identity.linked_with(materialise(identity.link_groups(keyed)), asked)
     return pairs.select(F.col("candidate_id").alias("doc_id"), "linked_id")
 
 
