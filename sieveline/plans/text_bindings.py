@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline import fixed
 from sieveline.functions import hashing, text as tx
-from sieveline.operators import calibration, dictionary, evidence, fidelity, guard, identity, redact, validity
+from sieveline.operators import calibration, dictionary, evidence, fidelity, guard, identity, leak, redact, validity
 from sieveline.plans.bindings import query, table, text_table
 from sieveline.session import materialise
 
@@ -362,3 +362,51 @@ def identity_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = fidelity.check_fidelity(extracts)
     return out.select("doc_id", "fidelity.bullets_total", "fidelity.bullets_missing", "fidelity.coverage")
+
+
+@query(
+    "sentence_split",
+    r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([.!?])\s+([A-Z\d"''(])', '\1' || chr(1) || '\2', 'g'), '\n+', chr(1), 'g') AS t FROM documents),
+      s AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM m)
+      SELECT doc_id, len(ss) AS n_sentences, sha256(array_to_string(ss, '|')) AS sentences_hash FROM s""",
+)
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = text_table(spark, sf_dir, "documents", "doc_id", ["text"])
+    split = docs.select("doc_id", tx.sentences(F.col("text")).alias("ss"))
+    return split.select("doc_id", F.size("ss").alias("n_sentences"), F.sha2(F.array_join("ss", "|"), 256).alias("sentences_hash"))
+
+
+@query(
+    "section_index",
+    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+      n AS (SELECT doc_id, list_transform(ls, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS ls FROM l)
+      SELECT doc_id, sha256(ls[1]) AS summary_hash, len(ls) - 1 AS n_bullets, sha256(array_to_string(ls[2:], '|')) AS bullets_hash,
+             CASE WHEN len(ls) > 1 THEN 'b' || (len(ls) - 1) END AS last_bullet FROM n""",
+)
+def section_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a profile: its first line the summary, the others the bullets of a role."""
+    docs = text_table(spark, sf_dir, "documents", "doc_id", ["text"])
+    lines = F.split("text", "\n")
+    bullets = F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda line: F.concat(F.lit("- "), line))
+    head = F.array(F.lit("[SUMMARY]"), F.get(lines, F.lit(0)), F.lit("[ROLE 1 · most recent]"))
+    profiles = docs.select("doc_id", F.array_join(F.concat(head, bullets), "\n").alias("profile_text"))
+    index = evidence.index_profiles(profiles)
+    return index.select(
+        "doc_id",
+        F.sha2(F.get(F.filter("sections", lambda s: s["name"] == "SUMMARY"), F.lit(0))["norm"], 256).alias("summary_hash"),
+        F.size("bullets").alias("n_bullets"),
+        F.sha2(F.array_join(F.transform("bullets", lambda b: b["norm"]), "|"), 256).alias("bullets_hash"),
+        F.get("bullets", F.size("bullets") - 1)["id"].alias("last_bullet"),
+    )
+
+
+@query("leak_audit")
+def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents, taken as they are, would leak what: every category over every whole text."""
+    docs = text_table(spark, sf_dir, "documents", "doc_id", ["text", "source"])
+    none = F.array().cast("array<string>")
+    own = F.struct(
+        F.array("source").alias("names"), *[none.alias(n) for n in ("emails", "phones", "urls", "locations", "institutions", "companies")]
+    )
+    leaks = docs.select("source", F.explode(leak.leak_categories(F.col("text"), own)).alias("category"))
+    return leaks.groupBy("source", "category").agg(F.count(F.lit(1)).alias("n_documents"))

@@ -302,3 +302,16 @@ def test_files_and_stages(spark, tmp_path):
     for n in (3, 5):
         stages.write_stage(spark.range(n).withColumn("pool_id", F.lit("p")), root, "t", "pool_id")
     assert (stages.current_version(spark, root, "t"), stages.read_stage(spark, root, "t").count()) == (2, 5)
+
+
+def test_links_and_locks(spark):
+    who = spark.createDataFrame([("a", "p", "k"), ("b", "p", "k"), ("c", "p", "k"), ("x", "q", "k"), ("n", "p", "z")], "candidate_id string, pool_id string, record_key string")
+    links = identity.link_groups(who)
+    assert {r.candidate_id: r.n_linked for r in links.collect()} == {"a": 2, "b": 2, "c": 2, "x": 0, "n": 0}
+    ev = spark.createDataFrame([("a", "PM", None), ("b", "SPM", "declined"), ("c", "PM", "hold")], "candidate_id string, role_applied string, pipeline_status string")
+    asked = spark.createDataFrame([("a",), ("n",)], "candidate_id string")
+    assert [(r.candidate_id, r.linked_id) for r in identity.open_applications(links, asked, ev).collect()] == [("a", "c")]
+    pools = spark.createDataFrame([("p", None), ("q", at(-5))], "pool_id string, locked_at timestamp")
+    made = spark.createDataFrame([("e1", at(9)), ("e1", at(3))], "evaluation_id string, decided_at timestamp")
+    locked = decisions.lock_times(pools, made, spark.createDataFrame([("e1", "p")], "doc_id string, pool_id string"))
+    assert {r.pool_id: r.locked_at for r in locked.collect()} == {"p": at(3), "q": at(-5)}
