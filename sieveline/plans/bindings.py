@@ -42,6 +42,11 @@ def text_table(spark: SparkSession, sf_dir: str, name: str, key: str, columns: l
     return spread(table(spark, sf_dir, name).select(key, *columns), key)
 
 
+def long_counts(df: DataFrame, *columns: str) -> DataFrame:
+    """Counts as 64-bit numbers, the type the SQL gives them."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in columns})
+
+
 NOW = "2024-02-01 00:00:00"
 
 

@@ -10,7 +10,7 @@ from sieveline import fixed
 from sieveline.functions import dates, text as tx
 from sieveline.operators import decisions, experience, outbox, reports, retention, validity
 from sieveline.operators.skew import latest_per_key
-from sieveline.plans.bindings import NOW, now, query, table
+from sieveline.plans.bindings import NOW, long_counts, now, query, table
 from sieveline.sources import stages
 
 TS = "TIMESTAMP '%s'" % NOW
@@ -82,7 +82,8 @@ def raw_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "orders").select("o_orderkey", dates.role_span(written, F.lit(None).cast("string"), now()).alias("span"))
     months = F.col("span.months")
-    return rows.select("o_orderkey", F.col("span.first").alias("first"), months.alias("months"), dates.duration_text(months).alias("duration"))
+    result = rows.select("o_orderkey", F.col("span.first").alias("first"), months.alias("months"), dates.duration_text(months).alias("duration"))
+    return long_counts(result, "first", "months")
 
 
 @query(
@@ -181,7 +182,8 @@ def order_status() -> Column:
 )
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("pool_id"), order_status().alias("pipeline_status"))
-    return reports.pipeline_counts(rows, ["pool_id"])
+    result = reports.pipeline_counts(rows, ["pool_id"])
+    return long_counts(result, "pool_id")
 
 
 @query(

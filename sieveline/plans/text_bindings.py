@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sieveline import fixed
 from sieveline.functions import hashing, text as tx
 from sieveline.operators import calibration, dictionary, evidence, fidelity, guard, identity, leak, redact, validity
-from sieveline.plans.bindings import query, table, text_table
+from sieveline.plans.bindings import long_counts, query, table, text_table
 from sieveline.session import materialise
 
 WORDS_SQL = r"len(regexp_extract_all(text, '[\p{L}\p{N}][^\s]*'))"
@@ -25,10 +25,11 @@ def word_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "unparseable", F.col("word_count") < fixed.MIN_WORDS
     )
     no_leaks = F.array().cast("array<string>")
-    return counted.select(
+    result = counted.select(
         "doc_id", "word_count", "unparseable",
         fidelity.verdict(F.col("unparseable"), F.col("n_chars") >= 2000, no_leaks).alias("verdict"),
     )
+    return long_counts(result, "word_count")
 
 
 # The corpus holds licence lines where applications would hold instructions; they are removed the same way.
@@ -53,13 +54,14 @@ def injection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hidden_text", F.array().cast("array<string>")
     )
     out = guard.guard(docs, LINE_PATTERNS)
-    return out.select(
+    result = out.select(
         "doc_id",
         F.size("injection_lines").alias("n_removed"),
         "integrity_check",
         F.array_join(F.transform("injection_lines", lambda r: F.concat_ws(": ", r["pattern"], r["line"])), "\n").alias("removed"),
         F.sha2("text", 256).alias("clean_hash"),
     )
+    return long_counts(result, "n_removed")
 
 
 _VISIBLE_SQL = "html"
@@ -78,7 +80,8 @@ for _entity, _char in [("&quot;", '"'), ("&apos;", "''"), ("&lt;", "<"), ("&gt;"
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = text_table(spark, sf_dir, "pages", "page_id", ["html"])
     shown = pages.select("page_id", F.length("html").alias("n_html"), guard.visible_html(F.col("html")).alias("visible"))
-    return shown.select("page_id", "n_html", F.length("visible").alias("n_visible"), F.sha2("visible", 256).alias("visible_hash"))
+    result = shown.select("page_id", "n_html", F.length("visible").alias("n_visible"), F.sha2("visible", 256).alias("visible_hash"))
+    return long_counts(result, "n_html", "n_visible")
 
 
 # RE2 has no lookaround: the phone's neighbours are captured and put back, twice, so that two numbers may
@@ -105,10 +108,11 @@ def contact_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = text_table(spark, sf_dir, "documents", "doc_id", ["text"])
     marked = docs.select("doc_id", F.array(redact.mark_contacts(F.col("text"))).alias("m"))
     count = lambda name: redact.count_mark(F.col("m"), redact.MARKS[name]).alias(name)
-    return marked.select(
+    result = marked.select(
         "doc_id", count("emails"), count("urls"), count("phones"),
         F.sha2(redact.show_marks(F.get("m", F.lit(0))), 256).alias("redacted_hash"),
     )
+    return long_counts(result, "emails", "urls", "phones")
 
 
 @query("full_redaction")
@@ -361,7 +365,8 @@ def identity_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     out = fidelity.check_fidelity(extracts)
-    return out.select("doc_id", "fidelity.bullets_total", "fidelity.bullets_missing", "fidelity.coverage")
+    result = out.select("doc_id", "fidelity.bullets_total", "fidelity.bullets_missing", "fidelity.coverage")
+    return long_counts(result, "bullets_total", "bullets_missing")
 
 
 @query(
@@ -373,7 +378,8 @@ def identity_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = text_table(spark, sf_dir, "documents", "doc_id", ["text"])
     split = docs.select("doc_id", tx.sentences(F.col("text")).alias("ss"))
-    return split.select("doc_id", F.size("ss").alias("n_sentences"), F.sha2(F.array_join("ss", "|"), 256).alias("sentences_hash"))
+    result = split.select("doc_id", F.size("ss").alias("n_sentences"), F.sha2(F.array_join("ss", "|"), 256).alias("sentences_hash"))
+    return long_counts(result, "n_sentences")
 
 
 @query(
@@ -391,13 +397,14 @@ def section_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.array(F.lit("[SUMMARY]"), F.get(lines, F.lit(0)), F.lit("[ROLE 1 · most recent]"))
     profiles = docs.select("doc_id", F.array_join(F.concat(head, bullets), "\n").alias("profile_text"))
     index = evidence.index_profiles(profiles)
-    return index.select(
+    result = index.select(
         "doc_id",
         F.sha2(F.get(F.filter("sections", lambda s: s["name"] == "SUMMARY"), F.lit(0))["norm"], 256).alias("summary_hash"),
         F.size("bullets").alias("n_bullets"),
         F.sha2(F.array_join(F.transform("bullets", lambda b: b["norm"]), "|"), 256).alias("bullets_hash"),
         F.get("bullets", F.size("bullets") - 1)["id"].alias("last_bullet"),
     )
+    return long_counts(result, "n_bullets")
 
 
 @query("leak_audit")

@@ -1,6 +1,5 @@
 import hashlib
 import hmac
-import json
 import re
 
 import pytest
