@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import minhash_dedup
+from sieveline.llm import embedding_dedup, minhash_dedup
 from sieveline.llm.binding import query, table
 
 OP9_SQL = """
@@ -34,3 +34,25 @@ def op9(spark, sf_dir):
     """Groups of documents whose sets of word pairs are alike to 80 %."""
     found = minhash_dedup.groups_of_copies(table(spark, sf_dir, "documents"), words=2, percent=80)
     return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+OP1_SQL = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS d, vec_id AS r FROM embeddings UNION SELECT l.u, reach.r FROM reach JOIN links l ON l.w = reach.d
+), comp AS (SELECT d, min(r) AS c FROM reach GROUP BY d), n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept
+FROM embeddings e JOIN comp c ON c.d = e.vec_id LEFT JOIN n ON n.u = e.vec_id
+"""
+
+
+@query("op1_embedding_near_dedup", OP1_SQL)
+def op1(spark, sf_dir):
+    """Vectors of one label with a cosine of 0.93 and more."""
+    found = embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+    return found.select(F.col("_id").alias("vec_id"), "n_links", "component_id", "kept")
