@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import embedding_dedup, minhash_dedup
+from sieveline.llm import embedding_dedup, fingerprints, minhash_dedup
 from sieveline.llm.binding import query, table
+from sieveline.session import materialise
 
 OP9_SQL = """
 WITH RECURSIVE words AS (
@@ -56,3 +57,13 @@ def op1(spark, sf_dir):
     """Vectors of one label with a cosine of 0.93 and more."""
     found = embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
     return found.select(F.col("_id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+@query("op4_simhash_fingerprints")
+def op4(spark, sf_dir):
+    """Fingerprints of documents and of their edited forms; n_near counts the other documents' within 3 bits."""
+    marked = materialise(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")))
+    near = fingerprints.within_radius(marked, radius=3).select(F.col("mark").alias("fingerprint"), "n_near")
+    return marked.join(near, "fingerprint").select(
+        F.col("_id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near"
+    )
