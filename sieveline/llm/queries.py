@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import embedding_dedup, fingerprints, minhash_dedup
+from sieveline.llm import embedding_dedup, fingerprints, minhash_dedup, toxicity
 from sieveline.llm.binding import query, table
 from sieveline.session import materialise
 
@@ -67,3 +67,12 @@ def op4(spark, sf_dir):
     return marked.join(near, "fingerprint").select(
         F.col("_id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near"
     )
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    """Toxicity of documents, learned from the labels of four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.crc32(F.col("_id").cast("string")) % 5 == 0, F.lit(False))
+    return found.select(F.col("_id").alias("doc_id"), held.alias("held_out"), "score", "predicted")
