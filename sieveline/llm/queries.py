@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import embedding_dedup, fingerprints, minhash_dedup, toxicity
+from sieveline.llm import embedding_dedup, fingerprints, minhash_dedup, mixing, toxicity
 from sieveline.llm.binding import query, table
 from sieveline.session import materialise
 
@@ -76,3 +76,10 @@ def op2(spark, sf_dir):
     found = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     held = F.coalesce(F.crc32(F.col("_id").cast("string")) % 5 == 0, F.lit(False))
     return found.select(F.col("_id").alias("doc_id"), held.alias("held_out"), "score", "predicted")
+
+
+@query("op3_source_mixing")
+def op3(spark, sf_dir):
+    """Words of each document that the mix takes."""
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "copies", "taken")
