@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import embedding_dedup, fingerprints, minhash_dedup, mixing, toxicity
+from sieveline.llm import embedding_dedup, fingerprints, minhash_dedup, mixing, toxicity, warc
 from sieveline.llm.binding import query, table
 from sieveline.session import materialise
 
@@ -83,3 +83,23 @@ def op3(spark, sf_dir):
     """Words of each document that the mix takes."""
     found = mixing.mixed(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "copies", "taken")
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS head FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to
+FROM m
+"""
+
+
+@query("op6_warc", OP6_SQL)
+def op6(spark, sf_dir):
+    """Pages written to WARC archives and read back."""
+    records = warc.record_table(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    back = warc.read_archives(warc.write_archives(records, warc.shared_folder(spark)), payloads=False)
+    number = lambda name: F.regexp_extract(name, r":(-?\d+)>", 1).try_cast("long")
+    return back.filter("last").select(
+        number("record_id").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to")
+    )
