@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import embedding_dedup, fingerprints, minhash_dedup, mixing, toxicity, warc
+from sieveline.llm import embedding_dedup, fingerprints, html_text, minhash_dedup, mixing, toxicity, warc
 from sieveline.llm.binding import query, table
 from sieveline.session import materialise
 
@@ -103,3 +103,10 @@ def op6(spark, sf_dir):
     return back.filter("last").select(
         number("record_id").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to")
     )
+
+
+@query("op7_html_main_text")
+def op7(spark, sf_dir):
+    """The main text of pages."""
+    found = html_text.main_texts(table(spark, sf_dir, "pages"))
+    return found.select(F.col("_id").alias("page_id"), F.col("_url").alias("url"), "text", "n_chars")
