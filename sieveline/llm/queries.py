@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import embedding_dedup, fingerprints, html_text, minhash_dedup, mixing, toxicity, warc
+from sieveline.llm import class_lm, embedding_dedup, fingerprints, html_text, minhash_dedup, mixing, toxicity, warc
 from sieveline.llm.binding import query, table
 from sieveline.session import materialise
 
@@ -110,3 +110,9 @@ def op7(spark, sf_dir):
     """The main text of pages."""
     found = html_text.main_texts(table(spark, sf_dir, "pages"))
     return found.select(F.col("_id").alias("page_id"), F.col("_url").alias("url"), "text", "n_chars")
+
+
+@query("op8_class_lm")
+def op8(spark, sf_dir):
+    """Documents scored by the class-based model and by word frequency."""
+    return class_lm.scored(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")

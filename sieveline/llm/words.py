@@ -74,6 +74,16 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return hash_spans(low, starts, ends), first
 
 
+def shaped_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first words, and each word's last byte and length in bytes."""
+    base = int(offsets[0])
+    length = int(offsets[-1]) - base
+    low = np.zeros(length + 8, dtype=np.uint8)
+    np.take(_LOWER, raw[base : base + length], out=low[:length])
+    starts, ends, first = word_bounds(low[:length], offsets - base)
+    return hash_spans(low, starts, ends), first, low[ends - 1], ends - starts
+
+
 def hash_spans(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each span of bytes; ``padded`` has eight bytes more than the last span needs."""
     eight = np.ndarray(shape=(max(len(padded) - 7, 0),), dtype="<u8", buffer=padded, strides=(1,))
