@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import class_lm, embedding_dedup, fingerprints, html_text, minhash_dedup, mixing, toxicity, warc
+from sieveline.llm import class_lm, embedding_dedup, fingerprints, html_text, minhash_dedup, mixing, surrogates, toxicity, warc
 from sieveline.llm.binding import query, table
 from sieveline.session import materialise
 
@@ -116,3 +116,9 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     """Documents scored by the class-based model and by word frequency."""
     return class_lm.scored(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+@query("op10_pii_surrogates")
+def op10(spark, sf_dir):
+    """Documents with personal data and secrets replaced by surrogates."""
+    return surrogates.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
