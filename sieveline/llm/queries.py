@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import class_lm, embedding_dedup, fingerprints, html_text, minhash_dedup, mixing, surrogates, toxicity, warc
+from sieveline.llm import class_lm, embedding_dedup, fingerprints, html_text, minhash_dedup, mixing, sentencepiece_codec, surrogates, toxicity, warc
 from sieveline.llm.binding import query, table
 from sieveline.session import materialise
 
@@ -122,3 +122,9 @@ def op8(spark, sf_dir):
 def op10(spark, sf_dir):
     """Documents with personal data and secrets replaced by surrogates."""
     return surrogates.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_sentencepiece")
+def op5(spark, sf_dir):
+    """Ids of every document, and whether they decode to its text."""
+    return sentencepiece_codec.coded(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
