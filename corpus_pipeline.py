@@ -5,21 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveline.llm import minhash_dedup
+from sieveline.llm import minhash_dedup, mixing, sentencepiece_codec, surrogates, toxicity
 from sieveline.session import materialise
 
-#: No SQL states the learned scores of the first stage or the encoding of the last.
+#: No SQL states the learned scores of the first stage, the keyed surrogates of the third or the ids of the last.
 ORACLE_SQL = None
 
 
+def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model learned from the labels rejects go."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest id."""
     return minhash_dedup.drop_copies(docs, words=5, percent=80)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets give way to surrogates; n_chars counts the new text."""
+    replaced = surrogates.with_surrogates(docs).drop("n_entities")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        replaced = replaced.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(kind))
+    return replaced.select(*docs.columns)
+
+
+def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text beside it."""
+    return sentencepiece_codec.encoded(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic_texts),
     ("minhash near-dedup", near_copies),
+    ("pii surrogates", personal_data),
+    ("source mixing", target_weights),
+    ("sentencepiece ids", token_ids),
 ]
 
 

@@ -75,13 +75,14 @@ def fingerprinted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            raw, offsets = W.buffers(batch.column(0))
+            row = batch.column(0)
+            raw, offsets = W.buffers(row.field(row.type.get_field_index(text_col)))
             marks = [x.tobytes().hex() for a, b in W.slices(offsets) for x in fingerprints(raw, offsets[a : b + 1])]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(marks, pa.string())], names=["row", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(marks, pa.string())], names=["row", "fingerprint"])
 
-    whole = F.struct(*[F.col(c) for c in docs.columns if c != "fingerprint"])
-    rows = docs.select(F.col(text_col).alias("_text"), whole.alias("row"))
-    return rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, fingerprint string").select("row.*", "fingerprint")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    found = rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, fingerprint string")
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "fingerprint"], "fingerprint")
 
 
 def edge_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

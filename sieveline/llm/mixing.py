@@ -29,14 +29,15 @@ STRIPES = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """_id, _source, size and the seeded hash of each row."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, carry: bool = False) -> DataFrame:
+    """_id, _source, size and the seeded hash of each row; with ``carry`` also the row itself."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).alias("_source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("_hash"),
+        *([F.struct(*docs.columns).alias("_row")] if carry else []),
     )
 
 
@@ -129,9 +130,12 @@ def quotas(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
-    share: float = SHARE, repeats: int = REPEATS, seed: int = 11,
+    share: float = SHARE, repeats: int = REPEATS, seed: int = 11, carry: bool = False,
 ) -> DataFrame:
-    """One row per row: _id, size, source_size, target (its source's), copies (how often the mix takes it), taken."""
+    """One row per row: _id, size, source_size, target (its source's), copies (how often the mix takes it), taken.
+
+    With ``carry``: _row (the whole row) and copies only.
+    """
     rows = materialise(sized(docs, id_col, text_col, source_col, seed))
     aims = materialise(targets(rows, weights, share, repeats))
     lengths = rows.filter("size > 0").groupBy("_source", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -160,15 +164,22 @@ def mixed(
         F.col("_source").alias("_s"), F.col("size").alias("_z"), F.col("_stripe").alias("_t"), "passes",
         F.least(F.greatest(F.col("quota") - F.col("_before"), F.lit(0)), F.col("n")).alias("room"), (F.col("quota") - F.col("_before")).between(1, F.col("n") - 1).alias("split"),
     )
-    placed = rows.withColumn("_stripe", stripe).join(
+    placed = (sized(docs, id_col, text_col, source_col, seed, carry=True) if carry else rows).withColumn("_stripe", stripe).join(
         stripes, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_stripe") == F.col("_t")), "left"
     )
     inside = Window.partitionBy("_source", "size", "_stripe").orderBy("_hash", "_id")
     ranked = placed.filter("split").withColumn("_extra", (F.row_number().over(inside) <= F.col("room")).cast("int"))
     plain = placed.filter("split is null or not split").withColumn("_extra", (F.coalesce("room", F.lit(0)) > 0).cast("int"))
+    counted = ranked.unionByName(plain).withColumn("copies", F.coalesce("passes", F.lit(0)) + F.col("_extra"))
+    if carry:
+        return counted.select("_row", "copies")
     return (
-        ranked.unionByName(plain)
-        .withColumn("copies", F.coalesce("passes", F.lit(0)) + F.col("_extra"))
-        .join(side, same)
+        counted.join(side, same)
         .select("_id", "_hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
     )
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The mixed rows themselves: each as often as the mix takes it."""
+    found = mixed(docs, carry=True, **options).filter("copies > 0")
+    return found.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")

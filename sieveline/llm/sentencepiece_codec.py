@@ -245,13 +245,15 @@ def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, ids_col
     def work(batches):
         encoder = Encoder(shared.value)
         for batch in batches:
-            _, offsets = W.buffers(batch.column(0))
-            for a, b, ids, begin in _batches(batch.column(0), offsets, encoder):
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(begin), pa.array(ids))], names=["row", "ids"])
+            row = batch.column(0)
+            texts = row.field(row.type.get_field_index(text_col))
+            _, offsets = W.buffers(texts)
+            for a, b, ids, begin in _batches(texts, offsets, encoder):
+                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), pa.ListArray.from_arrays(pa.array(begin), pa.array(ids))], names=["row", "ids"])
 
-    rows = docs.select(F.col(text_col).alias("_text"), F.struct(*[F.col(c) for c in docs.columns if c != ids_col]).alias("row"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     found = rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
-    return found.select("row.*", F.col("ids").alias(ids_col))
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != ids_col], F.col("ids").alias(ids_col))
 
 
 def decoded(rows: DataFrame, ids_col: str = "ids", model: str = MODEL, text_col: str = "decoded") -> DataFrame:

@@ -314,8 +314,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") ->
 
     def work(batches):
         for batch in batches:
-            keep = [model.score(text) < 0.5 for text in texts_of(batch, "_text")]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["row"])
+            row = batch.column(0)
+            texts = row.field(row.type.get_field_index(text_col))
+            yield batch.filter(pa.array([model.score(text.as_py() or "") < 0.5 for text in texts], pa.bool_()))
 
-    whole = docs.select(F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("row"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
     return whole.mapInArrow(work, f"row {whole.schema['row'].dataType.simpleString()}").select("row.*")
