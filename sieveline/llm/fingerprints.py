@@ -20,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.llm import words as W
 from sieveline.llm.blocks import Reports, forest, groups_of, in_blocks
 from sieveline.llm.components import components
+from sieveline.llm.rows import fields, whole
 from sieveline.session import materialise
 
 BITS = 128
@@ -78,11 +80,11 @@ def fingerprinted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             row = batch.column(0)
             raw, offsets = W.buffers(row.field(row.type.get_field_index(text_col)))
             marks = [x.tobytes().hex() for a, b in W.slices(offsets) for x in fingerprints(raw, offsets[a : b + 1])]
-            yield pa.RecordBatch.from_arrays([row, pa.array(marks, pa.string())], names=["row", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(marks, pa.string())], names=["_row", "fingerprint"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    found = rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, fingerprint string")
-    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "fingerprint"], "fingerprint")
+    rows = docs.select(whole(docs).alias("_row"))
+    found = rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField("fingerprint", T.StringType())]))
+    return found.select(*fields([c for c in docs.columns if c != "fingerprint"]), "fingerprint")
 
 
 def edge_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

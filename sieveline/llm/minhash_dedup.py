@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm import words as W
-from sieveline.llm.blocks import CAP, Reports, fixed_rows, forest, groups_of
-from sieveline.llm.blocks import in_blocks
+from sieveline.llm.blocks import CAP, Reports, forest, groups_of, in_blocks
 from sieveline.llm.components import components
+from sieveline.llm.rows import fields, whole
 from sieveline.session import materialise
 
 COORDINATES = 128
@@ -157,7 +157,6 @@ def collisions(bits: np.ndarray, block: np.ndarray, match: int) -> tuple[np.ndar
     else:
         one, two = np.flatnonzero(block == block.min()), np.flatnonzero(block != block.min())
     left, right = bits[one], bits[two]
-    # Only pairs that a first third of the coordinates leaves possible are counted to the end.
     found_i, found_j = [], []
     step = max(1, (4 << 20) // max(1, len(two) * COORDINATES))
     for a in range(0, len(one), step):
@@ -300,4 +299,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows with one id and texts that all are copies one id's rows stay or go together.
     """
     gone = groups_of_copies(docs, id_col, text_col, words, percent).filter("not kept").select(F.col("_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    rows = docs.select(whole(docs).alias("_row"))
+    return rows.join(gone, F.col("_row").getField(id_col).cast("long") == F.col("_gone"), "left_anti").select(*fields(docs.columns))

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.llm.rows import fields, whole
 from sieveline.session import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -37,7 +38,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
         F.col(source_col).alias("_source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("_hash"),
-        *([F.struct(*docs.columns).alias("_row")] if carry else []),
+        *([whole(docs).alias("_row")] if carry else []),
     )
 
 
@@ -182,4 +183,4 @@ def mixed(
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows themselves: each as often as the mix takes it."""
     found = mixed(docs, carry=True, **options).filter("copies > 0")
-    return found.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")
+    return found.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*fields(docs.columns))

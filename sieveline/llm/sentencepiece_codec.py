@@ -27,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.llm import words as W
+from sieveline.llm.rows import fields, whole
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -249,11 +251,11 @@ def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL, ids_col
             texts = row.field(row.type.get_field_index(text_col))
             _, offsets = W.buffers(texts)
             for a, b, ids, begin in _batches(texts, offsets, encoder):
-                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), pa.ListArray.from_arrays(pa.array(begin), pa.array(ids))], names=["row", "ids"])
+                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), pa.ListArray.from_arrays(pa.array(begin), pa.array(ids))], names=["_row", "ids"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    found = rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
-    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != ids_col], F.col("ids").alias(ids_col))
+    rows = docs.select(whole(docs).alias("_row"))
+    found = rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return found.select(*fields([c for c in docs.columns if c != ids_col]), F.col("ids").alias(ids_col))
 
 
 def decoded(rows: DataFrame, ids_col: str = "ids", model: str = MODEL, text_col: str = "decoded") -> DataFrame:
@@ -264,11 +266,11 @@ def decoded(rows: DataFrame, ids_col: str = "ids", model: str = MODEL, text_col:
         encoder = Encoder(shared.value)
         for batch in batches:
             texts = [encoder.decode(ids or ()) for ids in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string())], names=["row", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string())], names=["_row", "text"])
 
-    packed = rows.select(F.col(ids_col).cast("array<int>").alias("_ids"), F.struct(*[F.col(c) for c in rows.columns if c != text_col]).alias("row"))
-    found = packed.mapInArrow(work, f"row {packed.schema['row'].dataType.simpleString()}, text string")
-    return found.select("row.*", F.col("text").alias(text_col))
+    packed = rows.select(F.col(ids_col).cast("array<int>").alias("_ids"), whole(rows).alias("_row"))
+    found = packed.mapInArrow(work, T.StructType([packed.schema["_row"], T.StructField("text", T.StringType())]))
+    return found.select(*fields([c for c in rows.columns if c != text_col]), F.col("text").alias(text_col))
 
 
 def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:

@@ -17,11 +17,10 @@ Null texts stay null, texts without entities stay as they are. Of equal rows eac
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.rows import whole
 from sieveline.session import materialise
 
 KEY = "surrogate-key-1"
@@ -235,10 +234,12 @@ def person_names(text: Column) -> Column:
 def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """The rows with their text replaced, all other columns as they were, and ``n_entities`` (spans replaced;
     a bare name that recurs counts once)."""
-    text = F.col(text_col)
+    columns = [c for c in docs.columns if c != "n_entities"]
+    rows = docs.select(whole(docs).alias("_row"))
+    text = F.col("_row").getField(text_col)
     maybe = F.coalesce(text.rlike(MAYBE), F.lit(False))
-    row_key = F.xxhash64(F.col(id_col), text)
-    open_ = docs.filter(maybe).select(row_key.alias("_key"), matches(text).alias("_found"), person_names(text).alias("_names"))
+    rows_maybe = rows.filter(maybe).withColumn("_key", F.xxhash64(F.col("_row").getField(id_col), text))
+    open_ = rows_maybe.select("_key", matches(text).alias("_found"), person_names(text).alias("_names"))
     spans = (
         open_.select("_key", F.explode(F.array_distinct("_found")).alias("found")).withColumn("kind", kind_of(F.col("found"))).filter("kind is not null")
         .unionByName(open_.select("_key", F.explode("_names").alias("n")).select("_key", F.col("n.found").alias("found"), F.col("n.kind").alias("kind")))
@@ -252,7 +253,7 @@ def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.map_from_entries(F.collect_list(F.when(~F.col("name"), entry))).alias("_map"),
         F.array_sort(F.collect_list(F.when(F.col("name"), entry))).alias("_people"),
     )
-    keyed = docs.filter(maybe).withColumn("_key", row_key).join(by_text, "_key", "left")
+    keyed = rows_maybe.join(by_text, "_key", "left")
     gaps, hits = F.split(text, ANY, -1), matches(text)
     rebuilt = F.array_join(
         F.transform(gaps, lambda gap, i: F.concat(gap, F.when(i < F.size(hits), F.coalesce(F.try_element_at(F.col("_map"), F.get(hits, i)), F.get(hits, i))).otherwise(F.lit("")))), ""
@@ -262,7 +263,10 @@ def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), p.found, F.lit(r"\E(?![\p{L}\p{N}])")), p.new),
     )
     count = F.size(F.filter(hits, lambda h: F.map_contains_key(F.col("_map"), h))) + F.size("_people")
-    columns = [c for c in docs.columns if c not in (text_col, "n_entities")]
-    changed = keyed.select(*columns, F.when(F.col("_map").isNull(), text).otherwise(named).alias(text_col), F.when(F.col("_map").isNull(), 0).otherwise(count).cast("long").alias("n_entities"))
-    calm = docs.filter(~maybe).select(*columns, text_col, F.lit(0).cast("long").alias("n_entities"))
-    return calm.unionByName(changed).select(*[c for c in docs.columns if c != "n_entities"], "n_entities")
+    plain = F.col("_map").isNull()
+    new_text = F.when(plain, text).otherwise(named)
+    changed = keyed.select("_row", new_text.alias("_new"), F.when(plain, 0).otherwise(count).cast("long").alias("_n"))
+    calm = rows.filter(~maybe).select("_row", text.alias("_new"), F.lit(0).cast("long").alias("_n"))
+    return calm.unionByName(changed).select(
+        *[F.col("_new").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in columns], F.col("_n").alias("n_entities")
+    )

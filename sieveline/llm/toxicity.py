@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm import words as W
+from sieveline.llm.rows import fields, whole
 from sieveline.session import materialise
 
 #: Labelled rows of each class that are read at most.
@@ -318,5 +319,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") ->
             texts = row.field(row.type.get_field_index(text_col))
             yield batch.filter(pa.array([model.score(text.as_py() or "") < 0.5 for text in texts], pa.bool_()))
 
-    whole = docs.select(F.struct(*docs.columns).alias("row"))
-    return whole.mapInArrow(work, f"row {whole.schema['row'].dataType.simpleString()}").select("row.*")
+    rows = docs.select(whole(docs).alias("_row"))
+    return rows.mapInArrow(work, rows.schema).select(*fields(docs.columns))
