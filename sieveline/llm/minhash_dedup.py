@@ -288,7 +288,7 @@ def groups_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return (
         sketch.select("_id", "n_shingles", "set_hash")
         .join(heads, ["set_hash", "n_shingles"], "left")
-        .select("_id", "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
+        .select("_id", "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True)))
     )
 
