@@ -220,9 +220,12 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     hosts = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     seen = parsed.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     templates = seen.join(hosts, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash")
-    # Only boxes around main text matter now.
-    asked = parsed.select("key", "host", F.explode(F.array_distinct(F.flatten("boxes"))).alias("hash"))
+    # Only boxes around main text matter now; pages without any have nothing to lose and stay where they are.
+    boxed = F.exists("boxes", lambda b: F.size(b) > 0)
+    asked = parsed.filter(boxed).select("key", "host", F.explode(F.array_distinct(F.flatten("boxes"))).alias("hash"))
     gone = asked.join(templates, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("gone"))
     kept = F.filter(F.arrays_zip("texts", "boxes"), lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b.boxes, F.col("gone")))
     text = F.array_join(F.transform(kept, lambda b: b.texts), " ")
-    return parsed.join(gone, "key", "left").select("_id", "_url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    whole = parsed.filter(~boxed).select("_id", "_url", F.array_join("texts", " ").alias("text"))
+    rest = parsed.filter(boxed).join(gone, "key", "left").select("_id", "_url", text.alias("text"))
+    return whole.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
