@@ -1,6 +1,6 @@
 """WARC archives written from and read into chunked record tables.
 
-A payload is never held as one object: the writer takes rows (record, chunk number, bytes) that Spark has cut,
+Records are gzip members of their own, as in any .warc.gz. A payload is never held as one object: the writer takes rows (record, chunk number, bytes) that Spark has cut,
 writes each chunk as it comes and carries the digest along; the reader streams archives and gives the chunks
 of each payload as rows with the digest and length so far. Archives lie in a folder that all executors share
 (any URI that Arrow's file systems open). A task writes files of its own names and reports them; only
@@ -13,8 +13,11 @@ A record without an id never stands for others that have one. Every response's d
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +29,7 @@ from sieveline.session import materialise
 
 CHUNK = 1 << 20
 ARCHIVE = 1 << 30
+LEVEL = 6
 LEAST = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -97,20 +101,21 @@ def write_archives(records: DataFrame, folder: str, limit: int = ARCHIVE) -> Dat
                     if out is None:
                         at, base = file_system(folder)
                         at.create_dir(base, recursive=True)
-                        path, count, size = f"{folder}/{uuid.uuid4().hex}.warc", 0, 0
+                        path, count, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                         out = at.open_output_stream(f"{base}/{path.rpartition('/')[2]}", compression=None)
                     body, done, seen = (length if refers_to is None else 0), 0, hashlib.sha1()
                     head = http_head(length)
-                    out.write(warc_head(record, url, length, digest, refers_to, len(head) + body) + head)
+                    packed = zlib.compressobj(level=LEVEL, wbits=31)  # a gzip member of its own for each record
+                    out.write(packed.compress(warc_head(record, url, length, digest, refers_to, len(head) + body) + head))
                     size += len(head) + body
                     count += 1
-                out.write(data)
+                out.write(packed.compress(data))
                 seen.update(data)
                 done += len(data)
                 if done == body:
                     if refers_to is None and seen.hexdigest() != digest:
                         raise ValueError(f"record {record}: the chunks don't have the payload's digest")
-                    out.write(b"\r\n\r\n")
+                    out.write(packed.compress(b"\r\n\r\n") + packed.flush())
         if out is not None:
             out.close()
             yield path, count, size
@@ -188,8 +193,8 @@ def read_archives(archives: DataFrame, chunk: int = CHUNK, payloads: bool = True
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 at, name = file_system(path)
-                with pa.BufferedInputStream(at.open_input_stream(name, compression=None), 1 << 20) as raw:
-                    for row in chunks_of(Lines(raw), chunk):
+                with at.open_input_stream(name, compression=None, buffer_size=1 << 20) as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 18) as stream:
+                    for row in chunks_of(stream, chunk):
                         rows.append(row if payloads else (*row[:-1], None))
                         held += 400 + (len(row[-1]) if payloads else 0)
                         if held > 8 << 20:
@@ -201,26 +206,3 @@ def read_archives(archives: DataFrame, chunk: int = CHUNK, payloads: bool = True
     schema = "record_id string, record_type string, refers_to string, url string, chunk long, last boolean, size long, digest string, data binary"
     cores = archives.sparkSession.sparkContext.defaultParallelism
     return archives.select("path").repartition(max(cores, 1)).mapInArrow(work, schema)
-
-
-class Lines:
-    """Lines and exact reads over an Arrow stream, which has no lines."""
-
-    def __init__(self, raw):
-        self.raw, self.rest = raw, b""
-
-    def readline(self) -> bytes:
-        while (cut := self.rest.find(b"\n")) < 0:
-            more = self.raw.read(1 << 16)
-            if not more:
-                line, self.rest = self.rest, b""
-                return line
-            self.rest += more
-        line, self.rest = self.rest[: cut + 1], self.rest[cut + 1 :]
-        return line
-
-    def read(self, n: int) -> bytes:
-        if len(self.rest) < n:
-            self.rest += self.raw.read(n - len(self.rest))
-        data, self.rest = self.rest[:n], self.rest[n:]
-        return data
