@@ -27,6 +27,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
 STRIPES = 256
+#: Words that the fit covers, and documents of each length that it may choose anew.
+TABLE = 1 << 16
+SLACK = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,12 +89,13 @@ def ranks(sources: DataFrame) -> DataFrame:
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length sum up to the most that is not above the budget: bounded subset sums as bit rows.
 
-    Large lengths are first taken greedily while they fit, so the table is as wide as the last few lengths.
+    While more than a table's width is missing, large lengths are taken greedily.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
     order = np.argsort(-lengths)
     room = int(budget)
-    width = int(min(room, max(4 * int(lengths.max(initial=0)), 1 << 12)))
+    some = lengths[counts > 0]
+    width = int(min(room, max(4 * int(some.min(initial=0)), min(4 * int(some.max(initial=0)), TABLE))))
     for k in order:
         if room <= width:
             break
@@ -125,7 +129,7 @@ def quotas(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if budget >= total:
         return counts.copy()
     share = (counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
-    share = np.minimum(share, counts)
+    share = np.maximum(np.minimum(share, counts) - SLACK, 0)  # what the fit may choose from again
     return share + knapsack(lengths, counts - share, budget - int((lengths * share).sum()))
 
 
