@@ -115,7 +115,7 @@ def stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """256 keyed bytes as an array of numbers."""
     parts = [F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), F.lit(str(k)), canon), 512) for k in range(4)]
     text = F.concat(*parts)
-    return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    return F.transform(F.regexp_extract_all(text, F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def letter(alphabet: str, byte: Column) -> Column:
@@ -239,10 +239,11 @@ def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col("_row").getField(text_col)
     maybe = F.coalesce(text.rlike(MAYBE), F.lit(False))
     rows_maybe = rows.filter(maybe).withColumn("_key", F.xxhash64(F.col("_row").getField(id_col), text))
-    open_ = rows_maybe.select("_key", matches(text).alias("_found"), person_names(text).alias("_names"))
+    forms = F.transform(F.array_distinct(matches(text)), lambda m: F.struct(F.lit(None).cast("string").alias("kind"), m.alias("found")))
     spans = (
-        open_.select("_key", F.explode(F.array_distinct("_found")).alias("found")).withColumn("kind", kind_of(F.col("found"))).filter("kind is not null")
-        .unionByName(open_.select("_key", F.explode("_names").alias("n")).select("_key", F.col("n.found").alias("found"), F.col("n.kind").alias("kind")))
+        rows_maybe.select("_key", F.explode(F.concat(forms, person_names(text))).alias("s"))
+        .select("_key", F.col("s.found").alias("found"), F.coalesce(F.col("s.kind"), kind_of(F.col("s.found"))).alias("kind"))
+        .filter("kind is not null")
     )
     spans = materialise(spans.withColumn("canon", F.when(F.col("kind").contains("-"), F.lower("found")).otherwise(canonical(F.col("kind"), F.col("found")))))
     table = surrogate_table(spans.select("kind", "canon"), key)
@@ -255,9 +256,8 @@ def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     keyed = rows_maybe.join(by_text, "_key", "left")
     gaps, hits = F.split(text, ANY, -1), matches(text)
-    rebuilt = F.array_join(
-        F.transform(gaps, lambda gap, i: F.concat(gap, F.when(i < F.size(hits), F.coalesce(F.try_element_at(F.col("_map"), F.get(hits, i)), F.get(hits, i))).otherwise(F.lit("")))), ""
-    )
+    pieces = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))  # one hit less than gaps; both are found once
+    rebuilt = F.array_join(F.transform(pieces, lambda p: F.concat(p.gap, F.coalesce(F.try_element_at(F.col("_map"), p.hit), p.hit, F.lit("")))), "")
     named = F.aggregate(
         F.col("_people"), F.when(F.size("_map") > 0, rebuilt).otherwise(text),
         lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), p.found, F.lit(r"\E(?![\p{L}\p{N}])")), p.new),
