@@ -34,8 +34,9 @@ from sieveline.llm.rows import fields, whole
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Stretches that a worker remembers, and the longest that is remembered.
+#: Stretches that a worker remembers at least (twice as many at most), pairs of pieces, and the longest stretch.
 REMEMBERED = 300_000
+PAIRS = 1_000_000
 LONGEST_REMEMBERED = 64
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -98,7 +99,7 @@ class Vocabulary:
         key = (one, two)
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= REMEMBERED:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             known = self._pairs[key] = self.merged(one + two) == ([one, two] if one else [two])
         return known
@@ -172,6 +173,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def short(self, text: str) -> bytes:
         """The same pass over a stretch that fits the window, where nothing is committed before its end."""
@@ -209,9 +211,12 @@ class Encoder:
         return np.array(ids, dtype=np.int32).tobytes()
 
     def word(self, word: str) -> bytes:
-        found = self.stretch(SPACE + word)
+        found = self.older.get(word)
+        if found is None:
+            found = self.stretch(SPACE + word)
         if len(word) <= LONGEST_REMEMBERED:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= REMEMBERED:  # what isn't met again while as many others are is forgotten
+                self.older = dict(self.known)
                 self.known.clear()
             self.known[word] = found
         return found
