@@ -67,7 +67,8 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, tuple[int, ...], bool, int]] = []  # text, boxes, dropped, article
         self.hashes: list[int] = []  # of the boxes, by number
-        self.stack: list[list] = []  # [tag, box number or -1, dropped, article number, hasher]
+        self.stack: list[list] = []  # [tag, box number or -1, dropped, article number]
+        self.hashers: list = []  # of the open boxes
         self.text: list[str] = []
         self.articles = self.mains = 0
         self.read(source)
@@ -104,11 +105,10 @@ class Page:
         self.text = []
         if text:
             boxes = tuple(s[1] for s in self.stack if s[1] >= 0)
-            top = self.stack[-1] if self.stack else ["", -1, False, 0, None]
+            top = self.stack[-1] if self.stack else ["", -1, False, 0]
             self.blocks.append((text, boxes, top[2], top[3]))
-            for s in self.stack:
-                if s[4] is not None:
-                    s[4].update(text.encode("utf-8", "replace") + b"\0")
+            if self.hashers:
+                self.hashers[-1].update(text.encode("utf-8", "replace") + b"\0")
 
     def open(self, tag: str, raw: str) -> None:
         if tag not in BREAKS:
@@ -127,7 +127,7 @@ class Page:
                 attributes.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
             if re.search(r"(?:^|\s)hidden(?:\s|/|$)", raw):
                 attributes.setdefault("hidden", "")
-        up = self.stack[-1] if self.stack else ["", -1, False, 0, None]
+        up = self.stack[-1] if self.stack else ["", -1, False, 0]
         article = up[3]
         if tag == "article" and not article > 0:
             self.articles += 1
@@ -136,20 +136,23 @@ class Page:
             self.mains += 1
             article = -self.mains
         gone = up[2] or dropped(tag, attributes, up[3] > 0)
-        box, hasher = -1, None
+        box = -1
         mark = f"<{tag} {attributes.get('class', '')} {attributes.get('id', '')}>".encode("utf-8", "replace")
-        for s in self.stack:
-            if s[4] is not None:
-                s[4].update(mark)
+        if self.hashers:
+            self.hashers[-1].update(mark)
         if tag in BOXES and tag not in ("article", "main"):
-            box, hasher = len(self.hashes), xxhash.xxh64(mark)
+            box = len(self.hashes)
+            self.hashers.append(xxhash.xxh64(mark))
             self.hashes.append(0)
-        self.stack.append([tag, box, gone, article, hasher])
+        self.stack.append([tag, box, gone, article])
 
     def pop(self) -> None:
-        tag, box, _, _, hasher = self.stack.pop()
+        tag, box, _, _ = self.stack.pop()
         if box >= 0:
-            self.hashes[box] = hasher.intdigest() - (1 << 63)
+            own = self.hashers.pop()
+            self.hashes[box] = own.intdigest() - (1 << 63)
+            if self.hashers:  # a box's hash is made of those of the boxes in it
+                self.hashers[-1].update(own.digest())
 
     def close_until(self, tag: str, stops) -> None:
         """Close the innermost open ``tag``, but not beyond one of ``stops``."""
