@@ -265,3 +265,16 @@ TIER_REASON_TEXT = {
     "capped_d1_gate": "Capped at B: D1 below 2 (D1 gate is on).",
 }
 ROLE_TITLE_TEXT = {"PM": "Product Manager", "SPM": "Senior Product Manager"}
+
+# The digest's lines.
+DIGEST_LEAD = ("Holds due today: decide again on ", ".\n\n")
+DIGEST_WAITING = ("- Waiting for your decision: ", "{n_waiting}", " (oldest ", "{oldest_days}", " days): ", "{url}", "/shortlist\n")
+DIGEST_LISTS = {
+    "holds_due": "- Holds due today: ",
+    "interviewed": "- Interviewed, no next step: ",
+    "not_booked": "- Advanced, not booked (nudged): ",
+    "bounced": "- Bounced emails: ",
+}
+DIGEST_PIPELINE = (
+    "- Pipeline: Advanced ", "{n_advanced}", " · Booked ", "{n_booked}", " · Interviewed ", "{n_interviewed}", " · Offer ", "{n_offer}",
+)

@@ -24,22 +24,24 @@ def median_from_counts(counts: list[Column]) -> Column:
 
 
 def combine_dims(
-    checked: DataFrame, keys: list[str], order: Column, carry: list[str], max_runs: int | None = None
+    checked: DataFrame, keys: list[str], order: Column, carry: list[str], with_scores: bool = False
 ) -> DataFrame:
     """One row per document and dimension from its checked runs.
 
     Scores are 0..4, so a group is summed up by five counters and, per score, the earliest run: the
     state is the same size however many runs there are, and it is merged before the shuffle. ``order``
     is the run order; ``carry`` the columns taken from the earliest run whose score is the median.
+    ``with_scores`` adds the scores of all runs in the order of ``run_ix``: a list as long as a document
+    has runs, which is for runs that are few.
     """
     earliest = [
         F.min_by(F.when(F.col("score") == s, F.struct(*carry)), F.when(F.col("score") == s, order)).alias(f"_e{s}")
         for s in range(5)
     ]
     vector = []
-    if max_runs:
-        cells = [F.max(F.when(F.col("run_ix") == r, F.col("score"))) for r in range(max_runs)]
-        vector = [F.array_compact(F.array(*cells)).alias("run_scores")]
+    if with_scores:
+        runs = F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("run_ix", "score"))))
+        vector = [F.transform(runs, lambda r: r["score"]).alias("run_scores")]
     grouped = checked.groupBy(*keys).agg(
         *_counts_by_score(), *earliest, (F.max("score") - F.min("score")).alias("spread"),
         F.count("score").alias("n_runs"), *vector,
@@ -47,7 +49,7 @@ def combine_dims(
     median = median_from_counts([F.col(f"_n{s}") for s in range(5)])
     chosen = F.get(F.array(*[F.col(f"_e{s}") for s in range(5)]), F.col("score"))
     out = grouped.withColumn("score", median).withColumn("_chosen", chosen)
-    return out.select(*keys, "score", "spread", "n_runs", *(["run_scores"] if max_runs else []), "_chosen.*")
+    return out.select(*keys, "score", "spread", "n_runs", *(["run_scores"] if with_scores else []), "_chosen.*")
 
 
 def vote(counts: dict[str, Column], missing: Column, tie_value: str) -> Column:

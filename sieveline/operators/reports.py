@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline import fixed
 from sieveline.functions import dates
-from sieveline.operators.skew import latest_per_key, positions
-
-INLINE_NAMES = 1_000
+from sieveline.operators.skew import join_per_key, latest_per_key, positions
 
 
 def display_name(name: Column, file_name: Column, doc_id: Column) -> Column:
@@ -272,53 +270,44 @@ def digest_items(rows: DataFrame, decisions: DataFrame, emails: DataFrame, today
 
 
 def digest_lists(items: DataFrame) -> DataFrame:
-    """(pool_id, section, n, listed): "n (a, b)" while a list is short enough to read.
+    """(pool_id, section, n, position, name): every name in its place in its list, however long the list."""
+    keys = ["pool_id", "section"]
+    placed = positions(items, keys, [F.col("doc_id"), F.col("name")])
+    counts = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return join_per_key(placed, counts, keys, "n").select("pool_id", "section", "n", "position", "name")
 
-    A list longer than INLINE_NAMES shows its count alone; its names stay, whole, in ``items``. Counts
-    decide first, so a long list is never put together.
-    """
-    counts = items.groupBy("pool_id", "section").agg(F.count(F.lit(1)).alias("n"))
-    short = counts.filter(F.col("n") <= INLINE_NAMES)
-    names = (
-        items.join(F.broadcast(counts.filter(F.col("n") > INLINE_NAMES).orderBy(F.desc("n")).limit(INLINE_NAMES)), ["pool_id", "section"], "left_anti")
-        .join(short, ["pool_id", "section"], "left_semi")
-        .groupBy("pool_id", "section")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "name"))), lambda i: i["name"]), ", ").alias("names"))
-    )
-    text = F.concat(F.col("n").cast("string"), F.coalesce(F.concat(F.lit(" ("), F.col("names"), F.lit(")")), F.lit("")))
-    return counts.join(names, ["pool_id", "section"], "left").select("pool_id", "section", "n", text.alias("listed"))
 
+def digest_parts(counts: DataFrame, lists: DataFrame, configs: DataFrame, now: Column, dashboard_url: str) -> DataFrame:
+    """One message per pool in parts: (pool_id, idempotency_key, subject, line, position, text).
 
-def digest_rows(counts: DataFrame, lists: DataFrame, configs: DataFrame, now: Column, dashboard_url: str) -> DataFrame:
-    """One message per pool: subject, body and the key that keeps it to one a day."""
-    sections = ["holds_due", "interviewed", "not_booked", "bounced"]
-    wide = lists.groupBy("pool_id").agg(
-        *[F.max(F.when(F.col("section") == s, F.col("listed"))).alias(s) for s in sections],
-        F.max(F.when(F.col("section") == "holds_due", F.regexp_extract("listed", r"\((.*)\)$", 1))).alias("due_names"),
-    )
-    joined = counts.join(wide, "pool_id", "left").join(configs.select("pool_id", "offer_target_date"), "pool_id")
-    joined = joined.withColumn("weeks_left", dates.weeks_left(F.col("offer_target_date"), now))
+    The texts of a pool's parts in the order of line and position are its message; a list of names has
+    one part per name, so no list is put together in one task. The key keeps a message to one a day.
+    """
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))
-
-    def line(*parts) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    body = F.concat_ws(
-        "\n",
-        line("- Waiting for your decision: ", cell("n_waiting"), " (oldest ", cell("oldest_days"), f" days): {dashboard_url}/shortlist"),
-        line("- Holds due today: ", cell("holds_due")),
-        line("- Interviewed, no next step: ", cell("interviewed")),
-        line("- Advanced, not booked (nudged): ", cell("not_booked")),
-        line("- Bounced emails: ", cell("bounced")),
-        line(
-            "- Pipeline: Advanced ", cell("n_advanced"), " · Booked ", cell("n_booked"), " · Interviewed ", cell("n_interviewed"),
-            " · Offer ", cell("n_offer"),
-        ),
-    )
-    lead = F.when(F.col("holds_due").isNotNull(), line("Holds due today: decide again on ", F.col("due_names"), "."))
-    return joined.select(
-        "pool_id",
-        F.concat(F.lit("digest:"), dates.local_date(now).cast("string")).alias("idempotency_key"),
-        line("Hiring: ", cell("n_waiting"), " waiting · ", cell("weeks_left"), " weeks to target").alias("subject"),
-        F.concat_ws("\n\n", lead, body).alias("text"),
+    joined = counts.join(configs.select("pool_id", "offer_target_date"), "pool_id")
+    joined = joined.withColumn("weeks_left", dates.weeks_left(F.col("offer_target_date"), now))
+    sizes = lists.filter("position = 1").groupBy("pool_id").pivot("section", list(fixed.DIGEST_LISTS)).agg(F.max("n"))
+    heads = joined.join(sizes, "pool_id", "left").select(
+        "pool_id", *joined.columns[1:], *[F.coalesce(F.col(s), F.lit(0)).alias(s) for s in fixed.DIGEST_LISTS]
     )
+    parts = [
+        (1, F.lit(0), F.concat(*[F.lit(p) if p[0] != "{" else F.lit(dashboard_url) if p == "{url}" else cell(p[1:-1]) for p in fixed.DIGEST_WAITING])),
+        (6, F.lit(0), F.concat(*[F.lit(p) if p[0] != "{" else cell(p[1:-1]) for p in fixed.DIGEST_PIPELINE])),
+    ]
+    for line, (section, label) in enumerate(fixed.DIGEST_LISTS.items(), start=2):
+        size = F.col(section)
+        parts.append((line, F.lit(0), F.concat(F.lit(label), size.cast("string"), F.when(size > 0, " (").otherwise("\n"))))
+        parts.append((line, size + 1, F.when(size > 0, F.lit(")\n"))))
+    due = F.col("holds_due")
+    parts += [(0, F.lit(0), F.when(due > 0, F.lit(fixed.DIGEST_LEAD[0]))), (0, due + 1, F.when(due > 0, F.lit(fixed.DIGEST_LEAD[1])))]
+    entries = F.array(*[F.struct(F.lit(line).alias("line"), position.cast("bigint").alias("position"), text.alias("text")) for line, position, text in parts])
+    key = F.concat(F.lit("digest:"), dates.local_date(now).cast("string")).alias("idempotency_key")
+    subject = F.concat(F.lit("Hiring: "), cell("n_waiting"), F.lit(" waiting · "), cell("weeks_left"), F.lit(" weeks to target")).alias("subject")
+    frame = heads.select("pool_id", key, subject, F.inline(F.filter(entries, lambda e: e["text"].isNotNull())))
+    lines = F.create_map(*[x for k, s in enumerate(fixed.DIGEST_LISTS, start=2) for x in (F.lit(s), F.lit(k))])
+    name = F.concat(F.when(F.col("position") > 1, ", ").otherwise(""), F.col("name"))
+    # The names of due holds stand in their list and in the lead.
+    places = F.when(F.col("section") == "holds_due", F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.try_element_at(lines, F.col("section"))))
+    names = lists.select("pool_id", F.explode(places).alias("line"), "position", name.alias("text"))
+    named = names.join(heads.select("pool_id", key, subject), "pool_id").select(*frame.columns)
+    return frame.unionByName(named)

@@ -12,9 +12,9 @@ from sieveline.operators import combine, evidence, experience, rank
 CARRY = ["evidence_status", "confidence", "rationale", "evidence", "quote_norms", "quote_mismatch", "capped"]
 
 
-def combined_runs(run_dims: DataFrame, index: DataFrame, max_runs: int = 5) -> DataFrame:
+def combined_runs(run_dims: DataFrame, index: DataFrame) -> DataFrame:
     checked = evidence.check_runs(run_dims, index).withColumnRenamed("quote_failed", "quote_mismatch")
-    return combine.combine_dims(checked, ["doc_id", "dim"], F.col("run_ix"), CARRY, max_runs)
+    return combine.combine_dims(checked, ["doc_id", "dim"], F.col("run_ix"), CARRY, with_scores=True)
 
 
 def score_documents(

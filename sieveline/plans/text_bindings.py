@@ -179,22 +179,21 @@ _NORM = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 @query(
     "quote_verify",
     f"""WITH d AS (SELECT doc_id, {_NORM} AS norm FROM documents),
-      q AS (SELECT doc_id, -1 AS turn, array_to_string(string_split(norm, ' ')[3:8], ' ') AS quote FROM d
-            UNION ALL SELECT conv_id, turn, string_split(text, chr(10))[1] FROM conversations)
-      SELECT q.doc_id, q.turn, length(trim(regexp_replace(quote, '\\s+', ' ', 'g'))) >= 3
+      l AS (SELECT doc_id, -1 AS turn, string_split(text, chr(10)) AS ls FROM documents
+            UNION ALL SELECT conv_id, turn, string_split(text, chr(10)) FROM conversations),
+      q AS (SELECT doc_id, turn, unnest(range(len(ls))) AS line, unnest(ls) AS quote FROM l)
+      SELECT q.doc_id, q.turn, q.line, length(trim(regexp_replace(quote, '\\s+', ' ', 'g'))) >= 3
              AND contains(d.norm, trim(regexp_replace(quote, '\\s+', ' ', 'g'))) AS quote_ok
       FROM q JOIN d USING (doc_id)""",
 )
 def quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = text_table(spark, sf_dir, "documents", "doc_id", ["text"])
     index = docs.select("doc_id", tx.normal(F.col("text")).alias("norm"))
-    own = docs.select(
-        "doc_id", F.lit(-1).cast("bigint").alias("turn"), F.array_join(F.slice(F.split(tx.squeeze(F.col("text")), " "), 3, 6), " ").alias("quote")
-    )
-    said = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("doc_id"), "turn", F.get(F.split("text", "\n"), F.lit(0)).alias("quote")
-    )
-    return evidence.check_quotes(own.unionByName(said), index).select("doc_id", "turn", "quote_ok")
+    lines = F.posexplode(F.split("text", "\n")).alias("line", "quote")
+    own = docs.select("doc_id", F.lit(-1).cast("bigint").alias("turn"), lines)
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", lines)
+    checked = evidence.check_quotes(own.unionByName(said), index)
+    return checked.select("doc_id", "turn", F.col("line").cast("bigint").alias("line"), "quote_ok")
 
 
 @query(
@@ -227,7 +226,7 @@ def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "calibration_margin",
-    f"""WITH m AS (SELECT doc_id, CAST({WORDS_SQL} AS DOUBLE) AS core FROM documents WHERE n_chars > 200)
+    f"""WITH m AS (SELECT doc_id, CAST({WORDS_SQL} AS DOUBLE) AS core FROM documents)
       SELECT count(*) AS n, bool_and(core IS NOT NULL) AS complete, min(core) FILTER (WHERE quality = 1) AS min_top,
              max(core) FILTER (WHERE quality = 0) AS max_others,
              min(core) FILTER (WHERE quality = 1) - max(core) FILTER (WHERE quality = 0) AS margin,
@@ -235,8 +234,8 @@ def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM labels LEFT JOIN m USING (doc_id)""",
 )
 def calibration_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word count as the score of a document; documents of no length have none."""
-    docs = text_table(spark, sf_dir, "documents", "doc_id", ["text", "n_chars"]).filter("n_chars > 200")
+    """Word count as the score of a document."""
+    docs = text_table(spark, sf_dir, "documents", "doc_id", ["text"])
     core = docs.select("doc_id", tx.word_count(F.col("text")).cast("double").alias("core_score"))
     return calibration.verdict(table(spark, sf_dir, "labels"), core, label="quality", top=1)
 
@@ -322,7 +321,7 @@ def unit_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "relocation_status",
-    f"""WITH s AS (SELECT doc_id, source, CASE lang WHEN 'en' THEN text ELSE '' END AS said, CASE source WHEN 'src3' THEN 'Old Bombay' ELSE lang END AS place FROM documents)
+    f"""WITH s AS (SELECT doc_id, source, text AS said, CASE source WHEN 'src3' THEN 'Old Bombay' ELSE lang END AS place FROM documents)
       SELECT CASE WHEN regexp_matches(said, '{fixed.ELIGIBLE_NO_PATTERN.replace("'", "''")}', 'i') THEN 'stated_no'
         WHEN regexp_matches(said, '{fixed.ELIGIBLE_YES_PATTERN}', 'i') THEN 'stated_yes'
         WHEN regexp_matches(place, '{fixed.ELIGIBLE_PLACE_PATTERN}', 'i') THEN 'stated_yes' ELSE 'unstated' END AS eligibility, source, count(*) AS n
@@ -330,7 +329,7 @@ def unit_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def relocation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = text_table(spark, sf_dir, "documents", "doc_id", ["text", "lang", "source"])
-    said = F.when(F.col("lang") == "en", F.col("text")).otherwise("")
+    said = F.col("text")
     place = F.when(F.col("source") == "src3", "Old Bombay").otherwise(F.col("lang"))
     return (
         docs.select("source", identity.eligibility(said, F.array(place)).alias("eligibility"))

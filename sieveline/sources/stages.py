@@ -8,7 +8,7 @@ half-way leaves the old one in force.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,10 +65,10 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def audit_rows(targets: DataFrame, action: str, actor: str, target_col: str, now) -> DataFrame:
+def audit_rows(targets: DataFrame, action: str | Column, actor: str, target_col: str, now) -> DataFrame:
     """Audit entries for the targets of an action."""
     return targets.select(
-        F.lit(actor).alias("actor"), F.lit(action).alias("action"), F.col(target_col).alias("target_id"), now.alias("at")
+        F.lit(actor).alias("actor"), (F.lit(action) if isinstance(action, str) else action).alias("action"), F.col(target_col).alias("target_id"), now.alias("at")
     )
 
 

@@ -25,11 +25,12 @@ def ts(minute):
 
 
 def test_median_and_totals(spark):
-    rows = [("a", i, s) for i, s in enumerate([3, 1, 2])] + [("b", i, s) for i, s in enumerate([4, 3, 3])] + [("c", 0, 0), ("c", 1, 4)]
+    rows = [("a", i, s) for i, s in enumerate([3, 1, 2])] + [("b", i, s) for i, s in enumerate([4, 3, 3])] + [("c", 0, 0), ("c", 1, 4)] + [("d", i, s) for i, s in enumerate([1, 2, 3, 4, 0, 2, 2])]
     df = spark.createDataFrame(rows, "doc_id string, run_ix int, score int")
-    got = {r.doc_id: r for r in combine.combine_dims(df, ["doc_id"], F.col("run_ix"), ["run_ix"], 5).collect()}
+    got = {r.doc_id: r for r in combine.combine_dims(df, ["doc_id"], F.col("run_ix"), ["run_ix"], with_scores=True).collect()}
     assert (got["a"].score, got["b"].score, got["b"].run_ix, got["c"].score) == (2, 3, 1, 4)
     assert got["a"].run_scores == [3, 1, 2] and got["c"].spread == 4
+    assert got["d"].run_scores == [1, 2, 3, 4, 0, 2, 2] and got["d"].n_runs == 7
     cores = [((4, 4, 4, 4, 3, 3), 95), ((4, 3, 3, 3, 3, 2), 80), ((2, 2, 2, 2, 1, 3), 50), ((0, 2, 2, 2, 3, 0), 32.5)]
     wide = spark.createDataFrame([(*s, None, None, float(want)) for s, want in cores], "s_d1 int, s_d2 int, s_d3 int, s_d4 int, s_d5 int, s_d6 int, s_d8 int, s_d9 int, want double")
     assert all(r.want == r.got for r in wide.select("want", rank.weighted_total("CORE", cfg.literal(fixed.DEFAULT_CONFIG)).alias("got")).collect())
@@ -209,14 +210,24 @@ def test_digest(spark):
     holds = spark.createDataFrame([("b", "hold", None, dt.date(2026, 10, 1)), ("a", "hold", None, dt.date(2026, 9, 1))], "evaluation_id string, action string, undone_at timestamp, hold_until date")
     mails = spark.createDataFrame([("m", "x", "d", "nudge", "p", "delivered", T0, T0)], MAIL)
     items = reports.digest_items(df, holds, mails, F.lit("2026-10-01").cast("date"))
-    out = reports.digest_rows(reports.digest_counts(df, ts(0), ["pool_id"]), reports.digest_lists(items), cfg.config_frame(spark, {"p": fixed.DEFAULT_CONFIG}), ts(0), "https://app").first()
-    assert out.idempotency_key == "digest:2026-10-01" and out.subject == "Hiring: 1 waiting · 13 weeks to target"
-    assert out.text == (
+    frame = cfg.config_frame(spark, {"p": fixed.DEFAULT_CONFIG})
+    out = reports.digest_parts(reports.digest_counts(df, ts(0), ["pool_id"]), reports.digest_lists(items), frame, ts(0), "https://app").orderBy("line", "position").collect()
+    assert {(r.idempotency_key, r.subject) for r in out} == {("digest:2026-10-01", "Hiring: 1 waiting · 13 weeks to target")}
+    assert "".join(r.text for r in out) == (
         "Holds due today: decide again on Bo.\n\n- Waiting for your decision: 1 (oldest 2 days): https://app/shortlist\n- Holds due today: 1 (Bo)\n- Interviewed, no next step: 1 (Cy)\n"
         "- Advanced, not booked (nudged): 1 (Di (nudged))\n- Bounced emails: 1 (Cy)\n- Pipeline: Advanced 1 · Booked 0 · Interviewed 1 · Offer 0"
     )
 
 
+def test_a_digest_names_everybody(spark):
+    people = spark.range(1_001).select(F.lit("p").alias("pool_id"), F.lit("holds_due").alias("section"), F.format_string("d%05d", "id").alias("doc_id"), F.format_string("N%d", "id").alias("name"))
+    counts = spark.createDataFrame([("p", 0, 0, 0, 0, 0, 0)], "pool_id string, n_waiting long, oldest_days int, n_advanced long, n_booked long, n_interviewed long, n_offer long")
+    parts = reports.digest_parts(counts, reports.digest_lists(people), cfg.config_frame(spark, {"p": fixed.DEFAULT_CONFIG}), ts(0), "https://app").orderBy("line", "position").collect()
+    names = ", ".join(f"N{k}" for k in range(1_001))
+    text = "".join(r.text for r in parts)
+    assert text.startswith(f"Holds due today: decide again on {names}.\n\n- Waiting") and f"- Holds due today: 1001 ({names})\n- Interviewed, no next step: 0\n" in text
+
+
 def test_evidence_pack(spark):
     ranked = spark.createDataFrame([("d", "PM", "A", 70.25, 10.0, 55.55, ["VERIFY_CLAIM", "LEGACY"], 3, 1)], "doc_id string, role_used string, tier string, pm_total double, spm_total double, core_score double, flags array<string>, d7_pm int, d7_spm int")
     dims = spark.createDataFrame([("d", "D2", 3, "present", "high", "r", [("q", True)], False), ("d", "D1", 0, "weak", "low", "r", [("bad", True)], True), ("d", "D9", 1, "weak", "low", "r", [], False)], "doc_id string, dim string, score int, evidence_status string, confidence string, rationale string, evidence array<struct<quote:string,primary:boolean>>, quote_mismatch boolean")
