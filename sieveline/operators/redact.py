@@ -117,11 +117,11 @@ def replace_terms(text: Column, terms: Column, mark: str) -> Column:
     return F.aggregate(terms, text, lambda acc, term: F.regexp_replace(acc, term_pattern(term), F.lit(mark)))
 
 
-def case_passes() -> list[tuple[str, list[tuple[str, str]]]]:
-    """Three passes over the pronouns: upper case, capitalised, every other spelling.
+def pronoun_passes() -> list[tuple[str, list[tuple[str, str]]]]:
+    """One pass per pronoun rule, in their order: (pattern that tells whether it has work, replacements).
 
-    Each is (pattern that tells whether the pass has work, [(pattern, replacement), ...]) with the
-    spellings of one rule side by side.
+    A rule has three spellings: upper case, capitalised, every other one. Marks of earlier replacements
+    stand in the text without belonging to it, so what looks ahead passes over them.
     """
 
     def spelled(words: list[str], case: str) -> str:
@@ -133,14 +133,12 @@ def case_passes() -> list[tuple[str, list[tuple[str, str]]]]:
     def cased(word: str, case: str) -> str:
         return word.upper() if case == "upper" else word[0].upper() + word[1:] if case == "title" else word
 
+    silent = "[" + MARKS["pronouns"] + MARKS["honorifics"] + "]"
     passes = []
-    for case in ("upper", "title", "lower"):
-        rules = [
-            (WORD_START + spelled(words, case) + jvm(tail), MARKS["pronouns"] + cased(replacement, case))
-            for words, tail, replacement in fixed.PRONOUN_RULES
-        ]
-        everyone = sorted({w for words, _, _ in fixed.PRONOUN_RULES for w in words if "'" not in w})
-        passes.append((WORD_START + spelled(everyone, case) + jvm(r"\b"), rules))
+    for words, tail, replacement in fixed.PRONOUN_RULES:
+        after = jvm(tail).replace(jvm(r"\s+"), f"{silent}*{jvm(chr(92) + 's')}(?:{silent}|{jvm(chr(92) + 's')})*") if r"\s+" in tail else jvm(tail)
+        rules = [(WORD_START + spelled(words, case) + after, MARKS["pronouns"] + cased(replacement, case)) for case in ("upper", "title", "lower")]
+        passes.append((WORD_START + "(?i:" + "|".join(words) + ")", rules))
     return passes
 
 
@@ -201,7 +199,7 @@ def _mark_pronouns(text: Column) -> Column:
         return run
 
     out = text
-    for has_work, rules in case_passes():
+    for has_work, rules in pronoun_passes():
         out = bind(out, one_pass(has_work, rules))
     return out
 
