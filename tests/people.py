@@ -13,45 +13,28 @@ AS_OF = "2026-09-28"
 
 
 def extract(doc_id="d1", **changes):
+    # One trap a line: who is named, where, when, how, and what no reader of a profile may learn.
+    newer = [
+        "“He turns a fault report into a fix overnight” (plant review, Aug 2024)",
+        "Replaced Glasswing's paper pick lists; the dock at Mundra copied them",
+        "Took a sabbatical before this job",
+        "Audited night shifts together with Mrs. Tanvi Deshmukh in Nagpur",
+        "Questions go to Ruben: ruben.castellan@example.org, +91 80000 12345",
+    ]
+    older = ["Counted stock for 1998 customers and 2040 orders", "CPI 9.2, earned beside the job"]
     base = {
         "doc_id": doc_id,
+        "summary_raw": "Ruben keeps stock honest. Speaks Tamil. Marital status: single.",
+        "skills_raw": ["SQL", "Tamil", "Languages: Rust, Tamil, Zig"],
+        "education": [{"degree_field": "B.Sc., Statistics", "institution_raw": "Riverbend Institute", "certifications": ["Six Sigma, NIT Trichy 2020"]}],
+        "relocation_statement": None,
         "identity": {
-            "name": "Leela Varghese",
-            "emails": ["leela.varghese@example.net"],
-            "phones": ["+91 91234 56780"],
-            "urls": ["linkedin.com/in/leelavarghese"],
-            "locations": ["Pune, Maharashtra"],
+            "name": "Ruben Castellan", "emails": ["ruben.castellan@example.org"], "phones": ["+91 80000 12345"], "urls": ["castellan.example.org/ruben"], "locations": ["Nagpur"],
         },
         "roles": [
-            {
-                "title": "Operations Lead",
-                "company_raw": "Tidemark Freight Pvt. Ltd.",
-                "company_descriptor": "Mid-sized freight forwarder, ~120 staff",
-                "start_raw": "Mar 2021",
-                "end_raw": "Present",
-                "bullets": [
-                    "• Built Tidemark's first exception dashboard; the desk at JNPT still uses it",
-                    "Worked with Mr. Suresh Nambiar on customs holds in Chennai",
-                    "Returned to work in 2021 after a career break to care for family",
-                    "“She never waits to be asked, and her fixes stick” - client review, Mar 2023",
-                    "Reach Leela on +91 91234 56780 or leela.varghese@example.net",
-                ],
-            },
-            {
-                "title": "Documentation Executive",
-                "company_raw": "Copperfield Shipping Services (NVOCC)",
-                "company_descriptor": "NVOCC, 40 staff",
-                "start_raw": "Jul 2018",
-                "end_raw": "Feb 2021",
-                "bullets": ["Handled 1999 shipments a month for 2010 clients", "CGPA: 8.9/10 while on the job"],
-            },
+            {"title": "Systems Manager", "company_raw": "Glasswing Industries LLP", "company_descriptor": "robotics maker with two sites", "start_raw": "Feb 2022", "end_raw": "Present", "bullets": newer},
+            {"title": "Stock Analyst", "company_raw": "Pennywhistle Retail Group", "company_descriptor": "retail chain", "start_raw": "Sep 2018", "end_raw": "Jan 2022", "bullets": older},
         ],
-        "education": [
-            {"degree_field": "B.Com, Accounting", "institution_raw": "Lakeshore College of Commerce", "certifications": ["IATA DGR, IIM Ahmedabad 2019"]}
-        ],
-        "summary_raw": "Leela owns every escalation. Fluent in Marathi and English. Married with two children.",
-        "skills_raw": ["Excel", "Languages: Python, Hindi, Go", "Marathi"],
-        "relocation_statement": "Willing to relocate to Mumbai",
     }
     out = copy.deepcopy(base)
     for key, value in changes.items():
