@@ -32,11 +32,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write the rows once to the folder the cluster names and go on from the written table.
 
     The folder is a shared one on a cluster (``spark.checkpoint.dir``), so the cut survives the loss
-    of executors. Only where the session names none (tests) a temporary folder is set.
+    of executors. Only a local session that names none (tests) gets a temporary folder; a cluster's must
+    name one, as its executors don't see each other's disks.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="sieveline-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/sieveline/{uuid.uuid4().hex}"
