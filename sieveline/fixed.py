@@ -278,3 +278,56 @@ DIGEST_LISTS = {
 DIGEST_PIPELINE = (
     "- Pipeline: Advanced ", "{n_advanced}", " · Booked ", "{n_booked}", " · Interviewed ", "{n_interviewed}", " · Offer ", "{n_offer}",
 )
+
+# Subject and paragraphs of each letter. A paragraph with an empty field is left out.
+LETTERS = {
+    "advance": (
+        "Next step: {title} at {company}",
+        [
+            "Hi {first_name},",
+            "{opening}Thanks for applying for the {title} role at {company}.{invite}",
+            "I'd like to set up a conversation. Please pick a time that works for you here: {booking_url}",
+            "{ask}",
+            "Looking forward to it,\n{signature}",
+            "{footer}",
+        ],
+    ),
+    "decline": (
+        "Your application for {title} at {company}",
+        [
+            "Hi {first_name},",
+            "{opening}Thank you for taking the time to apply for the {title} role at {company}. We've reviewed your application carefully "
+            "and have decided not to move forward with it for this role.",
+            "We appreciate your interest in {company} and wish you the very best in your search.",
+            "{signature}",
+            "{footer}",
+        ],
+    ),
+    "hold": (
+        "Update on your application: {title} at {company}",
+        [
+            "Hi {first_name},",
+            "{opening}Thank you for applying for the {title} role. We're still reviewing applications and will get back to you by {hold_until}.",
+            "{signature}",
+            "{footer}",
+        ],
+    ),
+    "nudge": (
+        "Re: Next step: {title} at {company}",
+        [
+            "Hi {first_name}, just checking this reached you. If you'd still like to talk, you can pick a time here: {booking_url}. {short_name}",
+            "{footer}",
+        ],
+    ),
+}
+# The note on a bullet used too often, and the rationale of a quote that isn't in the document.
+REUSE_NOTE = ("Evidence bullet ", " already supports ", " and ", "; a bullet may support at most 2 dimensions.")
+QUOTE_NOT_FOUND = "Quote not found in the CV; scored 0."
+# What tidies a text after redaction, in this order.
+TIDY_PATTERNS = [
+    (r"[ \t]{2,}", " "),
+    (r"\s+([,.;:)])", "$1"),
+    (r"\(\s*\)", ""),
+    (r"\s*[·|,](?:\s*[·|,])+\s*", " · "),
+    (r"^[\s·|,]+|[\s·|,]+$", ""),
+]

@@ -174,8 +174,7 @@ def apply_reuse_limit(final_dims: DataFrame, index: DataFrame, keys: list[str])
     first_met = F.min(met).over(Window.partitionBy(*keys, "bullet"))
     over = uses.withColumn("_met", first_met).filter("over_limit")
     note = F.concat(
-        F.lit("Evidence bullet "), F.col("bullet"), F.lit(" already supports "),
-        F.array_join("kept_dims", " and "), F.lit("; a bullet may support at most 2 dimensions."),
+        F.lit(fixed.REUSE_NOTE[0]), F.col("bullet"), F.lit(fixed.REUSE_NOTE[1]), F.array_join("kept_dims", fixed.REUSE_NOTE[2]), F.lit(fixed.REUSE_NOTE[3])
     )
     notes = over.groupBy(*keys, "dim").agg(F.max_by(note, F.col("_met")).alias("reuse_note"))
     joined = final_dims.join(notes, [*keys, "dim"], "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,59 +235,24 @@ def render(guarded: DataFrame, house: dict[str, str]) -> DataFrame:
     """
     role = F.coalesce("role_title_final", F.when(F.col("role_applied") == "SPM", "SPM").otherwise("PM"))
     title = F.when(role == "SPM", fixed.ROLE_TITLE_TEXT["SPM"]).otherwise(fixed.ROLE_TITLE_TEXT["PM"])
-    company = house["company"]
-
-    def say(*parts) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    greeting = say("Hi ", F.coalesce(tx.first_name(F.col("display_name")), F.lit("there")), ",")
-    opening = F.when(F.coalesce("legacy", F.lit(False)), house["legacy_opening"]).otherwise("")
-    invite = F.coalesce(F.concat(F.lit(" "), F.nullif(tx.js_trim(F.col("invite_line_final")), F.lit(""))), F.lit(""))
-    ask = F.when(F.col("eligibility") == "unstated", house["relocation_question"])
-    footer = F.lit(house["footer"])
-    paragraphs = {
-        "advance": F.array(
-            greeting,
-            say(opening, "Thanks for applying for the ", title, f" role at {company}.", invite),
-            F.lit(f"I'd like to set up a conversation. Please pick a time that works for you here: {house['booking_url']}"),
-            ask,
-            F.lit(f"Looking forward to it,\n{house['signature']}"),
-            footer,
-        ),
-        "decline": F.array(
-            greeting,
-            say(
-                opening, "Thank you for taking the time to apply for the ", title, f" role at {company}. We've reviewed your "
-                "application carefully and have decided not to move forward with it for this role.",
-            ),
-            F.lit(f"We appreciate your interest in {company} and wish you the very best in your search."),
-            F.lit(house["signature"]),
-            footer,
-        ),
-        "hold": F.array(
-            greeting,
-            say(
-                opening, "Thank you for applying for the ", title, " role. We're still reviewing applications and will get back "
-                "to you by ", dates.long_date(F.col("hold_until")), ".",
-            ),
-            F.lit(house["signature"]),
-            footer,
-        ),
-        "nudge": F.array(
-            say(
-                greeting, " just checking this reached you. If you'd still like to talk, you can pick a time here: "
-                f"{house['booking_url']}. {house['short_name']}",
-            ),
-            footer,
-        ),
-    }
-    subjects = {
-        "advance": say("Next step: ", title, f" at {company}"),
-        "decline": say("Your application for ", title, f" at {company}"),
-        "hold": say("Update on your application: ", title, f" at {company}"),
-        "nudge": say("Re: Next step: ", title, f" at {company}"),
+
+    values = {name: F.lit(text) for name, text in house.items()} | {
+        "title": title,
+        "opening": F.when(F.coalesce("legacy", F.lit(False)), house["legacy_opening"]).otherwise(""),
+        "invite": F.coalesce(F.concat(F.lit(" "), F.nullif(tx.js_trim(F.col("invite_line_final")), F.lit(""))), F.lit("")),
+        "ask": F.when(F.col("eligibility") == "unstated", house["relocation_question"]),
+        "hold_until": dates.long_date(F.col("hold_until")),
+        "first_name": F.coalesce(tx.first_name(F.col("display_name")), F.lit("there")),
     }
 
+    def filled(template: str) -> Column:
+        """The template with its fields; null where a field is."""
+        parts = re.split(r"\{(\w+)\}", template)
+        return F.concat(*[values[p] if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+
+    subjects = {kind: filled(subject) for kind, (subject, _) in fixed.LETTERS.items()}
+    paragraphs = {kind: F.array(*[filled(t) for t in texts]) for kind, (_, texts) in fixed.LETTERS.items()}
+
     def by_kind(options: dict[str, Column]) -> Column:
         ladder = F.when(F.col("kind") == "advance", options["advance"])
         for kind in ("decline", "hold", "nudge"):

@@ -243,14 +243,8 @@ def unmark(text: Column) -> Column:
     for name, shown in SHOWN.items():
         if not shown:
             out = F.replace(out, F.lit(MARKS[name]), F.lit(""))
-    for pattern, replacement in [
-        ("[ \\t]{2,}", " "),
-        (jvm(r"\s+([,.;:)])"), "$1"),
-        (jvm(r"\(\s*\)"), ""),
-        (jvm(r"\s*[·|,](?:\s*[·|,])+\s*"), " · "),
-        (jvm(r"^[\s·|,]+|[\s·|,]+$"), ""),
-    ]:
-        out = F.regexp_replace(out, pattern, replacement)
+    for pattern, replacement in fixed.TIDY_PATTERNS:
+        out = F.regexp_replace(out, jvm(pattern), replacement)
     return show_marks(tx.js_trim(out))
 
 

@@ -192,7 +192,7 @@ def evidence_pack(ranked: DataFrame, dims: DataFrame, config: dict) -> DataFrame
         weight.alias("weight"),
         "score", "evidence_status", "confidence",
         F.when(F.col("quote_mismatch"), nothing).otherwise(F.transform("evidence", lambda e: e["quote"])).alias("verified_quotes"),
-        F.when(F.col("quote_mismatch"), F.lit("Quote not found in the CV; scored 0.")).otherwise(F.col("rationale")).alias("rationale"),
+        F.when(F.col("quote_mismatch"), F.lit(fixed.QUOTE_NOT_FOUND)).otherwise(F.col("rationale")).alias("rationale"),
     )
     packed = (
         dims.join(role_of, "doc_id")
