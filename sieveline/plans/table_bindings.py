@@ -526,17 +526,16 @@ def outbox_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("idempotency_key", "decision_id", "kind", minutes(F.col("scheduled_at")).alias("scheduled_minute"))
 
 
-@query(
-    "send_guard",
-    """WITH d AS (SELECT o_custkey, arg_max(struct_pack(k := o_orderkey, s := o_orderstatus, p := o_orderpriority, t := o_totalprice), struct_pack(a := o_orderdate, b := o_orderkey)) AS o FROM orders GROUP BY o_custkey),
+SEND_GUARD_SQL = """WITH d AS (SELECT o_custkey, arg_max(struct_pack(k := o_orderkey, s := o_orderstatus, p := o_orderpriority, t := o_totalprice), struct_pack(a := o_orderdate, b := o_orderkey)) AS o FROM orders GROUP BY o_custkey),
        w AS (SELECT c_custkey, c_acctbal, c_mktsegment, o, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'nudge' WHEN 'BUILDING' THEN 'decline' WHEN 'FURNITURE' THEN 'hold' ELSE 'advance' END AS kind,
          CASE o.s WHEN 'F' THEN 'advance' WHEN 'O' THEN 'decline' ELSE 'hold' END AS action FROM customer LEFT JOIN d ON o_custkey = c_custkey)
        SELECT c_custkey, kind, CASE WHEN o IS NULL THEN 'no_decision' WHEN o.t < 60000 THEN 'decision_undone'
          WHEN kind = 'nudge' AND action <> 'advance' THEN 'wrong_kind' WHEN kind = 'nudge' AND o.p <> '3-MEDIUM' THEN 'not_eligible'
-         WHEN kind = 'nudge' AND o.t < 200000 THEN 'not_eligible' WHEN kind <> 'nudge' AND action <> kind THEN 'wrong_kind'
-         WHEN c_acctbal < 0 OR c_acctbal > 9000 THEN 'no_contact' END AS refusal FROM w""",
-)
-def send_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+         {invited}WHEN kind <> 'nudge' AND action <> kind THEN 'wrong_kind'
+         WHEN c_acctbal < 0 OR c_acctbal > 9000 THEN 'no_contact' END AS refusal FROM w"""
+
+
+def guarded_wishes(spark: SparkSession, sf_dir: str, at_send_time: bool) -> DataFrame:
     """A wish for every customer about their newest order, with or without one."""
     newest = latest_per_key(
         table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")],
@@ -566,10 +565,21 @@ def send_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kind = F.when(segment == "AUTOMOBILE", "nudge").when(segment == "BUILDING", "decline").when(segment == "FURNITURE", "hold").otherwise("advance")
     wishes = customers.select(F.col("c_custkey").alias("asked_decision_id"), kind.alias("kind"))
-    out = outbox.guard(wishes, made, evaluations, people, invites)
+    out = outbox.guard(wishes, made, evaluations, people, invites, at_send_time)
     return out.select(F.col("asked_decision_id").alias("c_custkey"), "kind", "refusal")
 
 
+@query("send_guard", SEND_GUARD_SQL.format(invited="WHEN kind = 'nudge' AND o.t < 200000 THEN 'not_eligible' "))
+def send_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guarded_wishes(spark, sf_dir, at_send_time=False)
+
+
+@query("guard_at_send", SEND_GUARD_SQL.format(invited=""))
+def guard_at_send(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same wishes once more when they are due: whether the invitation arrived isn't asked again."""
+    return guarded_wishes(spark, sf_dir, at_send_time=True)
+
+
 def event_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     return table(spark, sf_dir, "events").select(
@@ -759,6 +769,44 @@ def declined_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbox.render(rows, HOUSE).select("c_custkey", "subject", "text")
 
 
+LETTER_KIND_SQL = "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'nudge' WHEN 'BUILDING' THEN 'decline' WHEN 'FURNITURE' THEN 'hold' ELSE 'advance' END"
+
+
+@query(
+    "letters",
+    f"""WITH c AS (SELECT c_custkey, {LETTER_KIND_SQL} AS kind, CASE WHEN c_nationkey % 2 = 0 THEN 'Senior Product Manager' ELSE 'Product Manager' END AS title,
+         'Hi ' || CASE WHEN c_acctbal < 0 THEN 'there' ELSE left(c_name, 1) || lower(substr(c_name, 2)) END || ',' AS hi, chr(10) || chr(10) AS gap,
+         CASE WHEN c_acctbal > 5000 THEN 'Sorry for the wait. ' ELSE '' END AS opening, CASE WHEN c_custkey % 3 = 0 THEN ' We liked order ' || c_custkey || '.' ELSE '' END AS invite,
+         CASE WHEN c_acctbal < 1000 THEN 'Would you consider relocating?' || chr(10) || chr(10) ELSE '' END AS ask,
+         strftime(DATE '2024-03-01' + CAST(c_custkey % 60 AS INTEGER), '%-d %B %Y') AS day, 'Every decision is made by a person.' AS footer FROM customer)
+       SELECT c_custkey, kind, CASE kind WHEN 'advance' THEN 'Next step: ' WHEN 'decline' THEN 'Your application for ' WHEN 'hold' THEN 'Update on your application: ' ELSE 'Re: Next step: ' END
+              || title || ' at the company' AS subject,
+         CASE kind
+           WHEN 'advance' THEN hi || gap || opening || 'Thanks for applying for the ' || title || ' role at the company.' || invite || gap
+             || 'I''d like to set up a conversation. Please pick a time that works for you here: https://book.example.net' || gap || ask || 'Looking forward to it,' || chr(10) || 'The hiring team' || gap || footer
+           WHEN 'decline' THEN hi || gap || opening || 'Thank you for taking the time to apply for the ' || title
+             || ' role at the company. We''ve reviewed your application carefully and have decided not to move forward with it for this role.' || gap
+             || 'We appreciate your interest in the company and wish you the very best in your search.' || gap || 'The hiring team' || gap || footer
+           WHEN 'hold' THEN hi || gap || opening || 'Thank you for applying for the ' || title || ' role. We''re still reviewing applications and will get back to you by ' || day || '.' || gap
+             || 'The hiring team' || gap || footer
+           ELSE hi || ' just checking this reached you. If you''d still like to talk, you can pick a time here: https://book.example.net. The team' || gap || footer END AS text
+       FROM c""",
+)
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of letter: a customer's segment says which."""
+    segment = F.col("c_mktsegment")
+    kind = F.when(segment == "AUTOMOBILE", "nudge").when(segment == "BUILDING", "decline").when(segment == "FURNITURE", "hold").otherwise("advance")
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", kind.alias("kind"), F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("display_name"),
+        F.when(F.col("c_nationkey") % 2 == 0, "SPM").otherwise("PM").alias("role_title_final"), F.lit("PM").alias("role_applied"),
+        (F.col("c_acctbal") > 5000).alias("legacy"),
+        F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("  We liked order "), F.col("c_custkey").cast("string"), F.lit(". \n"))).alias("invite_line_final"),
+        F.date_add(F.lit("2024-03-01").cast("date"), (F.col("c_custkey") % 60).cast("int")).alias("hold_until"),
+        F.when(F.col("c_acctbal") < 1000, "unstated").otherwise("stated_yes").alias("eligibility"),
+    )
+    return outbox.render(rows, HOUSE).select("c_custkey", "kind", "subject", "text")
+
+
 # ---- retention, snapshots ----
 
 
