@@ -192,6 +192,22 @@ def config_problems(configs: DataFrame, key: str = "pool_id") -> DataFrame:
     return configs.select(key, F.explode(named(rules)).alias("rule"))
 
 
+def unknown_config_keys(configs: DataFrame, payload: Column, key: str = "pool_id") -> DataFrame:
+    """(key, path) of every key in a configuration's JSON that no configuration has, at any level."""
+
+    def levels(value: dict, path: str) -> list[tuple[str, list[str]]]:
+        inner = [x for name, part in value.items() if isinstance(part, dict) for x in levels(part, f"{path}.{name}")]
+        return [(path, list(value)), *inner]
+
+    def strangers(path: str, known: list[str]) -> Column:
+        keys = F.coalesce(F.json_object_keys(F.get_json_object(payload, path)), F.array().cast("array<string>"))
+        before = F.lit(path[2:] + "." if path != "$" else "")
+        return F.transform(F.filter(keys, lambda k: ~k.isin(known)), lambda k: F.concat(before, k))
+
+    found = [strangers(path, known) for path, known in levels(fixed.DEFAULT_CONFIG, "$")]
+    return configs.select(key, F.explode(F.concat(*found)).alias("path"))
+
+
 def config_edits(edits: DataFrame, pools: DataFrame, first_decisions: DataFrame) -> DataFrame:
     """Verdict on each wish to change a pool's configuration: locked, closed, unchanged or accepted."""
     lock = F.least(F.coalesce("locked_at", "first_decided_at"), F.coalesce("first_decided_at", "locked_at"))

@@ -364,6 +364,20 @@ def config_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validity.weight_problems(weights, key="l_suppkey")
 
 
+@query(
+    "config_keys",
+    """SELECT c_custkey, 'colour' AS path FROM customer WHERE c_nationkey % 2 = 0 UNION ALL SELECT c_custkey, 'tiers.D' FROM customer WHERE c_acctbal < 0
+       UNION ALL SELECT c_custkey, 'weights.PM.D9' FROM customer WHERE c_mktsegment = 'BUILDING'""",
+)
+def config_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as pools: configurations as JSON, some with keys that there are none of."""
+    one = F.lit(1)
+    weights = F.struct(F.struct(one.alias("D1"), F.when(F.col("c_mktsegment") == "BUILDING", 1).alias("D9")).alias("PM"))
+    tiers = F.struct(one.alias("A"), one.alias("B"), F.when(F.col("c_acctbal") < 0, 1).alias("D"))
+    payload = F.to_json(F.struct(weights.alias("weights"), tiers.alias("tiers"), one.alias("runsPerCv"), F.when(F.col("c_nationkey") % 2 == 0, 1).alias("colour")))
+    return validity.unknown_config_keys(table(spark, sf_dir, "customer"), payload, key="c_custkey")
+
+
 @query(
     "constraint_report",
     """WITH e AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'scored' WHEN 'O' THEN 'needs_review' ELSE 'lost' END AS status,
