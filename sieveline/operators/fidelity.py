@@ -65,7 +65,7 @@ def check_fidelity(docs: DataFrame) -> DataFrame:
     return prepared.select(*docs.columns, result.alias("fidelity"))
 
 
-def chosen_attempt(attempts: DataFrame) -> DataFrame:
+def chosen_attempt(attempts: DataFrame, tries: int = 2) -> DataFrame:
     """One extract per document: the first faithful one of its first two attempts, else the last of them.
 
     Attempts are numbered from 1; a third or later one was never asked for.
@@ -73,7 +73,7 @@ def chosen_attempt(attempts: DataFrame) -> DataFrame:
     order = F.struct((~F.col("fidelity.ok")).alias("unfaithful"), F.when(F.col("fidelity.ok"), F.col("attempt")).otherwise(-F.col("attempt")).alias("at"))
     columns = [c for c in attempts.columns if c != "doc_id"]
     return (
-        attempts.filter(F.col("attempt") <= 2)
+        attempts.filter(F.col("attempt") <= tries)
         .groupBy("doc_id")
         .agg(F.min_by(F.struct(*columns), order).alias("_best"))
         .select("doc_id", "_best.*")

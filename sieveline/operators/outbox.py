@@ -85,7 +85,7 @@ def is_due(now: Column) -> Column:
     )
 
 
-def due_emails(emails: DataFrame, now: Column, limit: int | None = 25) -> DataFrame:
+def due_emails(emails: DataFrame, now: Column, *, limit: int | None) -> DataFrame:
     """The batch to send, oldest first; with no limit, everything due."""
     due = emails.filter(F.col("decision_id").isNotNull() & is_due(now)).orderBy("scheduled_at", "email_id")
     return due.limit(limit) if limit else due

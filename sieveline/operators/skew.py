@@ -90,9 +90,10 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], columns:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition by key only when the input has fewer partitions than there are cores to use.
+    """Deal the rows out evenly, but only when the input has fewer partitions than there are cores to use.
 
-    On a cluster reading many files this is the frame itself, with no shuffle.
+    Rows go round, not by ``key``: a key that holds a third of them stays spread over all tasks, and what
+    follows adds up before it shuffles. On a cluster reading many files this is the frame itself.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
