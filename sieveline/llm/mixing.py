@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.rows import fields, whole
+from sieveline.operators.skew import positions
 from sieveline.session import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -68,22 +69,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def ranks(sources: DataFrame) -> DataFrame:
-    """Each source's place by code point, null last. Names are counted by their first bytes, so that only
-    names that share those meet in one task."""
-    key = F.coalesce(F.substring(F.encode(F.col("_source"), "UTF-8"), 1, 8), F.lit(b""))
-    marked = sources.withColumn("_null", F.col("_source").isNull()).withColumn("_head", key)
-    heads = marked.groupBy("_null", "_head").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("_part").orderBy("_null", "_head").rowsBetween(Window.unboundedPreceding, -1)
-    # Sums of counts over heads, dealt by the first byte: the sum before a part is a sum over at most 257 parts.
-    parts = heads.withColumn("_part", F.when(F.col("_null"), 256).otherwise(F.coalesce(F.conv(F.hex(F.substring("_head", 1, 1)), 16, 10).cast("int"), F.lit(0))))
-    sums = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.sum("n").alias("n")).collect()}
-    ahead, start = 0, F.lit(0)
-    for part in sorted(sums):
-        start = F.when(F.col("_part") == part, F.lit(ahead)).otherwise(start)
-        ahead += sums[part]
-    offsets = parts.select("_null", "_head", (start + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("_offset"))
-    inside = Window.partitionBy("_null", "_head").orderBy("_source")
-    return marked.join(offsets, ["_null", "_head"]).select(*sources.columns, (F.col("_offset") + F.row_number().over(inside)).alias("rank"))
+    """Each source's place by code point, null last; sources are counted in slices, never all in one task."""
+    order = [F.col("_source").isNull(), F.coalesce(F.col("_source"), F.lit(""))]
+    return positions(sources.withColumn("_all", F.lit(0)), ["_all"], order, out="rank").drop("_all")
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
