@@ -245,7 +245,9 @@ def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("_key", F.col("s.found").alias("found"), F.coalesce(F.col("s.kind"), kind_of(F.col("s.found"))).alias("kind"))
         .filter("kind is not null")
     )
-    spans = materialise(spans.withColumn("canon", F.when(F.col("kind").contains("-"), F.lower("found")).otherwise(canonical(F.col("kind"), F.col("found")))))
+    # The few spans are written before anything else is made of them, so the scan of all texts stays a short plan.
+    canon = F.when(F.col("kind").contains("-"), F.lower("found")).otherwise(canonical(F.col("kind"), F.col("found")))
+    spans = materialise(spans).withColumn("canon", canon)
     table = surrogate_table(spans.select("kind", "canon"), key)
     written = spans.join(table, ["kind", "canon"]).select("_key", "found", F.col("kind").contains("-").alias("name"), written_like(F.col("found"), F.col("kind"), F.col("surrogate")).alias("new"))
     entry = F.struct("found", "new")
