@@ -32,7 +32,7 @@ FORMS = {
     "ACCESS": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])",
     "PASSWORD": r"(?i:password|passwd|pwd|api[_-]?key|secret|token)\s?[=:]\s?[^\s\"',;]{6,}+",
     "IBAN": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "PHONE": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+(?!1[ .(-])\d{2,3}(?:[ -]?\(?\d{1,4}\)?){2,5}(?![\d.])|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}-\d{3}-\d{4}(?![\d-])",
+    "PHONE": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+(?!1[ .(-])\d{2,3}(?:[ -]?\(?\d{1,4}\)?){2,5}(?!\.?\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}-\d{3}-\d{4}(?![\d-])",
     "SSN": r"(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "IP": rf"{OCTET}(?:\.{OCTET}){{3}}(?![.]?\d)",
     "CARD": r"(?:\d{4}[ -]){3}\d{4}(?![\d-])|\d{13,19}(?!\d)",
