@@ -124,7 +124,8 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", label_col: str =
             ids, block, table = group["member"], group["block"], int(group["tab"][0])
             if len(ids) < 2:
                 continue
-            units = unit_rows(np.ascontiguousarray(group["raw"]).view(kind))
+            # A batch that holds vectors of several lengths has them as an array of bytes objects.
+            units = unit_rows(np.frombuffer(b"".join(x if isinstance(x, bytes) else x.tobytes() for x in group["raw"]), kind).reshape(len(ids), -1))
             keys = np.ascontiguousarray(group["keys"]).view(np.int32)
             if (block == block[0]).all():
                 one = two = np.arange(len(ids))

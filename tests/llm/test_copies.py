@@ -138,6 +138,22 @@ def test_vectors_without_ids_and_with_one_id_twice(spark):
     assert sorted((r["_id"] or -1, r.n_links, r.component_id or -1) for r in found) == [(-1, 2, -1), (3, 0, 3), (7, 2, 7), (7, 2, 7)]
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_copies_among_vectors_of_several_lengths(spark, kind):
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(12):
+        base = rng.standard_normal((4, 9, 16)[g % 3])
+        rows += [(len(rows) + k, 0, [float(np.float32(x)) for x in base * (1 + k % 2) + rng.standard_normal(len(base)) * 0.01 * k]) for k in range(3)]
+    frame = spark.createDataFrame(rows, f"vec_id long, label int, embedding array<{kind}>").coalesce(1)
+    found = {r["_id"]: r for r in embedding_dedup.linked_vectors(frame).collect()}
+    links = [(a[0], b[0]) for x, a in enumerate(rows) for b in rows[x + 1 :] if len(a[2]) == len(b[2]) and brute.cosine(a[2], b[2]) >= 0.93]
+    wanted = brute.smallest_reachable({r[0] for r in rows}, links)
+    assert len(found) == len(rows) and len(links) >= 36
+    for i, r in found.items():
+        assert (r.n_links, r.component_id) == (sum(i in p for p in links), wanted[i])
+
+
 def test_a_big_bucket_is_counted_once_over_all_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.standard_normal(8)
