@@ -1,8 +1,9 @@
 """The main text of web pages, with site templates found by counting element subtrees per host.
 
 A page is read once: tags open and close containers, the text between block tags becomes blocks, and each
-container's subtree gets a hash of its tags, classes and text. Spark counts on how many pages of a host each
-hash occurs; containers that recur on many of them are site templates and their blocks are deleted. What HTML
+container's subtree gets a hash of its tags, classes and text. Spark counts around how many different main texts
+of a host each hash occurs (copies of a page count once); containers that recur around many of them are site
+templates and their blocks are deleted. What HTML
 itself marks as no main text (menus, footers, page headers, asides, forms, scripts, adverts, notices, reader
 comments, by tag, role, class or id) goes on every page, recurring or not. Where a page has an article (else a
 main element), the blocks in it are the text; there only boxes, never paragraphs, headings or list items, can
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from sieveline.session import materialise
 
-#: A subtree is a template where it stands on at least so many pages and so large a share of the host's pages.
+#: A subtree is a template where it stands around at least so many different main texts and so large a share of the
+#: host's different pages.
 LEAST_PAGES = 3
 SHARE = 0.05
 
@@ -173,6 +175,15 @@ class Page:
                 self.pop()
             self.pop()
 
+    def main(self) -> list[tuple[str, tuple[int, ...], bool, int]]:
+        """The blocks that aren't dropped: those in articles, else in main elements, else all."""
+        live = [b for b in self.blocks if not b[2]]
+        for wanted in ((lambda a: a > 0), (lambda a: a < 0)):
+            inside = [b for b in live if wanted(b[3])]
+            if inside:
+                return inside
+        return live
+
     def kept(self) -> tuple[list[str], list[list[int]]]:
         """The blocks of the main text, and the hashes of the boxes that could be templates around each."""
         live = [b for b in self.blocks if not b[2]]
@@ -181,13 +192,20 @@ class Page:
             for box in boxes:
                 sizes[box] = sizes.get(box, 0) + len(text)
         total = sum(len(b[0]) for b in live)
-        for wanted in ((lambda a: a > 0), (lambda a: a < 0)):
-            inside = [b for b in live if wanted(b[3])]
-            if inside:
-                live = inside
-                break
+        live = self.main()
         return [b[0] for b in live], [[self.hashes[x] for x in b[1] if 2 * sizes[x] <= total] for b in live]
 
+    def rests(self) -> tuple[int, dict[int, int]]:
+        """A hash of the main text, and for each box's hash that of the main text without such boxes."""
+        whole, inside = 0, dict.fromkeys(self.hashes, 0)
+        for text, boxes, _, _ in self.main():
+            own = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+            whole += own
+            for h in {self.hashes[x] for x in boxes}:
+                inside[h] += own
+        signed = lambda x: x % (1 << 64) - (1 << 63)
+        return signed(whole), {h: signed(whole - x) for h, x in inside.items()}
+
 
 def host_of(url: str) -> str:
     try:
@@ -197,31 +215,37 @@ def host_of(url: str) -> str:
 
 
 def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """_id, _url, key (equal pages have one), host, texts, boxes (hashes around each text), hashes (of the page)."""
+    """_id, _url, key (equal pages have one), host, texts, boxes (hashes around each text), hashes (of the page), rests
+    (hash of the main text without each of them), content (hash of the main text)."""
 
     def work(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
+            out: list[list] = [[] for _ in range(6)]
             for url, source in zip(batch.column(1).to_pylist(), batch.column(2)):
                 page = Page(source.as_py() or "")
                 texts, boxes = page.kept()
-                for k, v in enumerate((host_of(url or ""), texts, boxes, sorted(set(page.hashes)))):
+                content, rests = page.rests()
+                for k, v in enumerate((host_of(url or ""), texts, boxes, list(rests), list(rests.values()), content)):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(3), pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.string())),
-                 pa.array(out[2], pa.list_(pa.list_(pa.int64()))), pa.array(out[3], pa.list_(pa.int64()))],
-                names=["_id", "_url", "key", "host", "texts", "boxes", "hashes"],
+                 pa.array(out[2], pa.list_(pa.list_(pa.int64()))), pa.array(out[3], pa.list_(pa.int64())),
+                 pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.int64())],
+                names=["_id", "_url", "key", "host", "texts", "boxes", "hashes", "rests", "content"],
             )
 
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html")).withColumn("key", F.xxhash64("_id", "_url", "_html"))
-    return rows.mapInArrow(work, "_id long, _url string, key long, host string, texts array<string>, boxes array<array<bigint>>, hashes array<bigint>")
+    return rows.mapInArrow(work, "_id long, _url string, key long, host string, texts array<string>, boxes array<array<bigint>>, hashes array<bigint>, rests array<bigint>, content long")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """One row per row: _id, _url, text (blocks joined by one space), n_chars."""
     parsed = materialise(parsed_pages(pages, id_col, url_col, html_col))
-    hosts = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = parsed.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    # Copies of a page count once, so what they share isn't a template for their number. Distinct rows first, then counts:
+    # no task holds a host's or a box's contents.
+    hosts = parsed.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    around = parsed.select("host", F.explode(F.arrays_zip("hashes", "rests")).alias("b")).select("host", F.col("b.hashes").alias("hash"), F.col("b.rests").alias("rest")).distinct()
+    seen = around.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     templates = seen.join(hosts, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash")
     # Only boxes around main text matter now; pages without any have nothing to lose and stay where they are.
     boxed = F.exists("boxes", lambda b: F.size(b) > 0)

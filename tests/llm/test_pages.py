@@ -111,6 +111,18 @@ def test_site_templates_go_and_texts_stay(spark):
     assert html_text.main_texts(pages_of(spark, [])).count() == 0
 
 
+def test_copies_of_an_article_keep_its_boxes(spark):
+    part = lambda k, i: f"<section><p>Part {i} of article {k} with about as many words.</p></section>"
+    article = lambda k, box="": f"<body><div>Top of the site</div><article><h1>A</h1>{box}{''.join(part(k, i) for i in range(3))}</article></body>"
+    rows = [(k, f"http://small.example/{k}", article(k, "<div>Read more here</div>")) for k in range(37)]
+    rows += [(100 + k, f"http://small.example/copy{k}", article(99)) for k in range(3)] + [(200, "http://row.example/", article(98))] * 3
+    found = html_text.main_texts(pages_of(spark, rows)).collect()
+    text = lambda k: "A " + " ".join(f"Part {i} of article {k} with about as many words." for i in range(3))
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.text == text(r["_id"] if r["_id"] < 100 else 99 if r["_id"] < 200 else 98)
+
+
 def test_articles_of_the_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     wanted = {}
