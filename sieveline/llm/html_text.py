@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from sieveline.session import materialise
 
 #: A subtree is a template where it stands around at least so many different main texts and so large a share of the
-#: host's different pages.
+#: host's different pages, or around ``ENOUGH`` however large the host is.
 LEAST_PAGES = 3
 SHARE = 0.05
+ENOUGH = 10
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+'|['\"])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -238,7 +239,7 @@ def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     return rows.mapInArrow(work, "_id long, _url string, key long, host string, texts array<string>, boxes array<array<bigint>>, hashes array<bigint>, rests array<bigint>, content long")
 
 
-def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_PAGES, share: float = SHARE, enough: int = ENOUGH) -> DataFrame:
     """One row per row: _id, _url, text (blocks joined by one space), n_chars."""
     parsed = materialise(parsed_pages(pages, id_col, url_col, html_col))
     # Copies of a page count once, so what they share isn't a template for their number. Distinct rows first, then counts:
@@ -246,7 +247,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     hosts = parsed.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     around = parsed.select("host", F.explode(F.arrays_zip("hashes", "rests")).alias("b")).select("host", F.col("b.hashes").alias("hash"), F.col("b.rests").alias("rest")).distinct()
     seen = around.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    templates = seen.join(hosts, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "hash")
+    templates = seen.join(hosts, "host").filter(F.col("n") >= F.least(share * F.col("pages"), F.lit(float(enough)))).select("host", "hash")
     # Only boxes around main text matter now; pages without any have nothing to lose and stay where they are.
     boxed = F.exists("boxes", lambda b: F.size(b) > 0)
     asked = parsed.filter(boxed).select("key", "host", F.explode(F.array_distinct(F.flatten("boxes"))).alias("hash"))

@@ -123,6 +123,12 @@ def test_copies_of_an_article_keep_its_boxes(spark):
         assert r.text == text(r["_id"] if r["_id"] < 100 else 99 if r["_id"] < 200 else 98)
 
 
+def test_templates_of_a_part_of_a_large_host_go(spark):
+    page = lambda k: f"<article>{'<div>Guides of this section</div>' if k % 30 == 0 else ''}<p>Own text {k} and more of it.</p></article>"
+    found = html_text.main_texts(pages_of(spark, [(k, f"http://large.example/{k}", page(k)) for k in range(600)])).collect()
+    assert {r["_id"]: r.text for r in found} == {k: f"Own text {k} and more of it." for k in range(600)}
+
+
 def test_articles_of_the_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     wanted = {}
