@@ -6,8 +6,9 @@ of equal bits mapped so that unrelated fingerprints have 0 and equal ones 1: cos
 least 0, the cosine of the weighted term vectors that the distance estimates.
 
 ``within_radius`` finds all pairs of fingerprints at most ``radius`` bits apart: the bits are cut into
-``radius + 1`` blocks, one of which a pair must share; each block leads one permuted table, whose buckets are
-compared in blocks of members. Equal fingerprints are one member.
+``radius + m`` blocks, ``m`` of which a pair must share; each ``m`` blocks lead one permuted table, whose buckets
+are compared in blocks of members. ``m`` grows with the number of fingerprints, so that buckets stay small. Equal
+fingerprints are one member.
 
 A null text is an empty text; an empty text (no words) has the fingerprint of zeros.
 """
@@ -15,6 +16,8 @@ A null text is an empty text; an empty text (no words) has the fingerprint of ze
 from __future__ import annotations
 
 import hashlib
+import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.llm import words as W
-from sieveline.llm.blocks import Reports, forest, groups_of, in_blocks
+from sieveline.llm.blocks import CAP, Reports, forest, groups_of, in_blocks
 from sieveline.llm.components import components
 from sieveline.llm.rows import fields, whole
 from sieveline.session import materialise
@@ -176,6 +179,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return ordered.mapInArrow(work, schema)
 
 
+def leading_blocks(rows: int, radius: int) -> int:
+    """How many blocks lead a table, so that the fewest rows are dealt: tables times the blocks of members in a bucket."""
+    dealt = lambda m: math.comb(radius + m, m) * math.ceil(rows / 2 ** (m * BITS / (radius + m)) / CAP)
+    return min(range(1, 5), key=lambda m: (dealt(m), m))
+
+
 def within_radius(marks: DataFrame, mark_col: str = "fingerprint", radius: int = 3) -> DataFrame:
     """mark, n (rows that have it), n_near (other rows at most ``radius`` bits away), cluster (a name shared by
     all fingerprints that chains of such steps join)."""
@@ -183,18 +192,25 @@ def within_radius(marks: DataFrame, mark_col: str = "fingerprint", radius: int =
         marks.filter(F.col(mark_col).isNotNull()).groupBy(F.col(mark_col).alias("mark")).agg(F.count(F.lit(1)).alias("n"))
         .withColumn("member", F.xxhash64("mark"))
     )
-    width = BITS // (radius + 1)
-    edges = [round(i * BITS / (radius + 1)) for i in range(radius + 2)] if BITS % (radius + 1) else [i * width for i in range(radius + 2)]
+    lead = leading_blocks(members.count(), radius)
+    parts = radius + lead
+    edges = [round(i * BITS / parts) for i in range(parts + 1)]
+    tables = list(combinations(range(parts), lead))
 
     def tabled(batches):
         for batch in batches:
             raw = [bytes.fromhex(x) for x in batch.column(0).to_pylist()]
             bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1)
-            keys = np.zeros((len(raw), radius + 1), dtype=np.int64)
+            hashes = np.zeros((len(raw), parts), dtype=np.uint64)
             for t, (a, b) in enumerate(zip(edges, edges[1:])):
                 packed = np.packbits(bits[:, a:b], axis=1)
                 for k in range(packed.shape[1]):
-                    keys[:, t] = (W.mix(keys[:, t].view(np.uint64) * np.uint64(257) + packed[:, k])).view(np.int64)
+                    hashes[:, t] = W.mix(hashes[:, t] * np.uint64(257) + packed[:, k])
+            keys = np.zeros((len(raw), len(tables)), dtype=np.uint64)
+            for t, led in enumerate(tables):
+                for k in led:
+                    keys[:, t] = W.mix(keys[:, t] * np.uint64(257) + hashes[:, k])
+            keys = keys.view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(raw, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["member", "n", "raw", "keys"])
 
     rows = members.select("mark", "member", "n").mapInArrow(tabled, "member long, n long, raw binary, keys array<long>")
@@ -215,8 +231,10 @@ def within_radius(marks: DataFrame, mark_col: str = "fingerprint", radius: int =
             near = apart <= radius
             x, y = np.nonzero(np.triu(near, 1) if same else near)
             i, j = one[x], two[y]
-            for a, b in list(zip(edges, edges[1:]))[:table]:  # counted in the first table that they share
-                new = (bits[i, a:b] != bits[j, a:b]).any(axis=1)
+            # Counted in the first table that they share: no block before its last one is shared besides its own.
+            for k in sorted(set(range(tables[table][-1])) - set(tables[table])):
+                code = bits[:, edges[k] : edges[k + 1]].astype(np.uint64) @ (np.uint64(1) << np.arange(edges[k + 1] - edges[k], dtype=np.uint64))
+                new = code[i] != code[j]
                 i, j = i[new], j[new]
             if not len(i):
                 continue

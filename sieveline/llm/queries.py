@@ -61,9 +61,9 @@ def op1(spark, sf_dir):
 
 @query("op4_simhash_fingerprints")
 def op4(spark, sf_dir):
-    """Fingerprints of documents and of their edited forms; n_near counts the other documents' within 3 bits."""
+    """Fingerprints of documents and of their edited forms; n_near counts the other documents' within 10 bits."""
     marked = materialise(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")))
-    near = fingerprints.within_radius(marked, radius=3).select(F.col("mark").alias("fingerprint"), "n_near")
+    near = fingerprints.within_radius(marked, radius=10).select(F.col("mark").alias("fingerprint"), "n_near")
     return marked.join(near, "fingerprint").select(
         F.col("_id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near"
     )

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from sieveline.llm import embedding_dedup, fingerprints, minhash_dedup, words
+from sieveline.llm import embedding_dedup, fingerprints, minhash_dedup, queries, words
 from sieveline.llm.blocks import forest
 from sieveline.llm.components import components
 
@@ -206,3 +206,26 @@ def test_all_fingerprints_within_the_radius(spark):
     for radius in (0, 3, 4):
         found = {r.mark: (r.n, r.n_near) for r in fingerprints.within_radius(frame, radius=radius).collect()}
         assert found == {m: (marks.count(m), sum((values[marks.index(m)] ^ v).bit_count() <= radius for v in values) - 1) for m in set(marks)}
+
+
+@pytest.mark.parametrize("lead", [1, 2, 3])
+def test_any_number_of_leading_blocks_finds_all(spark, monkeypatch, lead):
+    monkeypatch.setattr(fingerprints, "leading_blocks", lambda rows, radius: lead)
+    rng = random.Random(7)
+    values = []
+    for _ in range(20):
+        base = rng.getrandbits(128)
+        values += [base] + [base ^ sum(1 << bit for bit in rng.sample(range(128), n)) for n in (2, 5, 10, 11)]
+    found = {int(r.mark, 16): r.n_near for r in fingerprints.within_radius(spark.createDataFrame([(f"{v:032x}",) for v in values], "fingerprint string"), radius=10).collect()}
+    assert found == {v: sum((v ^ w).bit_count() <= 10 for w in values) - 1 for v in values}
+
+
+def test_the_query_finds_lightly_edited_copies(spark, tmp_path):
+    rng = random.Random(9)
+    rows = []
+    for g in range(60):
+        base = [f"w{int(rng.paretovariate(0.6))}" for _ in range(500)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, varied(rng, base, 5))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op4(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows) and sum(r.n_near >= 1 for r in found) >= 0.9 * len(found)
