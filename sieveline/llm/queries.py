@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import class_lm, embedding_dedup, fingerprints, html_text, minhash_dedup, mixing, sentencepiece_codec, surrogates, toxicity, warc
+from sieveline.llm import class_lm, embedding_dedup, fingerprints, html_text, minhash_dedup, mixing, sentencepiece_codec, surrogates, toxicity, warc, window_dedup
 from sieveline.llm.binding import query, table
 from sieveline.session import materialise
 
@@ -128,3 +128,27 @@ def op10(spark, sf_dir):
 def op5(spark, sf_dir):
     """Ids of every document, and whether they decode to its text."""
     return sentencepiece_codec.coded(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+OP12_SQL = """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM words WHERE len(w) >= 20),
+windows AS (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS x FROM starts),
+firsts AS (SELECT x, min({'d': doc_id, 's': s}) AS f FROM windows GROUP BY x HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT w.doc_id, unnest(range(w.s, w.s + 20)) AS p FROM windows w JOIN firsts f ON w.x = f.x WHERE {'d': w.doc_id, 's': w.s} <> f.f
+  )
+), spots AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ')
+              ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(ps, i)), ' ') END) AS kept_sha256
+FROM words LEFT JOIN spots ON words.doc_id = spots.doc_id
+"""
+
+
+@query("op12_repeated_windows", OP12_SQL)
+def op12(spark, sf_dir):
+    """Documents without the words that windows of 20 words repeat from earlier ones."""
+    found = window_dedup.without_repeats(table(spark, sf_dir, "documents"), size=20, with_text=False)
+    return found.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
