@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import class_lm, embedding_dedup, fingerprints, html_text, minhash_dedup, mixing, sentencepiece_codec, surrogates, toxicity, warc, window_dedup
+from sieveline.llm import (
+    class_lm,
+    embedding_dedup,
+    fingerprints,
+    html_text,
+    minhash_dedup,
+    mixing,
+    sentencepiece_codec,
+    structure_repair,
+    surrogates,
+    toxicity,
+    warc,
+    window_dedup,
+)
 from sieveline.llm.binding import query, table
 from sieveline.session import materialise
 
@@ -152,3 +165,72 @@ def op12(spark, sf_dir):
     """Documents without the words that windows of 20 words repeat from earlier ones."""
     found = window_dedup.without_repeats(table(spark, sf_dir, "documents"), size=20, with_text=False)
     return found.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+#: CRC-32 of the characters (ASCII) of {0}: each is added, then eight bits are shifted out.
+CRC32_SQL = """xor(4294967295::BIGINT, list_reduce(
+  list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END))"""
+
+
+def _edited(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    lines = f"list_append({state}.r, {line})" if line else f"{state}.r"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {lines}}}"
+
+
+_FREE, _KEPT = "CASE WHEN f IN ('b', 'd') THEN 99999999 WHEN f = 't' THEN 3 ELSE 0 END", "CASE WHEN f IN ('b', 'd') OR i <> '{0}' THEN 99999999 WHEN f = 't' THEN 3 ELSE 0 END"
+_TO_USER = ", ".join(_edited(q, f"3 + {_FREE}", "R", "'user:' || text") + ", " + _edited(q, _KEPT.format("u"), "K", "role || ':' || text") for q in ("n", "s", "a1"))
+OP13_SQL = f"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), kinds AS (SELECT k, {CRC32_SQL.format("k")} % 20 AS d FROM (SELECT DISTINCT k FROM base)),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS c
+  FROM base JOIN kinds ON base.k = kinds.k WHERE d <> 0
+), placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS p FROM damaged),
+faults AS (
+  SELECT conv_id, turn, role, text, p, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) AS b,
+         CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'd'
+              WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 't' ELSE '' END AS f
+  FROM placed
+), convs AS (SELECT DISTINCT conv_id FROM conversations),
+dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS p, {{'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])}} AS n, {{'c': 99999999, 'a': '', 'r': CAST([] AS VARCHAR[])}} AS s,
+         {{'c': 99999999, 'a': '', 'r': CAST([] AS VARCHAR[])}} AS u, {{'c': 99999999, 'a': '', 'r': CAST([] AS VARCHAR[])}} AS a
+  FROM convs
+  UNION ALL
+  SELECT conv_id, p, {_edited("n", "4", "D")},
+         list_min([{_edited("s", "4", "D")}, {_edited("n", _KEPT.format("s"), "K", "role || ':' || text")}]),
+         list_min([{_edited("u1", "4", "D")}, {_TO_USER}]),
+         list_min([{_edited("a1", "4", "D")}, {_edited("u1", f"3 + {_FREE}", "R", "'assistant:' || text")}, {_edited("u1", _KEPT.format("a"), "K", "role || ':' || text")}])
+  FROM (
+    SELECT *, list_min([a, {_edited("u1", "3", "I", "'assistant:'")}]) AS a1
+    FROM (
+      SELECT dp.conv_id, faults.p, n, s, a, role, text, i, f,
+             list_min([u, {", ".join(_edited(q, "3", "I", "'user:'") for q in ("n", "s", "a"))}]) AS u1
+      FROM dp JOIN faults ON dp.conv_id IS NOT DISTINCT FROM faults.conv_id AND faults.p = dp.p + 1
+    )
+  )
+), ends AS (
+  SELECT conv_id, arg_max(list_min([n, a, {_edited("u", "3", "I", "'assistant:'")}, {_edited("s", "6", "II", "'user:'").replace("list_append(s.r, 'user:')", "list_concat(s.r, ['user:', 'assistant:'])")}]), p) AS e
+  FROM dp GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+         count(*) FILTER (f = 't') AS truncated, count(*) FILTER (b IS NOT NULL AND b || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT ends.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(e.c AS BIGINT) AS cost, e.a AS audit, sha256(array_to_string(e.r, chr(10))) AS repaired_sha256
+FROM ends LEFT JOIN counts ON ends.conv_id IS NOT DISTINCT FROM counts.conv_id
+"""
+
+
+@query("op13_structure_repair", OP13_SQL)
+def op13(spark, sf_dir):
+    """Conversations with planted damage, mended by the cheapest edits."""
+    rows = table(spark, sf_dir, "conversations")
+    hurt = structure_repair.damaged(rows, "conv_id", "turn", "role", "text")
+    return structure_repair.repaired(hurt, "conv", everyone=rows.select(F.col("conv_id").alias("conv"))).withColumnRenamed("_conv", "conv_id")
