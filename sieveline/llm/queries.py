@@ -11,6 +11,7 @@ from sieveline.llm import (
     html_text,
     minhash_dedup,
     mixing,
+    prefix_trie,
     sentencepiece_codec,
     structure_repair,
     surrogates,
@@ -234,3 +235,37 @@ def op13(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     hurt = structure_repair.damaged(rows, "conv_id", "turn", "role", "text")
     return structure_repair.repaired(hurt, "conv", everyone=rows.select(F.col("conv_id").alias("conv"))).withColumnRenamed("_conv", "conv_id")
+
+
+OP11_SQL = f"""
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), lists AS (SELECT c, list({{'x': sha256(length(role) || ':' || role || text), 'n': length(text)}} ORDER BY p) AS w FROM own GROUP BY c),
+heads AS (SELECT c, w, CAST({CRC32_SQL.format("CAST(c AS VARCHAR)")} % 6 AS BIGINT) AS h FROM lists),
+rebuilt AS (
+  SELECT heads.c, list_concat(CASE WHEN lists.c IS NULL OR h = 0 THEN [] ELSE lists.w[1:h] END, heads.w[h + 1:]) AS w
+  FROM heads LEFT JOIN lists ON lists.c = heads.c - heads.c % 100
+), steps AS (SELECT c, w, len(w) AS l, unnest(range(0, len(w) + 1)) AS d FROM rebuilt),
+paths AS (SELECT c, d, l, CASE WHEN d > 0 THEN w[d].n ELSE 0 END AS n, d || ':' || sha256(array_to_string(list_transform(w[1:d], lambda t: t.x), ',')) AS k,
+                 CASE WHEN d > 0 THEN (d - 1) || ':' || sha256(array_to_string(list_transform(w[1:d - 1], lambda t: t.x), ',')) END AS up FROM steps),
+nodes AS (
+  SELECT k, any_value(d) AS d, any_value(up) AS up, any_value(n) AS n, min(c) AS c, count(*) AS members, max(l) AS deepest,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (l = d), '') AS ends
+  FROM paths GROUP BY k
+), sums AS (
+  SELECT paths.k, sum(CASE WHEN deepest = nodes.d THEN 1 ELSE 0 END) AS leaves, sum((members - 1) * nodes.n) AS saved
+  FROM nodes JOIN paths ON paths.c = nodes.c AND paths.d <= nodes.d GROUP BY paths.k
+), kids AS (SELECT up, count(*) AS kids FROM nodes GROUP BY up)
+SELECT nodes.c AS conv_id, nodes.d AS depth, above.c AS parent_conv_id, nodes.members AS n_convs, coalesce(kids, 0) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(nodes.ends) AS ends_sha256
+FROM nodes JOIN sums ON sums.k = nodes.k LEFT JOIN nodes above ON above.k = nodes.up LEFT JOIN kids ON kids.up = nodes.k
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark, sf_dir):
+    """The trie of conversations that share their first turns."""
+    placed = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.nodes(*prefix_trie.with_shared_heads(placed))
