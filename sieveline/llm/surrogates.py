@@ -9,10 +9,14 @@ form of address. Everything is a column expression; no Python runs on the execut
   prefixes and lengths stay; card and IBAN check digits hold; addresses lie in reserved ranges. A given name
   gets one of the same gender and script, a family name one of its script.
 * Distinct: the table of all entities is checked for surrogates that two entities share or that are entities
-  themselves; those are drawn again until none is left. Coreference: one entity has one surrogate everywhere,
-  in whatever form it is written, and a named person's bare name is replaced throughout that text.
-
-Null texts stay null, texts without entities stay as they are. Of equal rows each is replaced alike.
+  themselves (given and family names are one kind here); those alone are drawn again, from a space that grows with
+  each round. What still collides after ``ROUNDS`` rounds, as when a kind has more entities than its form has
+  surrogates, gets a number behind it; so the work always ends. Coreference: one entity has one surrogate
+  everywhere, in whatever form it is written, and a named person's bare name is replaced throughout that text.
+
+A text is replaced in one pass, so no surrogate is taken for an entity. A secret is all that stands behind the
+first ``=`` or ``:``; one without letters and digits (a mask) is none. Null texts stay null, texts without entities
+stay as they are. Of equal rows each is replaced alike.
 """
 
 from __future__ import annotations
@@ -21,9 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.rows import whole
+from sieveline.operators.skew import positions
 from sieveline.session import materialise
 
 KEY = "surrogate-key-1"
+#: Rounds of drawing again before colliding surrogates are numbered.
+ROUNDS = 12
 
 # The forms of entities, and forms of address by gender and script.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -99,7 +106,7 @@ def kind_of(found: Column) -> Column:
     card = full["CARD"] & plain.rlike(ISSUED) & (luhn(plain) % 10 == 0)
     iban = full["IBAN"] & (F.length(packed) >= 15) & (mod97(F.concat(F.substring(packed, 5, 34), F.substring(packed, 1, 4))) == 1)
     return (
-        F.when(full["EMAIL"], "EMAIL").when(full["ACCESS"] | full["PASSWORD"] | full["HEX"], "SECRET").when(full["PHONE"], "PHONE")
+        F.when(full["EMAIL"], "EMAIL").when(full["PASSWORD"] & ~found.rlike(r"[=:].*[\p{L}\p{N}]"), None).when(full["ACCESS"] | full["PASSWORD"] | full["HEX"], "SECRET").when(full["PHONE"], "PHONE")
         .when(full["SSN"], "SSN").when(full["IP"], "IP").when(card, "CARD").when(iban, "IBAN")
     )
 
@@ -107,7 +114,7 @@ def kind_of(found: Column) -> Column:
 def canonical(kind: Column, found: Column) -> Column:
     return (
         F.when(kind == "EMAIL", F.lower(found)).when(kind.isin("PHONE", "CARD", "SSN"), digits(found)).when(kind == "IBAN", F.regexp_replace(found, " ", ""))
-        .when((kind == "SECRET") & found.rlike("[=:]"), F.regexp_extract(found, r"[=:]\s?([^=:\s]+)$", 1)).otherwise(found)
+        .when((kind == "SECRET") & found.rlike("[=:]"), F.regexp_extract(found, r"^[^=:]*[=:]\s?(.*)$", 1)).otherwise(found)
     )
 
 
@@ -144,27 +151,31 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical form of the entity's surrogate."""
     b = F.col("_bytes")
     at = lambda i: F.element_at(b, i + 1)
-    mapped = same_form(canon, b)
+    # Each round beyond the second has one letter or digit more to differ in.
+    more = F.greatest(attempt - 1, F.lit(0))
+    letters, numbers = (F.array_join(F.transform(F.slice(b, F.lit(200), more), lambda x: letter(a, x)), "") for a in ("abcdefghijklmnopqrstuvwxyz", "0123456789"))
+    mapped = F.col("_mapped")
     n = F.length(canon)
     domain = stream(key, F.lit("DOMAIN"), F.substring_index(canon, "@", -1), F.lit(0))
-    email = F.concat(same_form(F.substring_index(canon, "@", 1), b), F.lit("@"), F.array_join(F.transform(F.slice(domain, 1, 8), lambda x: letter("abcdefghijklmnopqrstuvwxyz", x)), ""), F.lit(".example"))
+    email = F.concat(same_form(F.substring_index(canon, "@", 1), b), letters, F.lit("@"), F.array_join(F.transform(F.slice(domain, 1, 8), lambda x: letter("abcdefghijklmnopqrstuvwxyz", x)), ""), F.lit(".example"))
     # Country codes stay: 1 for North America, two digits elsewhere; plain local numbers have none.
     code = F.when(n == 10, 0).when((n == 11) & canon.startswith("1"), 1).otherwise(2)
-    phone = F.concat(F.substring(canon, F.lit(1), code), F.expr("substring(_mapped, 1 + %s)" % "case when length(canon) = 10 then 0 when length(canon) = 11 and canon like '1%' then 1 else 2 end"))
-    ip = F.concat_ws(".", *[x.cast("string") for x in (240 + at(0) % 15, at(1), at(2), 1 + at(3) % 254)])
-    ssn = F.concat(F.lit("9"), F.expr("substring(_mapped, 2, 2)"), F.lpad((1 + at(100) % 99).cast("string"), 2, "0"), F.lpad((1 + (at(101) * 256 + at(102)) % 9999).cast("string"), 4, "0"))
+    phone = F.concat(F.substring(canon, F.lit(1), code), F.expr("substring(_mapped, 1 + %s)" % "case when length(canon) = 10 then 0 when length(canon) = 11 and canon like '1%' then 1 else 2 end"), numbers)
+    ip = F.concat_ws(".", *[x.cast("string") for x in (F.when(more > 0, 1 + at(0) % 254).otherwise(240 + at(0) % 15), at(1), at(2), 1 + at(3) % 254)])
+    ssn = F.concat(F.when(more > 0, F.substring(mapped, 1, 1)).otherwise(F.lit("9")), F.expr("substring(_mapped, 2, 2)"), F.lpad((1 + at(100) % 99).cast("string"), 2, "0"), F.lpad((1 + (at(101) * 256 + at(102)) % 9999).cast("string"), 4, "0"))
     body = F.concat(F.substring(canon, 1, 1), F.expr("substring(_mapped, 2, length(canon) - 2)"))
     card = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     account = F.expr("substring(_mapped, 5)")
     land = F.substring(canon, 1, 2)
     iban = F.concat(land, F.lpad((98 - mod97(F.concat(account, land, F.lit("00")))).cast("string"), 2, "0"), account)
     secret = F.when(canon.rlike("^(?:AKIA|ASIA)"), F.concat(F.substring(canon, 1, 4), F.expr("substring(_mapped, 5)"))).otherwise(mapped)
+    secret = F.concat(secret, letters)
     out = F.when(kind == "EMAIL", email).when(kind == "PHONE", phone).when(kind == "IP", ip).when(kind == "SSN", ssn).when(kind == "CARD", card).when(kind == "IBAN", iban).when(kind == "SECRET", secret)
     for (place, gender, script), ends in ENDS.items():
-        pieces = [F.element_at(F.array(*[F.lit(s) for s in SYLLABLES[script]]), at(k) % len(SYLLABLES[script]) + 1) for k in range(3)]
+        syllable = lambda x: F.element_at(F.array(*[F.lit(s) for s in SYLLABLES[script]]), x % len(SYLLABLES[script]) + 1)  # noqa: E731, B023
         end = F.element_at(F.array(*[F.lit(e) for e in ends]), at(3) % len(ends) + 1)
-        # Three syllables where two have collided.
-        name = F.concat(pieces[0], pieces[1], F.when(attempt > 0, pieces[2]).otherwise(F.lit("")), end)
+        # Two syllables, and one more with each round.
+        name = F.concat(F.array_join(F.transform(F.slice(b, F.lit(5), attempt + 2), syllable), ""), end)
         out = out.when(kind == "-".join((place, gender, script)), name)
     return out
 
@@ -179,24 +190,33 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
     )
 
 
-def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
+def surrogate_table(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
     """kind, canon, surrogate: one row per entity, no surrogate twice and none an entity itself."""
-    table = materialise(drawn(entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), key))
-    while True:
-        real = table.select(F.substring_index("kind", "-", 1).alias("_real_family"), F.col("canon").alias("_real")).distinct()
-        family = F.substring_index("kind", "-", 1)
-        shared = table.groupBy(family.alias("_family"), "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kind", "canon")).alias("first")).filter("n > 1")
-        taken = table.withColumn("_family", family).join(real, (F.col("_family") == F.col("_real_family")) & (F.col("surrogate") == F.col("_real"))).select("kind", "canon")
-        second = (
-            table.withColumn("_family", family).join(shared, ["_family", "surrogate"])
-            .filter(~F.struct("kind", "canon").eqNullSafe(F.col("first"))).select("kind", "canon")
-        )
-        again = materialise(taken.unionByName(second).distinct().withColumn("_again", F.lit(1)))
-        if again.isEmpty():
-            return table.select("kind", "canon", "surrogate")
-        table = materialise(
-            drawn(table.join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("_again", F.lit(0))).select("kind", "canon", "attempt"), key)
-        )
+    cores = entities.sparkSession.sparkContext.defaultParallelism
+    spread_out = lambda df: drawn(df.repartition(cores, "canon"), key)  # noqa: E731  few rows, much work in each
+    # Names of all kinds are told apart, as a text may hold them side by side.
+    family = F.when(F.col("kind").contains("-"), "name").otherwise(F.col("kind"))
+    table = materialise(spread_out(entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))))
+    real = materialise(table.select(family.alias("_family"), F.col("canon").alias("surrogate")).distinct().withColumn("_real", F.lit(True)))
+    for turn in range(rounds + 1):
+        mine = table.withColumn("_family", family)
+        first = F.min(F.struct("kind", "canon"))
+        groups = mine.groupBy("_family", "surrogate").agg(first.alias("_first"), F.count(F.lit(1)).alias("_n"))
+        judged = groups.join(real, ["_family", "surrogate"], "left").filter(F.col("_real") | (F.col("_n") > 1))
+        marked = mine.join(judged, ["_family", "surrogate"], "left")
+        again = F.col("_first").isNotNull() & (F.coalesce("_real", F.lit(False)) | ~F.struct("kind", "canon").eqNullSafe(F.col("_first")))
+        marked = materialise(marked.select("kind", "canon", "attempt", "surrogate", again.alias("_again")))
+        colliding = marked.filter("_again")
+        if colliding.isEmpty():
+            break
+        settled = marked.filter("not _again").select("kind", "canon", "attempt", "surrogate")
+        if turn == rounds:
+            numbered = positions(colliding.withColumn("_all", F.lit(0)), ["_all"], [F.col("kind"), F.col("canon")], "_number")
+            named = F.concat("surrogate", F.lit("-"), F.col("_number").cast("string"))
+            return settled.unionByName(numbered.withColumn("surrogate", named).select(*settled.columns)).select("kind", "canon", "surrogate")
+        fresh = spread_out(colliding.select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))
+        table = materialise(settled.unionByName(fresh))
+    return table.select("kind", "canon", "surrogate")
 
 
 def written_like(found: Column, kind: Column, new: Column) -> Column:
@@ -208,8 +228,9 @@ def written_like(found: Column, kind: Column, new: Column) -> Column:
         ),
         "",
     )
-    secret = F.concat(F.regexp_extract(found, r"^(.*[=:]\s?)[^=:\s]+$", 1), new)
+    secret = F.concat(F.regexp_extract(found, r"^([^=:]*[=:]\s?)", 1), new)
     email = F.when(found == F.upper(found), F.upper(new)).otherwise(new)
+    spaced = F.concat(spaced, F.substring(new, F.length(F.regexp_replace(found, "[^0-9A-Za-z]", "")) + 1, F.length(new)))
     return (
         F.when(kind.isin("PHONE", "CARD", "SSN", "IBAN"), spaced).when((kind == "SECRET") & found.rlike("[=:]"), secret).when(kind == "EMAIL", email)
         .when(kind.contains("-"), F.when((found == F.upper(found)) & (F.length(found) > 1), F.upper(new)).otherwise(F.initcap(new))).otherwise(new)
@@ -250,21 +271,19 @@ def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = materialise(spans).withColumn("canon", canon)
     table = surrogate_table(spans.select("kind", "canon"), key)
     written = spans.join(table, ["kind", "canon"]).select("_key", "found", F.col("kind").contains("-").alias("name"), written_like(F.col("found"), F.col("kind"), F.col("surrogate")).alias("new"))
-    entry = F.struct("found", "new")
     # One entry per form: of a name that is both given and family name the first in order.
-    by_text = written.groupBy("_key", "name", "found").agg(F.min("new").alias("new")).groupBy("_key").agg(
-        F.map_from_entries(F.collect_list(F.when(~F.col("name"), entry))).alias("_map"),
-        F.array_sort(F.collect_list(F.when(F.col("name"), entry))).alias("_people"),
-    )
-    keyed = rows_maybe.join(by_text, "_key", "left")
-    gaps, hits = F.split(text, ANY, -1), matches(text)
-    pieces = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))  # one hit less than gaps; both are found once
-    rebuilt = F.array_join(F.transform(pieces, lambda p: F.concat(p.gap, F.coalesce(F.try_element_at(F.col("_map"), p.hit), p.hit, F.lit("")))), "")
-    named = F.aggregate(
-        F.col("_people"), F.when(F.size("_map") > 0, rebuilt).otherwise(text),
-        lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), p.found, F.lit(r"\E(?![\p{L}\p{N}])")), p.new),
+    by_text = written.groupBy("_key", "found").agg(F.min("new").alias("new"), F.max("name").alias("name")).groupBy("_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("found", "new"))).alias("_map"),
+        F.array_sort(F.collect_list(F.when(F.col("name"), F.struct(-F.length("found"), "found")))).alias("_names"),
     )
-    count = F.size(F.filter(hits, lambda h: F.map_contains_key(F.col("_map"), h))) + F.size("_people")
+    keyed = rows_maybe.join(by_text, "_key", "left").withColumn("_names", F.transform("_names", lambda n: n["found"]))
+    # Forms and the text's names, longer ones first, are found in one pass: what is put in is never read again.
+    bare = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join("_names", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    pattern = F.when(F.size("_names") > 0, bare).otherwise(F.lit(ANY))
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    pieces = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))  # one hit less than gaps
+    named = F.array_join(F.transform(pieces, lambda p: F.concat(p.gap, F.coalesce(F.try_element_at(F.col("_map"), p.hit), p.hit, F.lit("")))), "")
+    count = F.size(F.filter(hits, lambda h: F.map_contains_key(F.col("_map"), h) & ~F.array_contains("_names", h))) + F.size("_names")
     plain = F.col("_map").isNull()
     new_text = F.when(plain, text).otherwise(named)
     changed = keyed.select("_row", new_text.alias("_new"), F.when(plain, 0).otherwise(count).cast("long").alias("_n"))

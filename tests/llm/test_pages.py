@@ -216,6 +216,36 @@ def test_surrogates_that_collide_are_drawn_again(spark):
     assert not {r.surrogate for r in again if r.kind.startswith("given")} & set(taken)
 
 
+def test_secrets_go_whole_and_masks_stay(spark):
+    texts = ["password: ********", "secret=------ ", "token=YWJjZGVmZw==", "token=abcd1234=efgh99 end", "password=abc:def12", "api_key: -a-b-c"]
+    rows = replaced(spark, list(enumerate(texts)))
+    assert [(r.text, r.n_entities) for r in rows[:2]] == [(t, 0) for t in texts[:2]]
+    forms = [r"token=[A-Za-z]{10}==", r"token=[a-z]{4}\d{4}=[a-z]{4}\d\d end", r"password=[a-z]{3}:[a-z]{3}\d\d", r"api_key: -[a-z]-[a-z]-[a-z]"]
+    for row, form, text in zip(rows[2:], forms, texts[2:]):
+        assert re.fullmatch(form, row.text) and row.n_entities == 1, row.text
+        assert not set(re.findall(r"[A-Za-z0-9]{3,}", text)[1:]) & set(re.findall(r"[A-Za-z0-9]{3,}", row.text)) - {"end", "key"}
+
+
+def test_replacements_are_not_read_again(spark):
+    # The given name's surrogate could be the family name of the same text: names of all kinds are told apart.
+    people = [("Aaii", "Weber")] + [(f"Ab{chr(97 + k // 26)}{chr(97 + k % 26)}o", "Weber") for k in range(200)]
+    rows = replaced(spark, [(i, f"Mr {g} {f} came. {g} and {f}.") for i, (g, f) in enumerate(people)])
+    found = [re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) and (\w+)\.", r.text).groups() for r in rows]
+    assert all(a == c and b == d and a != b for a, b, c, d in found)
+    assert len({f[0] for f in found}) == len(people) and len({f[1] for f in found}) == 1
+    assert not {f[1] for f in found} & {f[0] for f in found} and not {x for f in found for x in f} & {x for p in people for x in p}
+
+
+def test_more_entities_than_surrogates(spark):
+    tiny = [("SECRET", f"{k:02d}----") for k in range(100)] + [("family--latin", f"n{k}") for k in range(5_000)]
+    entities = spark.createDataFrame(tiny, "kind string, canon string")
+    for rounds in (0, 1, surrogates.ROUNDS):
+        table = surrogates.surrogate_table(entities, rounds=rounds).collect()
+        found = {(r.kind, r.surrogate) for r in table}
+        assert len(table) == len(found) == len(tiny) and not found & set(tiny)
+    assert not [r for r in table if r.kind != "SECRET" and "-" in r.surrogate]
+
+
 def test_no_texts(spark):
     assert replaced(spark, []) == []
 
