@@ -1,13 +1,17 @@
 """The main text of web pages, with site templates found by counting element subtrees per host.
 
 A page is read once: tags open and close containers, the text between block tags becomes blocks, and each
-container's subtree gets a hash of its tags, classes and text. Spark counts around how many different main texts
-of a host each hash occurs (copies of a page count once); containers that recur around many of them are site
-templates and their blocks are deleted. What HTML
-itself marks as no main text (menus, footers, page headers, asides, forms, scripts, adverts, notices, reader
-comments, by tag, role, class or id) goes on every page, recurring or not. Where a page has an article (else a
-main element), the blocks in it are the text; there only boxes, never paragraphs, headings or list items, can
-be templates, and never a subtree with more than half of the page's text.
+container's subtree gets a hash of its tags, classes and text. A container holds a stretch of the page's blocks, so
+pages of any depth take linear time. Spark counts around how many different main texts of a host each hash occurs
+(copies of a page count once); containers that recur around ``LEAST_TEXTS`` of them, on hosts of any size, are site
+templates and their blocks are deleted. What HTML itself marks as no main text (menus, footers, page headers, asides,
+forms, scripts, adverts, notices, reader comments, by tag or role) goes on every page, recurring or not; what only its
+class or id calls so goes unless it holds the article or, on pages without one, most of the text. A name counts only
+if all its parts are known (ad-box, but neither no-sidebar nor share-price), and names alone never empty a page.
+
+The blocks in articles are the text, unless a main element holds more text beside them than they have (teasers);
+there only boxes, never paragraphs, headings or list items, can be templates, and never a subtree with more than
+half of the page's text.
 
 A null or empty page has an empty text. Pages of one id and one content get equal texts.
 """
@@ -24,16 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.operators.skew import join_per_key
 from sieveline.session import materialise
 
-#: A subtree is a template where it stands around at least so many different main texts and so large a share of the
-#: host's different pages, or around ``ENOUGH`` however large the host is.
-LEAST_PAGES = 3
-SHARE = 0.05
-ENOUGH = 10
+#: A subtree is a template where it stands around so many different main texts of its host.
+LEAST_TEXTS = 5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+'|['\"])*+)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 # What HTML calls its elements.
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math select object audio video canvas".split())
@@ -45,35 +47,46 @@ DROPPED_TAGS = frozenset("nav aside footer form head menu dialog button".split()
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 CLOSES_PARAGRAPH = BOXES | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre address hr".split())
 SAME_LEVEL = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-DROPPED_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|adbox|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs"
-    r"|sidebar|side-bar|footer|masthead|site-header|page-header|cookie|cookies|consent|gdpr|notice|newsletter|subscribe|signup|popup|modal|banner"
-    r"|comment|comments|comment-list|disqus|respond|social|share|sharing|related|recommended|skip-link|pagination|toolbar)(?:$|[\s_-])",
-    re.I,
+# Names of what is no main text, words that stand beside them in a name, and names of two words.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead"
+    " cookie cookies consent gdpr notice newsletter subscribe signup popup modal banner comment comments disqus respond social share sharing related recommended pagination toolbar".split()
+)
+BESIDE = frozenset(
+    "site page post article main primary secondary top bottom left right inner outer box bar block list item items link links container wrapper wrap area section widget panel column"
+    " form button buttons icon icons posts articles stories content unit slot zone region group header body text title reader readers user users js".split()
 )
+NAMED_PAIRS = frozenset("site-header page-header side-bar skip-link skip-links".split())
+
 
+def named(value: str) -> bool:
+    """Whether a class or id calls its element something that is no main text."""
+    for token in value.lower().split():
+        parts = [x for x in re.split("[-_]+", token) if x]
+        if "-".join(parts) in NAMED_PAIRS or (any(x in NAMES for x in parts) and all(x in NAMES or x in BESIDE or x.isdigit() for x in parts)):
+            return True
+    return False
 
-def dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """Whether an element is no main text whatever it holds."""
+
+def dropped(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether an element is no main text whatever it holds; ``inside`` an article or main element headers are its own."""
     if tag in DROPPED_TAGS or attributes.get("role", "").lower() in DROPPED_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if tag == "header":
-        return not in_article
-    if tag in ("html", "body", "article", "main"):
-        return False
-    return bool(DROPPED_NAME.search(attributes.get("class", "")) or DROPPED_NAME.search(attributes.get("id", "")))
+    return tag == "header" and not inside
 
 
 class Page:
-    """One page as blocks of text, each with the hashes of the boxes around it."""
+    """One page as blocks of text and boxes, each box a stretch of blocks with the hash of its subtree."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple[int, ...], bool, int]] = []  # text, boxes, dropped, article
-        self.hashes: list[int] = []  # of the boxes, by number
-        self.stack: list[list] = []  # [tag, box number or -1, dropped, article number]
+        self.blocks: list[tuple[str, bool, bool, bool]] = []  # text, dropped, in an article, in a main element
+        self.boxes: list[list[int]] = []  # [hash, first block, block behind]
+        self.names: list[list] = []  # elements that only a name drops: [first block, block behind, in or with an article]
+        self.stack: list[tuple] = []  # (tag, box or -1, dropped, in article, in main, name or -1, articles before)
+        self.count: dict[str, int] = {}  # of each tag that is open
         self.hashers: list = []  # of the open boxes
         self.text: list[str] = []
-        self.articles = self.mains = 0
+        self.articles = 0
         self.read(source)
 
     def read(self, source: str) -> None:
@@ -100,6 +113,9 @@ class Page:
         while self.stack:
             self.pop()
 
+    def top(self) -> tuple:
+        return self.stack[-1] if self.stack else ("", -1, False, False, False, -1, 0)
+
     def block(self) -> None:
         """End the block that is being read."""
         if not self.text:
@@ -107,9 +123,7 @@ class Page:
         text = " ".join(html.unescape("".join(self.text)).split())
         self.text = []
         if text:
-            boxes = tuple(s[1] for s in self.stack if s[1] >= 0)
-            top = self.stack[-1] if self.stack else ["", -1, False, 0]
-            self.blocks.append((text, boxes, top[2], top[3]))
+            self.blocks.append((text, *self.top()[2:5]))
             if self.hashers:
                 self.hashers[-1].update(text.encode("utf-8", "replace") + b"\0")
 
@@ -118,44 +132,49 @@ class Page:
             if tag not in DROPPED_TAGS:
                 return
         self.block()
-        if tag in CLOSES_PARAGRAPH and any(s[0] == "p" for s in self.stack):
+        if tag in CLOSES_PARAGRAPH and self.count.get("p"):
             self.close_until("p", BOXES)
-        if tag in SAME_LEVEL:
+        if tag in SAME_LEVEL and self.count.get(tag):
             self.close_until(tag, SAME_LEVEL[tag])
         if tag in VOID:
             return
-        attributes = {}
-        if raw:
-            for m in ATTRIBUTE.finditer(raw):
-                attributes.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
-            if re.search(r"(?:^|\s)hidden(?:\s|/|$)", raw):
-                attributes.setdefault("hidden", "")
-        up = self.stack[-1] if self.stack else ["", -1, False, 0]
-        article = up[3]
-        if tag == "article" and not article > 0:
+        attributes: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(raw) if raw else ():
+            attributes.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        _, _, gone, article, main, _, _ = self.top()
+        gone = gone or dropped(tag, attributes, article or main)
+        name = -1
+        if tag not in ("html", "body", "article", "main") and not gone and (named(attributes.get("class", "")) or named(attributes.get("id", ""))):
+            name = len(self.names)
+            self.names.append([len(self.blocks), 0, article or main])
+        before = self.articles
+        if tag in ("article", "main"):
             self.articles += 1
-            article = self.articles
-        elif tag == "main" and not article:
-            self.mains += 1
-            article = -self.mains
-        gone = up[2] or dropped(tag, attributes, up[3] > 0)
+            article, main = article or tag == "article", main or tag == "main"
         box = -1
         mark = f"<{tag} {attributes.get('class', '')} {attributes.get('id', '')}>".encode("utf-8", "replace")
         if self.hashers:
             self.hashers[-1].update(mark)
         if tag in BOXES and tag not in ("article", "main"):
-            box = len(self.hashes)
+            box = len(self.boxes)
             self.hashers.append(xxhash.xxh64(mark))
-            self.hashes.append(0)
-        self.stack.append([tag, box, gone, article])
+            self.boxes.append([0, len(self.blocks), 0])
+        self.stack.append((tag, box, gone, article, main, name, before))
+        self.count[tag] = self.count.get(tag, 0) + 1
 
     def pop(self) -> None:
-        tag, box, _, _ = self.stack.pop()
+        tag, box, _, _, _, name, before = self.stack.pop()
+        self.count[tag] -= 1
         if box >= 0:
             own = self.hashers.pop()
-            self.hashes[box] = own.intdigest() - (1 << 63)
+            self.boxes[box][0] = own.intdigest() - (1 << 63)
+            self.boxes[box][2] = len(self.blocks)
             if self.hashers:  # a box's hash is made of those of the boxes in it
                 self.hashers[-1].update(own.digest())
+        if name >= 0:
+            self.names[name][1] = len(self.blocks)
+            if self.articles > before:
+                self.names[name][1] = self.names[name][0]  # it holds the article
 
     def close_until(self, tag: str, stops) -> None:
         """Close the innermost open ``tag``, but not beyond one of ``stops``."""
@@ -171,41 +190,58 @@ class Page:
         if tag not in BREAKS and tag not in DROPPED_TAGS:
             return
         self.block()
-        if any(s[0] == tag for s in self.stack):
+        if self.count.get(tag):
             while self.stack[-1][0] != tag:
                 self.pop()
             self.pop()
 
-    def main(self) -> list[tuple[str, tuple[int, ...], bool, int]]:
-        """The blocks that aren't dropped: those in articles, else in main elements, else all."""
-        live = [b for b in self.blocks if not b[2]]
-        for wanted in ((lambda a: a > 0), (lambda a: a < 0)):
-            inside = [b for b in live if wanted(b[3])]
-            if inside:
-                return inside
+    def main(self) -> np.ndarray:
+        """Which blocks are main text."""
+        n = len(self.blocks)
+        size = np.array([len(b[0]) for b in self.blocks], dtype=np.int64)
+        flags = np.array([b[1:] for b in self.blocks], dtype=bool).reshape(n, 3)
+        live, article, main = ~flags[:, 0], flags[:, 1], flags[:, 2]
+        before = np.concatenate([[0], np.cumsum(size * live)])
+        # What names call no main text: beside an article always, else when it is no more than half.
+        cover = np.zeros(n + 1, dtype=np.int64)
+        for first, behind, inside in self.names:
+            if inside or self.articles or 2 * (before[behind] - before[first]) <= before[-1]:
+                cover[first] += 1
+                cover[behind] -= 1
+        plain = np.cumsum(cover[:-1]) == 0
+        for good in (live & plain, live):
+            if (size * (good & article)).sum() * 2 >= (size * (good & (article | main))).sum() > 0:
+                return good & article
+            if (good & main).any():
+                return good & main
+            if (good & article).any():
+                return good & article
+            if good.any() and not (self.articles and (live & (article | main)).any()):
+                return good
         return live
 
     def kept(self) -> tuple[list[str], list[list[int]]]:
-        """The blocks of the main text, and the hashes of the boxes that could be templates around each."""
-        live = [b for b in self.blocks if not b[2]]
-        sizes: dict[int, int] = {}
-        for text, boxes, _, _ in live:
-            for box in boxes:
-                sizes[box] = sizes.get(box, 0) + len(text)
-        total = sum(len(b[0]) for b in live)
-        live = self.main()
-        return [b[0] for b in live], [[self.hashes[x] for x in b[1] if 2 * sizes[x] <= total] for b in live]
+        """The blocks of the main text, and the boxes around them that could be templates: [hash, first, behind]."""
+        mine = self.main()
+        live = np.array([not b[1] for b in self.blocks], dtype=bool)
+        before = np.concatenate([[0], np.cumsum([len(b[0]) if ok else 0 for b, ok in zip(self.blocks, live)])])
+        place = np.concatenate([[0], np.cumsum(mine)]).astype(int)
+        boxes = [
+            [h, int(place[a]), int(place[b])] for h, a, b in self.boxes if place[a] < place[b] and 2 * (before[b] - before[a]) <= before[-1]
+        ]
+        return [b[0] for b, ok in zip(self.blocks, mine) if ok], boxes
 
     def rests(self) -> tuple[int, dict[int, int]]:
         """A hash of the main text, and for each box's hash that of the main text without such boxes."""
-        whole, inside = 0, dict.fromkeys(self.hashes, 0)
-        for text, boxes, _, _ in self.main():
-            own = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
-            whole += own
-            for h in {self.hashes[x] for x in boxes}:
-                inside[h] += own
+        mine = self.main()
+        sums = [0]
+        for b, ok in zip(self.blocks, mine):
+            sums.append(sums[-1] + (xxhash.xxh64_intdigest(b[0].encode("utf-8", "replace")) if ok else 0))
+        inside: dict[int, int] = {}
+        for h, a, b in self.boxes:
+            inside[h] = inside.get(h, 0) + sums[b] - sums[a]
         signed = lambda x: x % (1 << 64) - (1 << 63)
-        return signed(whole), {h: signed(whole - x) for h, x in inside.items()}
+        return signed(sums[-1]), {h: signed(sums[-1] - x) for h, x in inside.items()}
 
 
 def host_of(url: str) -> str:
@@ -216,44 +252,47 @@ def host_of(url: str) -> str:
 
 
 def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """_id, _url, key (equal pages have one), host, texts, boxes (hashes around each text), hashes (of the page), rests
-    (hash of the main text without each of them), content (hash of the main text)."""
+    """_id, _url, key (equal pages have one), host, texts, boxes (hash, first text, text behind), hashes (of the page), rests
+    (hash of the main text without each of them)."""
+    box = pa.struct([("hash", pa.int64()), ("first", pa.int64()), ("behind", pa.int64())])
 
     def work(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
             for url, source in zip(batch.column(1).to_pylist(), batch.column(2)):
                 page = Page(source.as_py() or "")
                 texts, boxes = page.kept()
-                content, rests = page.rests()
-                for k, v in enumerate((host_of(url or ""), texts, boxes, list(rests), list(rests.values()), content)):
+                _, rests = page.rests()
+                for k, v in enumerate((host_of(url or ""), texts, [dict(zip(("hash", "first", "behind"), b)) for b in boxes], list(rests), list(rests.values()))):
                     out[k].append(v)
+            kinds = (pa.string(), pa.list_(pa.string()), pa.list_(box), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.string())),
-                 pa.array(out[2], pa.list_(pa.list_(pa.int64()))), pa.array(out[3], pa.list_(pa.int64())),
-                 pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.int64())],
-                names=["_id", "_url", "key", "host", "texts", "boxes", "hashes", "rests", "content"],
+                [batch.column(0), batch.column(1), batch.column(3), *(pa.array(v, k) for v, k in zip(out, kinds))],
+                names=["_id", "_url", "key", "host", "texts", "boxes", "hashes", "rests"],
             )
 
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html")).withColumn("key", F.xxhash64("_id", "_url", "_html"))
-    return rows.mapInArrow(work, "_id long, _url string, key long, host string, texts array<string>, boxes array<array<bigint>>, hashes array<bigint>, rests array<bigint>, content long")
+    boxes = "array<struct<hash:long,first:long,behind:long>>"
+    return rows.mapInArrow(work, f"_id long, _url string, key long, host string, texts array<string>, boxes {boxes}, hashes array<bigint>, rests array<bigint>")
 
 
-def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_PAGES, share: float = SHARE, enough: int = ENOUGH) -> DataFrame:
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_TEXTS) -> DataFrame:
     """One row per row: _id, _url, text (blocks joined by one space), n_chars."""
     parsed = materialise(parsed_pages(pages, id_col, url_col, html_col))
     # Copies of a page count once, so what they share isn't a template for their number. Distinct rows first, then counts:
     # no task holds a host's or a box's contents.
-    hosts = parsed.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     around = parsed.select("host", F.explode(F.arrays_zip("hashes", "rests")).alias("b")).select("host", F.col("b.hashes").alias("hash"), F.col("b.rests").alias("rest")).distinct()
-    seen = around.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    templates = seen.join(hosts, "host").filter(F.col("n") >= F.least(share * F.col("pages"), F.lit(float(enough)))).select("host", "hash")
+    templates = around.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
     # Only boxes around main text matter now; pages without any have nothing to lose and stay where they are.
-    boxed = F.exists("boxes", lambda b: F.size(b) > 0)
-    asked = parsed.filter(boxed).select("key", "host", F.explode(F.array_distinct(F.flatten("boxes"))).alias("hash"))
-    gone = asked.join(templates, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("gone"))
-    kept = F.filter(F.arrays_zip("texts", "boxes"), lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b.boxes, F.col("gone")))
-    text = F.array_join(F.transform(kept, lambda b: b.texts), " ")
+    boxed = F.size("boxes") > 0
+    asked = parsed.filter(boxed).select("key", "host", F.explode(F.array_distinct(F.transform("boxes", lambda b: b["hash"]))).alias("hash"))
+    gone = join_per_key(asked, templates, ["host", "hash"], "_n").groupBy("key").agg(F.collect_set("hash").alias("gone"))
+    # Boxes come in the order they open, so of nested ones the outermost is first.
+    found = F.filter("boxes", lambda b: F.array_contains("gone", b["hash"]))
+    outermost = F.aggregate(
+        found, F.slice("boxes", 1, 0), lambda seen, b: F.when(b["behind"] > F.coalesce(F.get(seen, F.size(seen) - 1)["behind"], F.lit(0)), F.concat(seen, F.array(b))).otherwise(seen)
+    )
+    kept = F.filter("texts", lambda _, i: ~F.exists("_out", lambda b: (b["first"] <= i) & (i < b["behind"])))
     whole = parsed.filter(~boxed).select("_id", "_url", F.array_join("texts", " ").alias("text"))
-    rest = parsed.filter(boxed).join(gone, "key", "left").select("_id", "_url", text.alias("text"))
-    return whole.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+    cut = parsed.filter(boxed).join(gone, "key", "left").withColumn("_out", F.when(F.col("gone").isNotNull(), outermost).otherwise(F.slice("boxes", 1, 0)))
+    return whole.unionByName(cut.select("_id", "_url", F.array_join(kept, " ").alias("text"))).withColumn("n_chars", F.length("text").cast("long"))

@@ -91,6 +91,12 @@ def text_of(source):
         ("<ul><li>one<li>two</ul><table><tr><td>a<td>b</table>", "one two a b"), ("&#65;&#x42;&lt;b&gt; &notit; 1 < 2", "AB<b> ¬it; 1 < 2"),
         ("<article>one</article><p>between</p><article>two</article>", "one two"), ("<p>x <unclosed", "x"), ("<DIV><P>up</DIV>", "up"),
         ("<article><div class='loaded gradient'>kept</div></article>", "kept"),
+        ("<div class='content no-sidebar'><article>text</article></div>", "text"), ("<div class='site has-sidebar'><p>text</p></div>", "text"), ("<div class='post comment-open'>text</div>", "text"),
+        ("<section class=share-price>a</section><section id=notice-period>b</section><div class=social-policy>c</div>", "a b c"),
+        ("<p title='a hidden b'>text</p><p hidden>gone</p><p class=x hidden>gone</p><p hidden=''>gone", "text"), ("<main><header><h1>T</h1></header><p>x</p></main>", "T x"),
+        ("<main><h1>All news of today</h1><article>teaser</article><p>And more.</p></main>", "All news of today teaser And more."), ("<div class=sidebar><article>text</article></div>", "text"),
+        ("<article><p>text</p><div class=comments>much longer than the article itself</div></article>", "text"), ("<div class=notice>all there is</div>", "all there is"),
+        ("<article>a</article><div id=comments><p>long and longer and longest</p></div>", "a"), ("<div class='footer__inner'>f</div><div class='ad-300'>b</div><p>longer text</p>", "longer text"),
     ],
 )
 def test_text_of_a_page(source, text):
@@ -111,6 +117,50 @@ def test_site_templates_go_and_texts_stay(spark):
     assert html_text.main_texts(pages_of(spark, [])).count() == 0
 
 
+def plain_main_texts(rows, least):
+    """Templates by brute force: every box of every page against every other page of its host."""
+    pages = [(i, html_text.host_of(u), html_text.Page(h)) for i, u, h in rows]
+    around = {}
+    for _, host, page in pages:
+        mine = page.main()
+        for h, _, _ in page.boxes:
+            rest = [b[0] for k, b in enumerate(page.blocks) if mine[k] and not any(a <= k < z for g, a, z in page.boxes if g == h)]
+            around.setdefault((host, h), set()).add(tuple(sorted(rest)))
+    out = {}
+    for i, host, page in pages:
+        texts, boxes = page.kept()
+        gone = {k for h, a, b in boxes if len(around[(host, h)]) >= least for k in range(a, b)}
+        out[i] = " ".join(t for k, t in enumerate(texts) if k not in gone)
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    import random
+
+    pick = random.Random(4)
+    box = lambda d: f"<div class=c{pick.randrange(3)}>{pick.choice(['Home', 'News', 'About us', 'Terms'])}{box(d - 1) if d and pick.random() < 0.6 else ''}</div>"
+    rows = []
+    for i in range(150):
+        body = "".join(pick.choice([box(3), f"<p>Own {pick.randrange(60)} text of some length, and more of it.</p>"]) for _ in range(6))
+        rows.append((i, f"http://h{i % 3}.example/{i}", pick.choice(["", "<h1>T</h1>"]) + pick.choice([body, f"<article>{body}</article>tail", f"<main>{body}</main>"])))
+    found = html_text.main_texts(pages_of(spark, rows)).collect()
+    assert {r["_id"]: r.text for r in found} == plain_main_texts(rows, html_text.LEAST_TEXTS)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    times = []
+    for deep in (20_000, 100_000):
+        begun = time.perf_counter()
+        page = html_text.Page("<div>x" * deep)
+        texts, boxes = page.kept()
+        page.rests()
+        times.append(time.perf_counter() - begun)
+        assert len(texts) == deep and len(boxes) == deep // 2
+    assert times[1] < 15 * times[0] and times[1] < 20
+
+
 def test_copies_of_an_article_keep_its_boxes(spark):
     part = lambda k, i: f"<section><p>Part {i} of article {k} with about as many words.</p></section>"
     article = lambda k, box="": f"<body><div>Top of the site</div><article><h1>A</h1>{box}{''.join(part(k, i) for i in range(3))}</article></body>"
