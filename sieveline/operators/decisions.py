@@ -1,90 +1,87 @@
 """The human gate as a command log: which commands were taken, which refused and why.
 
-An evaluation's commands have to be read in order, but what a stretch of them does is a map from the
-finite set of states to itself, and maps compose. So a long log is cut into chunks that are summed up
-side by side, the chunks' start states follow from the sums, and every chunk is replayed alone. No task
-ever holds more than one chunk, whatever share of the log one evaluation has.
-
-Commands: advance, hold, decline (decisions); booked, interviewed, offer, withdrawn (moves); undo (of the
-latest active decision, the only one that may be undone); release (the waiting e-mail is claimed by the
-sender, or the undo window of a person without an address closes); fail (its sending failed).
+Commands: advance, hold, decline (decisions, named by their ``seq``); booked, interviewed, offer, withdrawn (moves);
+undo; release (the waiting e-mail is claimed by the sender, or the undo window of a person without an address
+closes); fail (its sending failed). The last three may name a decision (``target``); without one they mean the latest
+that is active, that is, taken and not undone.
+
+An evaluation's active decisions are a stack. Only the top may be undone, and only while its e-mail waits or
+has failed or its window is open; then the one below is the latest again, with its own e-mail or window. A decision
+whose e-mail could not be scheduled (refusal ``not_scheduled``) is rolled back at once.
+
+Commands are dealt by evaluation and sorted there by Spark, which spills; a task then reads them as a stream and holds
+the active decisions of one evaluation, never its log.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import fixed
 from sieveline.functions import dates
 from sieveline.functions.text import clean_line, clean_note
-from sieveline.operators.skew import positions
-from sieveline.session import materialise
-
-CHUNK = 10_000
-
-# A state is (pipeline status, latest active decision). The decision is none, gone (its e-mail has
-# left), closed (its undo window is over), or open as (action, status before, phase, one before it).
-OPEN = [
-    (action, before, phase, earlier)
-    for action, sources in fixed.DECISION_MOVES.items()
-    for before in sources
-    for phase in ("scheduled", "failed", "window")
-    for earlier in (False, True)
-]
-STATES = list(product(fixed.PIPELINE_STATUSES, ["none", "gone", "closed", *OPEN]))
-STATE_ID = {state: i for i, state in enumerate(STATES)}
-START = STATE_ID[("scored", "none")]
-COMMANDS = [*fixed.ACTIONS, *fixed.STATUS_MOVES, "undo", "release", "fail"]
-
-
-def apply_command(state: tuple, command: str, no_contact: bool, refusal: str | None) -> tuple[tuple, str | None]:
-    """(next state, reason of a refusal or None)."""
-    status, latest = state
-    is_open = isinstance(latest, tuple)
-    if command in fixed.ACTIONS:
-        if refusal == "not_finished":
-            return state, refusal
-        if status not in fixed.DECISION_MOVES[command]:
-            return state, "illegal_move"
-        if is_open and latest[2] == "scheduled":
-            return state, "email_in_flight"
-        if refusal:
-            return state, refusal
-        phase = "window" if no_contact else "scheduled"
-        return (fixed.ACTION_STATUS[command], (command, status, phase, latest != "none")), None
-    if command in fixed.STATUS_MOVES:
-        if status not in fixed.STATUS_MOVES[command]:
-            return state, "illegal_move"
-        return (command, latest), None
-    if command == "undo":
-        if latest == "none":
-            return state, "not_found"
-        if not is_open:
-            return state, "already_sent" if latest == "gone" else "too_late"
-        action, before, _, earlier = latest
-        back = before if status == fixed.ACTION_STATUS[action] else status
-        return (back, "gone" if earlier else "none"), None
-    if command == "release" and is_open and latest[2] in ("scheduled", "window"):
-        return (status, "gone" if latest[2] == "scheduled" else "closed"), None
-    if command == "fail" and is_open and latest[2] == "scheduled":
-        return (status, (*latest[:2], "failed", latest[3])), None
-    return state, "nothing_waiting"
-
-
-def transition_table() -> np.ndarray:
-    """next state by [command, no_contact, state], for commands with no refusal of their own."""
-    table = np.empty((len(COMMANDS), 2, len(STATES)), dtype=np.int16)
-    for c, command in enumerate(COMMANDS):
-        for contact in (0, 1):
-            for s, state in enumerate(STATES):
-                table[c, contact, s] = STATE_ID.get(apply_command(state, command, bool(contact), None)[0], s)
-    return table
+
+#: Phases in which a decision may be undone.
+OPEN = ("scheduled", "failed", "window")
+
+
+class Standing:
+    """Where an evaluation stands: its pipeline status and its active decisions, the latest last."""
+
+    __slots__ = ("status", "active")
+
+    def __init__(self, status: str = "scored", active: list[list] | None = None):
+        self.status = status
+        self.active = active or []  # [decision, action, status before, phase]
+
+    def named(self, target) -> list | None:
+        """The active decision meant; the latest where none is named."""
+        if target is None:
+            return self.active[-1] if self.active else None
+        return next((d for d in reversed(self.active) if d[0] == target), None)
+
+    def apply(self, command: str, seq, target=None, no_contact: bool = False, refusal: str | None = None) -> str | None:
+        """Take the command, or give the reason why not."""
+        if command in fixed.ACTIONS:
+            if no_contact and refusal == "not_scheduled":
+                refusal = None
+            if refusal == "not_finished":
+                return refusal
+            if self.status not in fixed.DECISION_MOVES[command]:
+                return "illegal_move"
+            if self.active and self.active[-1][3] == "scheduled":
+                return "email_in_flight"
+            if refusal:
+                return refusal
+            self.active.append([seq, command, self.status, "window" if no_contact else "scheduled"])
+            self.status = fixed.ACTION_STATUS[command]
+            return None
+        if command in fixed.STATUS_MOVES:
+            if self.status not in fixed.STATUS_MOVES[command]:
+                return "illegal_move"
+            self.status = command
+            return None
+        decision = self.named(target)
+        if command == "undo":
+            if decision is None:
+                return "not_found"
+            if decision is not self.active[-1]:
+                return "too_late"
+            if decision[3] not in OPEN:
+                return "already_sent" if decision[3] == "gone" else "too_late"
+            self.active.pop()
+            if self.status == fixed.ACTION_STATUS[decision[1]]:
+                self.status = decision[2]
+            return None
+        after = {"release": {"scheduled": "gone", "window": "closed"}, "fail": {"scheduled": "failed"}}.get(command, {})
+        if decision is None or decision[3] not in after:
+            return "nothing_waiting"
+        decision[3] = after[decision[3]]
+        return None
 
 
 def static_refusal() -> Column:
@@ -115,105 +112,37 @@ def clean_decision_text(commands: DataFrame) -> DataFrame:
     )
 
 
-def _rows(batch: pd.DataFrame) -> Iterator[tuple]:
-    """(evaluation, chunk, command, no_contact, refusal or None) of a sorted batch."""
-    refusals = [r if isinstance(r, str) else None for r in batch["refusal"]]
-    return zip(batch["evaluation_id"].tolist(), batch["chunk"].tolist(), batch["command"].tolist(), batch["no_contact"].tolist(), refusals)
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verdicts on commands that come sorted by evaluation and seq."""
+    key, state = None, Standing()
+    for batch in batches:
+        reasons, statuses, depths = [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("evaluation_id", "seq", "command", "refusal", "no_contact", "target")]
+        for evaluation, seq, command, refusal, contact, target in zip(*columns):
+            if evaluation != key:
+                key, state = evaluation, Standing()
+            reasons.append(state.apply(command, seq, target, bool(contact), refusal))
+            statuses.append(state.status)
+            depths.append(len(state.active))
+        verdicts = [pa.array([r is None for r in reasons], pa.bool_()), pa.array(reasons, pa.string()), pa.array(statuses, pa.string()), pa.array(depths, pa.int64())]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("evaluation_id", "seq", "command")), *verdicts],
+            names=["evaluation_id", "seq", "command", "accepted", "reason", "status_after", "n_active"],
+        )
 
 
-def _sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per chunk: where each possible start state ends."""
-    table = transition_table()
-    codes = {c: i for i, c in enumerate(COMMANDS)}
-    key, ends = None, None
-    for batch in batches:
-        closed = []
-        for evaluation, chunk, command, contact, refusal in _rows(batch):
-            if (evaluation, chunk) != key:
-                if key is not None:
-                    closed.append((*key, ends.tolist()))
-                key, ends = (evaluation, chunk), np.arange(len(STATES), dtype=np.int16)
-            if refusal is None or command not in fixed.ACTIONS:
-                ends = table[codes[command], int(contact)][ends]
-        if closed:
-            yield pd.DataFrame(closed, columns=["evaluation_id", "chunk", "ends"])
-    if key is not None:
-        yield pd.DataFrame([(*key, ends.tolist())], columns=["evaluation_id", "chunk", "ends"])
-
-
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: dict = {}
-    key, state = None, START
-    for batch in batches:
-        reasons, states = [], []
-        for (evaluation, chunk, command, contact, refusal), start in zip(_rows(batch), batch["start"].tolist()):
-            if (evaluation, chunk) != key:
-                key, state = (evaluation, chunk), start
-            step = (state, command, contact, refusal)
-            if step not in seen:
-                after, reason = apply_command(STATES[state], command, bool(contact), refusal)
-                seen[step] = STATE_ID[after], reason
-            state, reason = seen[step]
-            reasons.append(reason)
-            states.append(state)
-        out = batch[["evaluation_id", "seq", "command"]].copy()
-        out["accepted"] = [r is None for r in reasons]
-        out["reason"] = reasons
-        out["status_after"] = [STATES[s][0] for s in states]
-        out["state_after"] = states
-        yield out
-
-
-def _chunk_starts(sums: DataFrame, key_type: str) -> DataFrame:
-    """Start state of every chunk of the long logs: the sums applied one after the other."""
-
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, START
-        for batch in batches:
-            starts = []
-            for evaluation, ends in zip(batch["evaluation_id"], batch["ends"]):
-                if evaluation != key:
-                    key, state = evaluation, START
-                starts.append(state)
-                state = int(ends[state])
-            yield pd.DataFrame({"evaluation_id": batch["evaluation_id"], "chunk": batch["chunk"], "start": starts})
-
-    ordered = sums.repartition("evaluation_id").sortWithinPartitions("evaluation_id", "chunk")
-    return ordered.mapInPandas(chain, f"evaluation_id {key_type}, chunk bigint, start int")
-
-
-def fold(commands: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(evaluation_id, seq, command, refusal, no_contact) → every command with its verdict.
-
-    ``seq`` orders the commands of an evaluation and is unique in it; ``refusal`` is static_refusal.
+def fold(commands: DataFrame) -> DataFrame:
+    """(evaluation_id, seq, command, refusal, no_contact, target if there is one) → every command with its verdict.
+
+    ``seq`` orders the commands of an evaluation, is unique in it and names its decisions; ``refusal`` is static_refusal.
     """
-    key_type = dict(commands.dtypes)["evaluation_id"]
-    columns = ["evaluation_id", "seq", "command", "refusal", "no_contact"]
-    numbered = positions(commands.select(*columns), ["evaluation_id"], [F.col("seq")]).withColumn(
-        "chunk", F.floor((F.col("position") - 1) / chunk).cast("bigint")
-    )
-    # Read three times below: written once.
-    numbered = materialise(numbered)
-    # Evaluations with a second chunk: at most one in ``chunk`` rows is the first of a later chunk.
-    long_logs = numbered.filter(F.col("position") == chunk + 1).select("evaluation_id")
-    cut = numbered.drop("position")
-    sums = (
-        cut.join(long_logs, "evaluation_id", "left_semi")
-        .repartition("evaluation_id", "chunk")
-        .sortWithinPartitions("evaluation_id", "chunk", "seq")
-        .mapInPandas(_sum_up, f"evaluation_id {key_type}, chunk bigint, ends array<smallint>")
-    )
-    started = cut.join(_chunk_starts(sums, key_type), ["evaluation_id", "chunk"], "left").withColumn(
-        "start", F.coalesce("start", F.lit(START))
-    )
-    return (
-        started.repartition("evaluation_id", "chunk")
-        .sortWithinPartitions("evaluation_id", "chunk", "seq")
-        .mapInPandas(
-            _replay,
-            f"evaluation_id {key_type}, seq {dict(commands.dtypes)['seq']}, command string, accepted boolean, "
-            "reason string, status_after string, state_after int",
-        )
+    kinds = dict(commands.dtypes)
+    target = F.col("target") if "target" in kinds else F.lit(None)
+    rows = commands.select("evaluation_id", "seq", "command", "refusal", "no_contact", target.cast(kinds["seq"]).alias("target"))
+    ordered = rows.repartition("evaluation_id").sortWithinPartitions("evaluation_id", "seq")
+    return ordered.mapInArrow(
+        _replay,
+        f"evaluation_id {kinds['evaluation_id']}, seq {kinds['seq']}, command string, accepted boolean, reason string, status_after string, n_active long",
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline import config as cfg
@@ -425,15 +425,21 @@ def config_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- decisions ----
 
-COMMANDS_SQL = """cmd AS (SELECT user_id AS ev, event_id AS seq,
-  CASE event_type WHEN 'signup' THEN 'advance' WHEN 'error' THEN 'undo' WHEN 'view' THEN CASE WHEN value < 5 THEN 'fail' ELSE 'release' END
-    WHEN 'click' THEN CASE WHEN value < 15 THEN 'hold' ELSE 'decline' END
-    ELSE CASE WHEN value < 8 THEN 'booked' WHEN value < 16 THEN 'interviewed' WHEN value < 40 THEN 'offer' ELSE 'withdrawn' END END AS command,
-  CASE WHEN event_type = 'click' AND value < 1 THEN 'hold_date_not_future' WHEN event_type = 'signup' AND value < 1 THEN 'not_finished' END AS refusal,
-  user_id > 100 AS no_contact, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)"""
+COMMANDS_SQL = """cmd AS (SELECT ev, seq, command, no_contact, rn,
+    CASE WHEN command IN ('hold', 'decline') AND value < 1 THEN 'hold_date_not_future' WHEN command = 'advance' AND value < 1 THEN 'not_finished'
+         WHEN command = 'advance' AND value < 2 THEN 'not_scheduled' END AS refusal,
+    CASE WHEN command IN ('undo', 'release', 'fail') THEN CASE WHEN value < 12 THEN max(CASE WHEN command IN ('advance', 'hold', 'decline') THEN seq END) OVER earlier
+                               WHEN value < 18 THEN max(CASE WHEN command IN ('hold', 'decline') THEN seq END) OVER earlier END END AS target
+  FROM (SELECT user_id AS ev, event_id AS seq, value,
+    CASE event_type WHEN 'signup' THEN 'advance' WHEN 'error' THEN 'undo' WHEN 'view' THEN CASE WHEN value < 5 THEN 'fail' ELSE 'release' END
+      WHEN 'click' THEN CASE WHEN value < 15 THEN 'hold' ELSE 'decline' END
+      ELSE CASE WHEN value < 8 THEN 'booked' WHEN value < 16 THEN 'interviewed' WHEN value < 40 THEN 'offer' ELSE 'withdrawn' END END AS command,
+    user_id > 100 AS no_contact, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)
+  WINDOW earlier AS (PARTITION BY ev ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
 def event_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as commands; undo, release and fail name the newest decision asked for, the newest hold or decline, or none."""
     kind, value = F.col("event_type"), F.col("value")
     moves = F.when(value < 8, "booked").when(value < 16, "interviewed").when(value < 40, "offer").otherwise("withdrawn")
     command = (
@@ -442,53 +448,62 @@ def event_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "click", F.when(value < 15, "hold").otherwise("decline"))
         .otherwise(moves)
     )
-    refusal = F.when((kind == "click") & (value < 1), "hold_date_not_future").when((kind == "signup") & (value < 1), "not_finished")
+    refusal = (
+        F.when((kind == "click") & (value < 1), "hold_date_not_future").when((kind == "signup") & (value < 1), "not_finished")
+        .when((kind == "signup") & (value < 2), "not_scheduled")
+    )
+    earlier = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    newest = lambda *kinds: F.max(F.when(kind.isin(*kinds), F.col("event_id"))).over(earlier)
+    target = F.when(kind.isin("error", "view"), F.when(value < 12, newest("signup", "click")).when(value < 18, newest("click")))
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("evaluation_id"), F.col("event_id").alias("seq"), command.alias("command"), refusal.alias("refusal"),
-        (F.col("user_id") > 100).alias("no_contact"),
+        (F.col("user_id") > 100).alias("no_contact"), target.alias("target"),
     )
 
 
-# The fold as a recursive query: one step per command, the state in columns.
+# The fold as a recursive query: one step per command, the active decisions as a list, the latest last.
 _LEGAL = "CASE command " + " ".join(
     f"WHEN '{c}' THEN status IN ({', '.join(repr(s) for s in sources)})"
     for c, sources in {**fixed.DECISION_MOVES, **fixed.STATUS_MOVES}.items()
 ) + " END"
 _IS_DECISION = "command IN ('advance', 'hold', 'decline')"
-_TO = "CASE command WHEN 'advance' THEN 'advanced' WHEN 'decline' THEN 'declined' ELSE command END"
+_TO = "CASE {0} WHEN 'advance' THEN 'advanced' WHEN 'decline' THEN 'declined' ELSE {0} END"
+_STEP_LEGAL = _LEGAL.replace("command", "c.command", 1).replace("status", "f.status")
 FOLD_SQL = f"""WITH RECURSIVE {COMMANDS_SQL}, fold AS (
   SELECT ev, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS command, CAST(NULL AS VARCHAR) AS reason, 'scored' AS status,
-         'none' AS latest, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS before, false AS earlier
+         CAST([] AS STRUCT(id BIGINT, action VARCHAR, before VARCHAR, phase VARCHAR)[]) AS active
   FROM (SELECT DISTINCT ev FROM cmd)
   UNION ALL
   SELECT ev, rn, seq, command, reason,
-    CASE WHEN reason IS NOT NULL THEN status WHEN {_IS_DECISION} OR command IN ('booked', 'interviewed', 'offer', 'withdrawn') THEN {_TO}
-         WHEN command = 'undo' AND status = CASE action WHEN 'advance' THEN 'advanced' WHEN 'decline' THEN 'declined' ELSE action END THEN before ELSE status END,
-    CASE WHEN reason IS NOT NULL THEN latest WHEN {_IS_DECISION} THEN CASE WHEN no_contact THEN 'window' ELSE 'scheduled' END
-         WHEN command = 'undo' THEN CASE WHEN earlier THEN 'gone' ELSE 'none' END WHEN command = 'release' THEN CASE latest WHEN 'scheduled' THEN 'gone' ELSE 'closed' END
-         WHEN command = 'fail' THEN 'failed' ELSE latest END,
-    CASE WHEN reason IS NULL AND {_IS_DECISION} THEN command ELSE action END,
-    CASE WHEN reason IS NULL AND {_IS_DECISION} THEN status ELSE before END,
-    CASE WHEN reason IS NULL AND {_IS_DECISION} THEN latest <> 'none' ELSE earlier END
-  FROM (SELECT f.ev, c.rn, c.seq, c.command, c.no_contact, f.status, f.latest, f.action, f.before, f.earlier,
+    CASE WHEN reason IS NOT NULL THEN status WHEN {_IS_DECISION} OR command IN ('booked', 'interviewed', 'offer', 'withdrawn') THEN {_TO.format("command")}
+         WHEN command = 'undo' AND status = {_TO.format("meant.action")} THEN meant.before ELSE status END,
+    CASE WHEN reason IS NOT NULL THEN active
+         WHEN {_IS_DECISION} THEN list_append(active, {{'id': seq, 'action': command, 'before': status, 'phase': CASE WHEN no_contact THEN 'window' ELSE 'scheduled' END}})
+         WHEN command = 'undo' THEN active[1:len(active) - 1]
+         WHEN command IN ('release', 'fail') THEN list_transform(active, lambda d: CASE WHEN d.id = meant.id THEN {{'id': d.id, 'action': d.action, 'before': d.before,
+           'phase': CASE WHEN command = 'fail' THEN 'failed' WHEN d.phase = 'scheduled' THEN 'gone' ELSE 'closed' END}} ELSE d END)
+         ELSE active END
+  FROM (SELECT f.ev, c.rn, c.seq, c.command, c.no_contact, f.status, f.active, f.meant,
       CASE WHEN {_IS_DECISION.replace('command', 'c.command')} THEN
-             CASE WHEN c.refusal = 'not_finished' THEN c.refusal WHEN NOT ({_LEGAL.replace('command', 'c.command', 1).replace('status', 'f.status')}) THEN 'illegal_move'
-                  WHEN f.latest = 'scheduled' THEN 'email_in_flight' ELSE c.refusal END
-           WHEN c.command IN ('booked', 'interviewed', 'offer', 'withdrawn') THEN
-             CASE WHEN NOT ({_LEGAL.replace('command', 'c.command', 1).replace('status', 'f.status')}) THEN 'illegal_move' END
-           WHEN c.command = 'undo' THEN CASE f.latest WHEN 'none' THEN 'not_found' WHEN 'gone' THEN 'already_sent' WHEN 'closed' THEN 'too_late' END
-           WHEN c.command = 'release' THEN CASE WHEN f.latest NOT IN ('scheduled', 'window') THEN 'nothing_waiting' END
-           ELSE CASE WHEN f.latest <> 'scheduled' THEN 'nothing_waiting' END END AS reason
-    FROM fold f JOIN cmd c ON c.ev = f.ev AND c.rn = f.rn + 1) step
+             CASE WHEN c.refusal = 'not_finished' THEN c.refusal WHEN NOT ({_STEP_LEGAL}) THEN 'illegal_move'
+                  WHEN len(f.active) > 0 AND f.active[-1].phase = 'scheduled' THEN 'email_in_flight' WHEN c.refusal = 'not_scheduled' AND c.no_contact THEN NULL ELSE c.refusal END
+           WHEN c.command IN ('booked', 'interviewed', 'offer', 'withdrawn') THEN CASE WHEN NOT ({_STEP_LEGAL}) THEN 'illegal_move' END
+           WHEN f.meant IS NULL THEN CASE WHEN c.command = 'undo' THEN 'not_found' ELSE 'nothing_waiting' END
+           WHEN c.command = 'undo' THEN CASE WHEN f.meant.id <> f.active[-1].id THEN 'too_late' WHEN f.meant.phase = 'gone' THEN 'already_sent' WHEN f.meant.phase = 'closed' THEN 'too_late' END
+           WHEN c.command = 'release' THEN CASE WHEN f.meant.phase NOT IN ('scheduled', 'window') THEN 'nothing_waiting' END
+           ELSE CASE WHEN f.meant.phase <> 'scheduled' THEN 'nothing_waiting' END END AS reason
+    FROM (SELECT fold.*, CASE WHEN n.target IS NULL THEN active[-1] ELSE list_filter(active, lambda d: d.id = n.target)[1] END AS meant
+          FROM fold JOIN cmd n ON n.ev = fold.ev AND n.rn = fold.rn + 1) f
+    JOIN cmd c ON c.ev = f.ev AND c.rn = f.rn + 1) step
 )"""
 
 
 @query(
     "decision_fold",
-    FOLD_SQL + " SELECT ev AS evaluation_id, seq, command, reason IS NULL AS accepted, reason, status AS status_after FROM fold WHERE rn > 0",
+    FOLD_SQL + " SELECT ev AS evaluation_id, seq, command, reason IS NULL AS accepted, reason, status AS status_after, len(active) AS n_active FROM fold WHERE rn > 0",
 )
 def decision_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions.fold(event_commands(spark, sf_dir)).drop("state_after")
+    return decisions.fold(event_commands(spark, sf_dir))
 
 
 @query(

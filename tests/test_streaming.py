@@ -47,17 +47,19 @@ def test_delivery_stream_equals_batch(spark, tmp_path):
     assert [r.target_id for r in spark.read.parquet(str(tmp_path / "out" / "audit")).collect()] == ["m2"]
 
 
-def test_command_stream_equals_batch(spark, tmp_path):
-    schema = "evaluation_id string, seq bigint, command string, refusal string, no_contact boolean"
-    script = ["advance", "decline", "release", "decline", "undo", "hold", "release", "hold", "fail", "undo", "booked", "advance", "booked", "undo"]
-    rows = [(f"v{v}", v * 100 + i, c, None, v == 2) for v in range(4) for i, c in enumerate(script[v:] + script[:v])]
-    for part in range(0, 14, 5):
+def test_command_stream_equals_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commands, "PART", 7)
+    fields = ["evaluation_id", "seq", "command", "refusal", "no_contact", "target"]
+    schema = "evaluation_id string, seq bigint, command string, refusal string, no_contact boolean, target bigint"
+    script = ["advance", "decline", "release", "decline", "undo", "hold", "release", "hold", "fail", "hold", "fail", "undo", "undo", "booked", "advance", "booked", "undo"]
+    rows = [(f"v{v}", v * 100 + i, c, None, v == 2, v * 100 + i - 3 if c == "undo" and v % 2 else None) for v in range(4) for i, c in enumerate(script[v:] + script[:v])]
+    for part in range(0, 17, 5):
         chunk = [r for r in rows if part <= r[1] % 100 < part + 5]
-        lines(tmp_path / "in", [dict(zip(["evaluation_id", "seq", "command", "refusal", "no_contact"], r)) for r in chunk])
+        lines(tmp_path / "in", [dict(zip(fields, r)) for r in reversed(chunk)])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     sinks.write_batches(commands.fold_stream(stream), {"verdicts": lambda b: b}, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out" / "verdicts")).drop("batch")
-    want = decisions.fold(spark.createDataFrame(rows, schema), chunk=4).drop("state_after")
+    want = decisions.fold(spark.createDataFrame(rows, schema))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 

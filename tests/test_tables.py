@@ -86,26 +86,80 @@ def test_hot_keys(spark):
     assert ranked.join(plain.select("doc_id", "want"), "doc_id").filter("position <> want").count() == 0
 
 
-def test_long_log_in_chunks(spark):
-    script = ["advance", "undo", "hold", "release", "hold", "fail", "decline", "undo", "advance", "booked", "release", "undo", "interviewed", "decline", "undo"]
-    rows = [("hot", i, script[(i * 7 + i // 11) % 15], "role_title_missing" if i % 13 == 0 else None, False) for i in range(3000)] + [(f"e{i}", 0, "hold", None, False) for i in range(20)]
-    df = spark.createDataFrame(rows, "evaluation_id string, seq int, command string, refusal string, no_contact boolean")
-    whole, cut = (sorted(map(tuple, decisions.fold(df, chunk=n).collect()), key=repr) for n in (10_000, 100))
-    assert whole == cut and len(cut) == 3020
-    state = decisions.START
-    for row in sorted((r for r in cut if r[0] == "hot"), key=lambda r: r[1]):
-        after, reason = decisions.apply_command(decisions.STATES[state], row[2], False, "role_title_missing" if row[1] % 13 == 0 else None)
-        state = decisions.STATE_ID[after]
-        assert (row[3], row[4], row[5]) == (reason is None, reason, after[0])
+def plain_fold(rows):
+    """Verdicts by keeping every decision with its fate, as a table of decisions would."""
+    out, now = [], {}
+    legal = {**fixed.DECISION_MOVES, **fixed.STATUS_MOVES}
+    for ev, seq, command, refusal, contact, target in sorted(rows, key=lambda r: (r[0], r[1])):
+        status, made = now.setdefault(ev, ["scored", []])
+        active = [d for d in made if not d["undone"]]
+        meant = next((d for d in active if d["id"] == target), None) if target is not None else active[-1] if active else None
+        reason = None
+        if command in fixed.ACTIONS:
+            late = refusal if not (contact and refusal == "not_scheduled") else None
+            reason = "not_finished" if refusal == "not_finished" else "illegal_move" if status not in legal[command] else "email_in_flight" if any(d["mail"] == "scheduled" for d in active) else late
+            if reason is None:
+                made.append({"id": seq, "action": command, "before": status, "mail": None if contact else "scheduled", "open": True, "undone": False})
+                status = fixed.ACTION_STATUS[command]
+        elif command in fixed.STATUS_MOVES:
+            reason = None if status in legal[command] else "illegal_move"
+            status = status if reason else command
+        elif command == "undo":
+            if meant is None or meant is not active[-1]:
+                reason = "not_found" if meant is None else "too_late"
+            elif meant["mail"] == "sent" or (meant["mail"] is None and not meant["open"]):
+                reason = "already_sent" if meant["mail"] else "too_late"
+            else:
+                meant["undone"] = True
+                status = meant["before"] if status == fixed.ACTION_STATUS[meant["action"]] else status
+        elif meant is None or not (meant["mail"] == "scheduled" or (command == "release" and meant["mail"] is None and meant["open"])):
+            reason = "nothing_waiting"
+        elif meant["mail"] is None:
+            meant["open"] = False
+        else:
+            meant["mail"] = "sent" if command == "release" else "failed"
+        now[ev][0] = status
+        out.append((ev, seq, command, reason is None, reason, status, sum(not d["undone"] for d in made)))
+    return out
+
+
+LOG = "evaluation_id string, seq long, command string, refusal string, no_contact boolean, target long"
+
+
+def random_log(seed, lengths):
+    import random
+
+    pick = random.Random(seed)
+    words = ["advance", "hold", "hold", "hold", "decline", "booked", "interviewed", "offer", "withdrawn", "undo", "undo", "undo", "release", "fail", "fail"]
+    refusals = [None] * 12 + ["not_finished", "not_scheduled", "role_title_missing"]
+    rows = []
+    for ev, n in lengths.items():
+        for i in range(n):
+            command = pick.choice(words)
+            target = pick.choice([None, None, i - 1, i - 2, i - 5]) if command in ("undo", "release", "fail") else None
+            rows.append((ev, i, command, pick.choice(refusals) if command in fixed.ACTIONS else None, pick.random() < 0.2 if ev != "p" else True, target))
+    return rows
+
+
+def test_logs_of_any_length(spark):
+    rows = random_log(1, {"hot": 6_000, "p": 500, **{f"e{k}": k % 9 for k in range(300)}})
+    deep = ["hold", "fail", "hold", "fail", "undo"]
+    rows += [("deep", i, deep[i % 5] if i < 500 else "undo", None, False, None) for i in range(700)]
+    found = [tuple(r) for r in decisions.fold(spark.createDataFrame(rows, LOG).repartition(5)).collect()]
+    assert sorted(found, key=repr) == sorted(plain_fold(rows), key=repr)
+    assert {r[4] for r in found} >= {"not_found", "too_late", "already_sent", "email_in_flight", "illegal_move", "nothing_waiting", "not_scheduled"}
+    assert max(r[6] for r in found) > 20
+    assert decisions.fold(spark.createDataFrame([], LOG)).count() == 0
 
 
 # ---- decisions ----
 
 
 def verdicts(spark, *commands, no_contact=False):
-    rows = [("e", i, c if isinstance(c, str) else c[0], None if isinstance(c, str) else c[1], no_contact) for i, c in enumerate(commands)]
-    df = spark.createDataFrame(rows, "evaluation_id string, seq int, command string, refusal string, no_contact boolean")
-    return [(r.reason, r.status_after) for r in decisions.fold(df).orderBy("seq").collect()]
+    """Commands as words or (word, refusal, target)."""
+    words = [(c, None, None) if isinstance(c, str) else (*c, None)[:3] for c in commands]
+    rows = [("e", i, c, refusal, no_contact, target) for i, (c, refusal, target) in enumerate(words)]
+    return [(r.reason, r.status_after) for r in decisions.fold(spark.createDataFrame(rows, LOG)).orderBy("seq").collect()]
 
 
 def test_decisions(spark):
@@ -118,6 +172,18 @@ def test_decisions(spark):
     assert verdicts(spark, "hold", "release", "undo", no_contact=True)[-1] == ("too_late", "hold")
 
 
+def test_undo_goes_down_the_stack(spark):
+    assert verdicts(spark, "hold", "fail", "hold", "undo", "undo", "undo") == [*[(None, "hold")] * 4, (None, "scored"), ("not_found", "scored")]
+    # By id: only the latest active decision may go; one that was undone, refused or never made isn't found.
+    named = verdicts(spark, "hold", "fail", "advance", ("undo", None, 0), ("undo", None, 2), ("undo", None, 2), ("undo", None, 99), ("undo", None, 0))
+    assert [r for r, _ in named[3:]] == ["too_late", None, "not_found", "not_found", None] and named[-1] == (None, "scored")
+    # Each decision keeps its own window.
+    assert [r for r, _ in verdicts(spark, "hold", "hold", ("release", None, 0), "undo", "undo", no_contact=True)] == [None, None, None, None, "too_late"]
+    # What could not be scheduled is rolled back; a person without an address has nothing to schedule.
+    assert verdicts(spark, ("advance", "not_scheduled"), "undo") == [("not_scheduled", "scored"), ("not_found", "scored")]
+    assert verdicts(spark, ("advance", "not_scheduled"), no_contact=True) == [(None, "advanced")]
+
+
 def test_static_refusals(spark):
     rows = [("queued", "PM", None, "hold", "2026-10-22"), ("scored", "NOT_SURE", None, "decline", None), ("scored", "PM", None, "hold", "2026-10-01"), ("scored", "PM", None, "advance", None), ("scored", "PM", None, "undo", None)]
     df = spark.createDataFrame(rows, "status string, role_applied string, role_title string, command string, h string").select(
