@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sieveline import fixed
 from sieveline.functions import text as tx
+from sieveline.functions.bind import bind
 from sieveline.functions.patterns import SPACES
+from sieveline.operators.filters import key_filter
 from sieveline.operators.skew import broadcast_if_small
 
 # A line that opens a section: its name becomes a mark the text is split on.
@@ -115,12 +117,20 @@ def copied_texts(
 ) -> DataFrame:
     """Ids of the texts that share a run of n words with the reference texts.
 
-    The reference runs are deduplicated and, when counted to be small, sent to the texts, so the texts
-    are never shuffled; the hash finds candidates and the words themselves decide.
+    A filter of the reference runs is asked inside each text's row, so only runs that may be copied are
+    opened. The reference runs are deduplicated and, when counted to be small, sent to the texts, so the texts are
+    never shuffled; the words themselves decide.
     """
-    known = shingle_rows(reference, [], text_col, n).distinct()
-    hits = shingle_rows(texts, id_cols, text_col, n).join(broadcast_if_small(known), ["h", "shingle"], "left_semi")
-    return hits.select(*id_cols).distinct()
+    known = shingle_rows(reference, [], text_col, n).select("shingle").distinct()
+    may_be = key_filter(known.select(F.split("shingle", " ").alias("run")), "run")
+
+    def runs(words: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: may_be(F.slice(words, i, n)))
+        made = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+        return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    found = texts.select(*id_cols, F.explode(bind(tx.plain_words(F.col(text_col)), runs)).alias("shingle"))
+    return found.join(broadcast_if_small(known), "shingle", "left_semi").select(*id_cols).distinct()
 
 
 def flag_copies(profiles: DataFrame, reference: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sieveline import fixed
 from sieveline.functions.bind import bind
 from sieveline.functions.patterns import jvm, matches, term_pattern
-from sieveline.operators.redact import SHOWN, comparable, present_terms, _dictionary, _with_form
+from sieveline.operators.redact import SHOWN, _with_form, comparable, listed_pairs, present_terms, text_words
 from sieveline.term_lists import INSTITUTIONS, PLACES
 
 
@@ -20,6 +20,8 @@ def leak_categories(
     placeholder = "|".join("\\[" + s[1:-1] + "\\]" for s in shown)
 
     def checks(text: Column, haystack: Column) -> Column:
+        words = text_words(haystack)
+
         def hit(pairs: Column) -> Column:
             candidates = F.filter(present_terms(pairs, haystack), lambda t: F.length(F.trim(t)) >= 2)
             return F.exists(candidates, lambda t: F.regexp_like(text, term_pattern(t)))
@@ -37,8 +39,8 @@ def leak_categories(
             "location": own("locations"),
             "institution": own("institutions"),
             "company": own("companies"),
-            "city_list": hit(_dictionary(places)),
-            "college_list": hit(_dictionary(institutions)),
+            "city_list": hit(listed_pairs(places, words)),
+            "college_list": hit(listed_pairs(institutions, words)),
             "date": matches(text, fixed.LEAK_MONTH_YEAR_PATTERN) | matches(text, fixed.LEAK_YEAR_PATTERN, False),
             "gendered_word": matches(text, fixed.LEAK_GENDERED_PATTERN) | matches(text, fixed.LEAK_HONORIFIC_PATTERN, False),
         }

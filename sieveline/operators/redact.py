@@ -7,6 +7,8 @@ private-use mark, one per counter; the marks are counted, then rendered.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,10 +98,27 @@ def _with_form(terms: Column) -> Column:
     return F.transform(terms, lambda t: F.struct(t.alias("term"), comparable(t).alias("form")))
 
 
-def _dictionary(terms: list[str]) -> Column:
-    """The same pairs for a fixed list, made on the driver once."""
-    forms = [" ".join(t.upper().lower().split()) for t in terms]
-    return F.arrays_zip(text_list(terms).alias("term"), text_list(forms).alias("form"))
+def text_words(haystack: Column) -> Column:
+    """The words of a comparable text."""
+    return F.split(haystack, r"[^\p{L}\p{N}]+")
+
+
+def listed_pairs(listed: list[str], words: Column) -> Column:
+    """Pairs (term, form) of a fixed list whose longest word is among the text's words.
+
+    A term stands between word edges, so its words are words of the text: one intersection by hash finds the few
+    terms that can occur, and only those are looked for.
+    """
+    forms = [" ".join(t.upper().lower().split()) for t in listed]
+    keys = [max(re.findall(r"[^\W_]+", f), key=len) for f in forms]
+    pairs = F.arrays_zip(text_list(listed).alias("term"), text_list(forms).alias("form"), text_list(keys).alias("key"))
+
+    def kept(found: Column) -> Column:
+        pick = F.filter(pairs, lambda p: F.array_contains(found, p["key"]))
+        none = F.array().cast("array<struct<term:string,form:string>>")
+        return F.when(F.size(found) > 0, F.transform(pick, lambda p: F.struct(p["term"].alias("term"), p["form"].alias("form")))).otherwise(none)
+
+    return bind(F.array_intersect(text_list(sorted(set(keys))), words), kept)
 
 
 def present_terms(pairs: Column, haystack: Column) -> Column:
@@ -146,10 +165,11 @@ def prepare_terms(
     terms: Column, haystack: Column, places: list[str] = PLACES, institutions: list[str] = INSTITUTIONS
 ) -> Column:
     """The document's and the dictionaries' terms that occur in its texts, in the order they are applied."""
+    words = text_words(haystack)
 
     def present(own: str, listed: list[str] | None = None) -> Column:
         pairs = _with_form(terms[own])
-        return present_terms(F.concat(pairs, _dictionary(listed)) if listed else pairs, haystack).alias(own)
+        return present_terms(F.concat(pairs, listed_pairs(listed, words)) if listed else pairs, haystack).alias(own)
 
     return F.struct(
         present("urls"),
