@@ -181,19 +181,31 @@ def prepare_terms(
     )
 
 
+def _mark_emails(text: Column) -> Column:
+    return bind(text, lambda t: F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, jvm(fixed.EMAIL_PATTERN), MARKS["emails"])).otherwise(t))
+
+
+def _mark_urls(text: Column) -> Column:
+    def run(value: Column) -> Column:
+        maybe = F.contains(value, F.lit("/")) | F.contains(F.lower(value), F.lit("www."))
+        return F.when(maybe, F.regexp_replace(value, jvm(fixed.URL_PATTERN, True), MARKS["urls"])).otherwise(value)
+
+    return bind(text, run)
+
+
+def _mark_phones(text: Column) -> Column:
+    return bind(text, lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, jvm(fixed.PHONE_PATTERN), MARKS["phones"])).otherwise(t))
+
+
 def mark_contacts(text: Column) -> Column:
-    """E-mail addresses, links and phone numbers of a text, by pattern alone."""
-    out = F.regexp_replace(text, jvm(fixed.EMAIL_PATTERN), MARKS["emails"])
-    out = F.regexp_replace(out, jvm(fixed.URL_PATTERN, True), MARKS["urls"])
-    return F.regexp_replace(out, jvm(fixed.PHONE_PATTERN), MARKS["phones"])
+    """E-mail addresses, links and phone numbers of a text, by pattern alone; each only where it can match."""
+    return _mark_phones(_mark_urls(_mark_emails(text)))
 
 
 def _mark_terms(text: Column, terms: Column) -> Column:
-    out = F.regexp_replace(text, jvm(fixed.EMAIL_PATTERN), MARKS["emails"])
-    out = replace_terms(out, terms["urls"], MARKS["urls"])
-    out = F.regexp_replace(out, jvm(fixed.URL_PATTERN, True), MARKS["urls"])
-    out = replace_terms(out, terms["phones"], MARKS["phones"])
-    out = F.regexp_replace(out, jvm(fixed.PHONE_PATTERN), MARKS["phones"])
+    out = _mark_emails(text)
+    out = _mark_urls(replace_terms(out, terms["urls"], MARKS["urls"]))
+    out = _mark_phones(replace_terms(out, terms["phones"], MARKS["phones"]))
     for name in ("institutions", "companies", "locations", "names"):
         out = replace_terms(out, terms[name], MARKS[name])
     return out

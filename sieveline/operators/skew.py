@@ -89,11 +89,12 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], columns:
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal the rows out evenly, but only when the input has fewer partitions than there are cores to use.
 
-    Rows go round, not by ``key``: a key that holds a third of them stays spread over all tasks, and what
-    follows adds up before it shuffles. On a cluster reading many files this is the frame itself.
+    ``keys`` together tell the rows apart, so no value holds many of them and what follows adds up before it
+    shuffles; unlike a round-robin deal, a deal by hash sorts nothing. On a cluster reading many files this is the
+    frame itself.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -90,7 +90,7 @@ checked AS (
 
 
 def lineitem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     flag = F.col("l_returnflag")
     return li.select(
         F.col("l_orderkey").alias("doc_id"),
@@ -127,7 +127,7 @@ def lineitem_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM lineitem GROUP BY l_orderkey, l_linenumber""",
 )
 def run_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
+    runs = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.floor((F.col("l_quantity") - 1) / 10).cast("int").alias("score")
     )
     # Only the counters are asked for, so Catalyst prunes the earliest-run states away.
@@ -375,7 +375,7 @@ def rescore_whatif(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM r JOIN k ON r.l_linestatus = k.l_linestatus AND r.l_partkey = k.l_partkey""",
 )
 def reuse_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = spread(table(spark, sf_dir, "lineitem"), "l_partkey").select(
+    runs = spread(table(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey", "l_suppkey").select(
         "l_linestatus", "l_partkey", "l_orderkey", "l_suppkey", "l_extendedprice",
         F.when(F.col("l_linenumber") == 7, "D8").otherwise(F.concat(F.lit("D"), F.col("l_linenumber").cast("string"))).alias("dim"),
         (F.col("l_returnflag") == "R").alias("primary"),

@@ -63,11 +63,11 @@ def term_body(term: str) -> str:
 
 
 def with_terms(text: str, terms: list[str], mark: str) -> str:
-    """Terms of a list, the longest first, each replaced throughout; only those whose letters occur are tried."""
+    """Terms of a list, the longest first, each replaced throughout; only those whose letters occur in ``u`` are tried."""
     order = sorted(dict.fromkeys(terms), key=lambda t: -len(t))
     pairs = ", ".join(f"{{'p': {quoted(LEFT + term_body(t) + RIGHT)}, 'f': {quoted(' '.join(t.lower().split()))}}}" for t in order)
     by = quoted(rf"\1{mark}\2")
-    found = f"list_transform(list_filter([{pairs}], lambda s: contains(regexp_replace(lower({text}), '[{SPACES}]+', ' ', 'g'), s.f)), lambda s: s.p)"
+    found = f"list_transform(list_filter([{pairs}], lambda s: contains(u, s.f)), lambda s: s.p)"
     return f"list_reduce(list_concat([{text}], {found}), lambda acc, x: regexp_replace(regexp_replace(acc, x, {by}, 'g'), x, {by}, 'g'))"
 
 
@@ -148,7 +148,10 @@ def full_redaction(source: str) -> str:
     steps = [with_contacts(t), with_terms(t, INSTITUTIONS, MARKS["institutions"]), with_terms(t, PLACES, MARKS["locations"]), with_honorifics(t)]
     steps += [*with_pronouns(t), *with_dates(t)]
     parts = [f"s0 AS (SELECT doc_id, text AS t FROM ({source}))"]
-    parts += [f"s{k} AS (SELECT doc_id, {step} AS t FROM s{k - 1})" for k, step in enumerate(steps, 1)]
+    for k, step in enumerate(steps, 1):
+        if k in (2, 3):
+            parts.append(f"u{k} AS MATERIALIZED (SELECT doc_id, t, regexp_replace(lower(t), '[{SPACES}]+', ' ', 'g') AS u FROM s{k - 1})")
+        parts.append(f"s{k} AS (SELECT doc_id, {step} AS t FROM {'u' if k in (2, 3) else 's'}{k if k in (2, 3) else k - 1})")
     last = len(steps)
     academic = [f"a{k} AS (SELECT doc_id, m, {step} AS t FROM {f's{last}0' if not k else f'a{k - 1}'})" for k, step in enumerate(with_academic(t))]
     parts += [f"s{last}0 AS (SELECT doc_id, t AS m, t FROM s{last})", *academic]

@@ -121,8 +121,8 @@ def contact_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # What the corpus holds of people, places, schools and dates is little: common words stand for more of it.
 TOLD = [
-    (" is ", " Delhi NCR, "), (" was ", " at IIT Madras in June 2019. "), (" with ", " Mr. Rao and his "), (" on ", " because she's 3 in 2010 clients or 2011-12 "),
-    (" la ", " St. Xavier's College, "), (" as ", " NCR "), (" und ", " Her her team (CGPA: 9.1/10) "), (" die ", " Dr. Old Mumbai said HE moved 03/2020, 2019/05-1 and "),
+    (" is the ", " Delhi NCR, "), (" was the ", " at IIT Madras in June 2019. "), (" with the ", " Mr. Rao and his "), (" on the ", " because she's 3 in 2010 clients or 2011-12 "),
+    (" las ", " St. Xavier's College, "), (" as the ", " NCR "), (" und der ", " Her her team (CGPA: 9.14 / 10) "), (" und die ", " Dr. Old Mumbai said HE moved 03/2020, 2019/05-1 and "),
 ]
 _TOLD_SQL = "text"
 for _word, _told in TOLD:
@@ -162,9 +162,10 @@ LONGEST = max(len(tx_words) for tx_words in (re.findall(r"[^\W_]+", t) for t in
     f"""WITH t AS (SELECT unnest([{", ".join(map(redaction_sql.quoted, DICTIONARY))}]) AS term),
       n AS (SELECT array_to_string(list_filter(string_split_regex(regexp_replace(lower(term), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda x: x <> ''), ' ') AS run, term FROM t),
       w AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower({_TOLD_SQL}), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS ws FROM documents),
-      k AS (SELECT unnest(range(1, {LONGEST} + 1)) AS k),
-      g AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS run FROM w, k WHERE len(ws) >= k)
-      SELECT doc_id, term, count(*) AS n_hits FROM g JOIN n USING (run) GROUP BY doc_id, term""",
+      o AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+      l AS (SELECT doc_id, x, [x{"".join(f", lead(x, {j}) OVER p" for j in range(1, LONGEST))}] AS xs FROM o WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+      h AS (SELECT run, term, string_split(run, ' ')[1] AS x, len(string_split(run, ' ')) AS k FROM n)
+      SELECT doc_id, term, count(*) AS n_hits FROM l JOIN h ON l.x = h.x AND array_to_string(xs[1:k], ' ') = run GROUP BY doc_id, term""",
 )
 def dictionary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed lists of places and institutions, and some common runs, in every whole text."""
