@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import fixed
+from sieveline.functions.bind import bind
 from sieveline.functions.patterns import matches
 from sieveline.functions.text import token_count
 
@@ -60,30 +61,34 @@ def violation_counts(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def run_problems(runs: DataFrame) -> DataFrame:
     """Scoring runs with the rules they break; a run with any goes to review as invalid output."""
-    dims = F.col("run.dimensions")
 
-    def every(test) -> Column:
-        return F.forall(F.map_values(dims), test)
+    def rules(run: Column) -> dict[str, Column]:
+        dims = run["dimensions"]
+
+        def every(test) -> Column:
+            return F.forall(F.map_values(dims), test)
+
+        return {
+            "parsed": run.isNotNull() & dims.isNotNull(),
+            "all_dimensions": F.size(F.array_except(F.array(*[F.lit(d) for d in fixed.SCORED_DIMS]), F.map_keys(dims))) == 0,
+            "score_range": every(lambda d: F.coalesce(d["score"].between(0, 4), F.lit(False))),
+            "evidence_status": every(lambda d: F.coalesce(d["evidence_status"].isin(*fixed.EVIDENCE_STATUSES), F.lit(False))),
+            "confidence": every(lambda d: F.coalesce(d["confidence"].isin(*fixed.CONFIDENCES), F.lit(False))),
+            "evidence_count": every(lambda d: F.coalesce(F.size(d["evidence"]) <= fixed.MAX_EVIDENCE, F.lit(False))),
+            "evidence_shape": every(
+                lambda d: F.forall(d["evidence"], lambda e: e["quote"].isNotNull() & e["primary"].isNotNull())
+            ),
+            "rationale": every(lambda d: d["rationale"].isNotNull()),
+            "qualifiers": F.forall(
+                F.array(*[F.lit(q) for q in fixed.QUALIFIERS]),
+                lambda q: F.coalesce(F.element_at(run["d7_qualifiers"], q)["value"].isNotNull(), F.lit(False)),
+            ),
+            "role_index": F.forall(run["role_types"], lambda t: F.coalesce(t["role_index"] >= 1, F.lit(False))),
+            "role_type": F.forall(run["role_types"], lambda t: F.coalesce(t["type"].isin(*fixed.ROLE_TYPES), F.lit(False))),
+        }
 
-    rules = {
-        "parsed": F.col("run").isNotNull() & dims.isNotNull(),
-        "all_dimensions": F.size(F.array_except(F.array(*[F.lit(d) for d in fixed.SCORED_DIMS]), F.map_keys(dims))) == 0,
-        "score_range": every(lambda d: F.coalesce(d["score"].between(0, 4), F.lit(False))),
-        "evidence_status": every(lambda d: F.coalesce(d["evidence_status"].isin(*fixed.EVIDENCE_STATUSES), F.lit(False))),
-        "confidence": every(lambda d: F.coalesce(d["confidence"].isin(*fixed.CONFIDENCES), F.lit(False))),
-        "evidence_count": every(lambda d: F.coalesce(F.size(d["evidence"]) <= fixed.MAX_EVIDENCE, F.lit(False))),
-        "evidence_shape": every(
-            lambda d: F.forall(d["evidence"], lambda e: e["quote"].isNotNull() & e["primary"].isNotNull())
-        ),
-        "rationale": every(lambda d: d["rationale"].isNotNull()),
-        "qualifiers": F.forall(
-            F.array(*[F.lit(q) for q in fixed.QUALIFIERS]),
-            lambda q: F.coalesce(F.element_at("run.d7_qualifiers", q)["value"].isNotNull(), F.lit(False)),
-        ),
-        "role_index": F.forall("run.role_types", lambda t: F.coalesce(t["role_index"] >= 1, F.lit(False))),
-        "role_type": F.forall("run.role_types", lambda t: F.coalesce(t["type"].isin(*fixed.ROLE_TYPES), F.lit(False))),
-    }
-    return runs.withColumn("problems", named(rules))
+    # The run is parsed once, however many rules read it.
+    return runs.withColumn("problems", bind(F.col("run"), lambda run: named(rules(run))))
 
 
 def invalid_documents(runs: DataFrame) -> DataFrame:

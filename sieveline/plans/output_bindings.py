@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline import fixed
 from sieveline.operators import validity
+from sieveline.operators.skew import spread
 from sieveline.plans.bindings import query, table, text_table
 from sieveline.session import materialise
 from sieveline.sources import model_outputs
@@ -19,7 +20,7 @@ _MISSING_SQL = "(l_linenumber = 7)"
 
 def scoring_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, run_ix, payload): a run as its model would write it, some cut short, some lacking parts."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
     score = F.when(F.col("l_partkey") % 11 == 0, 7).otherwise(F.floor((F.col("l_quantity") - 1) / 10).cast("int"))
     quote = lambda i: F.struct(F.concat(F.lit("quote "), i.cast("string")).alias("quote"), (i == 1).alias("primary"))
     n = (F.col("l_suppkey") % 5).cast("int")
