@@ -222,3 +222,25 @@ def test_pronoun_rules_come_one_after_the_other(spark):
     marked = redact._mark_pronouns(redact._mark_honorifics(F.col("text")))
     got = {r.text: r.out for r in df.select("text", redact.unmark(marked).alias("out")).collect()}
     assert {k: " ".join(v.split()) for k, v in got.items()} == {k: " ".join(v.split()) for k, v in cases.items()}
+
+
+def test_a_filter_never_denies_a_key(spark):
+    from sieveline.operators.filters import key_filter
+
+    keys = spark.range(5_000).selectExpr("cast(id * 7 as string) AS k")
+    some, every = key_filter(keys, "k"), key_filter(keys, "k", most=10)
+    asked = spark.range(70_000).selectExpr("cast(id as string) AS k", "id % 7 = 0 AND id < 35000 AS known")
+    counts = asked.select("known", some(F.col("k")).alias("some"), every(F.col("k")).alias("every")).groupBy("known").agg(F.count_if("some").alias("some"), F.count_if("every").alias("every")).collect()
+    found = {r.known: r for r in counts}
+    assert found[True].some == 5_000 and found[False].some < 0.05 * 65_000 and found[False].every == 65_000
+    none = key_filter(spark.createDataFrame([], "k string"), "k")
+    assert asked.filter(none(F.col("k"))).count() == 0
+
+
+def test_terms_found_by_their_longest_word(spark):
+    texts = ["Old Delhi NCR, st. xavier's  College", "ncr and iit", "IIT-Madras", "Mumbaikar", "", "navi\nmumbai"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("h", redact.comparable(F.col("t")))
+    listed = ["Delhi NCR", "NCR", "Delhi", "St. Xavier's College", "IIT", "Navi Mumbai", "Mumbai"]
+    pairs = redact.listed_pairs(listed, redact.text_words(F.col("h")))
+    found = {r.i: r.p for r in df.select("i", redact.present_terms(pairs, F.col("h")).alias("p")).collect()}
+    assert found == {0: ["St. Xavier's College", "Delhi NCR", "Delhi", "NCR"], 1: ["NCR", "IIT"], 2: ["IIT"], 3: [], 4: [], 5: ["Navi Mumbai", "Mumbai"]}
