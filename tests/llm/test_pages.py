@@ -308,9 +308,9 @@ def test_agrees_with_sql(spark, name):
     assert oracle.difference(spark, oracle.connect(SF), name, registry.QUERIES[name], registry.SQL[name], SF) is None
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_thirteen_operators_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
