@@ -2,14 +2,17 @@
 
 P(text) is the product over its words, and one end, of P(class | class before) * P(word | class).
 
-* The ``CLUSTERED`` commonest words of the training texts are put into ``CLASSES`` classes by exchange: in
-  turn each word moves to the class with which the training texts are likeliest, until few move. What that
-  takes is the counts of neighbouring units (a bounded matrix, summed up by Spark over all training texts).
-  All other words are in a class of their shape: last byte's kind by length.
+* Clustered is every word that makes up at least ``SHARE`` of all training tokens and stands ``LEAST`` times,
+  so there are at most 1 / ``SHARE`` of them at any size. Exchange puts them into classes: each word moves to
+  the class with which the training texts are likeliest. It starts from the ``SEEDS`` commonest words, which move
+  one after the other among ``CLASSES`` classes until few do; then, in ``ROUNDS`` rounds, all clustered words
+  move at once by the classes that stand before and after them, counted by Spark over all training texts.
+  Of these states the likeliest is kept. All other words are in a class of their shape: last byte's kind by
+  length. Clustered words begin in those classes, and stay there if nothing is likelier.
 * Class transitions are additive-smoothed towards the class's frequency, words in a class by adding one, with
   one more place for all unknown words in each shape class: probabilities add up to one.
-* Word counts are over all training texts, by 64-bit hash. The ``LISTED`` commonest words' counts go to every
-  task; all other words of all texts meet their counts in a join.
+* Word counts are over all training texts, by 64-bit hash. The counts of clustered words go to every task; all
+  other words of all texts meet their counts in a join.
 
 A null text is an empty text: one end. Without training texts every count is zero.
 """
@@ -27,10 +30,13 @@ from pyspark.sql import functions as F
 from sieveline.llm import words as W
 from sieveline.session import materialise
 
-CLUSTERED = 1024
+#: Least part of the training tokens, and least count, of a word that is clustered.
+SHARE = 2.0**-21
+LEAST = 4
+SEEDS = 1024
 CLASSES = 64
-LISTED = 1 << 17
 PASSES = 12
+ROUNDS = 2
 LENGTHS = (4, 7)
 #: The end of a text, as a word.
 END = np.uint64(0x656E64)
@@ -126,6 +132,114 @@ def unit_pairs(texts: DataFrame, clustered: np.ndarray) -> np.ndarray:
     return out.reshape(n, n)
 
 
+def contexts(texts: DataFrame, clustered: np.ndarray, own: np.ndarray, of_words: bool = True) -> DataFrame:
+    """Which classes stand beside each clustered word, if asked ``of_words``, and class: w, and cells of c and n.
+
+    ``own`` is the class of each unit, the edge's last. w is a unit, or their number and the class; c is the class
+    before it, or, that of the edge and one more added, the class after it. A class has only those after it.
+    """
+    words, total = len(clustered), int(own[-1]) + 1
+    shared = texts.sparkSession.sparkContext.broadcast((clustered, own))
+
+    def work(batches):
+        clustered, own = shared.value
+        joint = np.zeros(total * total, dtype=np.int64)
+        held, rows = [], 0
+
+        def merged():
+            cell, n = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(cell, kind="stable")
+            cell, n = cell[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            return cell[at], np.add.reduceat(n, at)
+
+        for _, a, b, (h, first, last, length) in slices_of(batches):
+            row, begin = with_ends(units(h, shapes(last, length), clustered), first, len(own) - 1)
+            before = np.empty_like(row)
+            before[1:] = row[:-1]
+            before[begin[:-1]] = len(own) - 1
+            joint += np.bincount(own[before] * total + own[row], minlength=total * total)
+            if not of_words:
+                continue
+            left, right = row < words, before < words
+            cells = np.concatenate([row[left] * (2 * total) + own[before[left]], before[right] * (2 * total) + total + own[row[right]]])
+            if len(cells):
+                held.append(np.unique(cells, return_counts=True))
+                rows += len(held[-1][0])
+            if rows > _HELD_ROWS:
+                held = [merged()]
+                rows = len(held[0][0])
+                if rows > _HELD_ROWS // 2:
+                    yield from out(*held.pop())
+                    rows = 0
+        some = np.flatnonzero(joint)
+        yield from out((words + some // total) * (2 * total) + total + some % total, joint[some])
+        if held:
+            yield from out(*merged())
+
+    def out(cell, n, step=1 << 17):
+        for a in range(0, len(cell), step):
+            w, c = np.divmod(cell[a : a + step], 2 * total)
+            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(n[a : a + step].astype(np.int64))], names=["w", "c", "n"])
+
+    # Dealt by word alone, so that adding up and gathering a word's cells, of which it has few, take one shuffle.
+    cells = texts.mapInArrow(work, "w int, c int, n long").repartition("w").groupBy("w", "c").agg(F.sum("n").alias("n"))
+    return cells.groupBy("w").agg(F.collect_list(F.struct("c", "n")).alias("cells"))
+
+
+def dense(batch, columns: int) -> np.ndarray:
+    """One row of counts for each row of ``contexts``."""
+    lists = batch.column(batch.schema.get_field_index("cells"))
+    values = lists.flatten()
+    out = np.zeros((len(lists), columns))
+    at = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    out[at, values.field("c").to_numpy()] = values.field("n").to_numpy()
+    return out
+
+
+def joint_of(found: DataFrame, words: int, total: int) -> np.ndarray:
+    """How often each class follows each, from ``contexts``."""
+    out = np.zeros((total, total))
+    for batch in found.filter(F.col("w") >= words).toArrow().to_batches():
+        out[batch.column(0).to_numpy() - words] = dense(batch, 2 * total)[:, total:]
+    return out
+
+
+def likeliest(found: DataFrame, own: np.ndarray, words: int, joint: np.ndarray) -> np.ndarray:
+    """The class of each unit when every clustered word moves to that under which what stands beside it is likeliest.
+
+    That is the exchange criterion to first order: each word by itself is a small part of its class.
+    """
+    total = len(joint)
+    steps = np.log(10) * transitions(joint)
+    size = np.log(joint.sum(axis=0) + 1)
+    # By class before (to k, a word of k) and by class after (from k).
+    gain = np.concatenate([steps - size[None, :], steps.T])[:, : total - 1]
+
+    def work(batches):
+        for batch in batches:
+            if batch.num_rows:
+                best = np.argmax(dense(batch, 2 * total) @ gain, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32))], names=["w", "k"])
+
+    moved = found.filter(F.col("w") < words).mapInArrow(work, "w int, k int").toArrow()
+    out = own.copy()
+    out[moved["w"].to_numpy()] = moved["k"].to_numpy()
+    return out
+
+
+def transitions(joint: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before), smoothed towards the class's frequency."""
+    total = len(joint)
+    weight = (joint.sum(axis=0) + 1) / (joint.sum() + total)
+    return np.log10((joint + total * weight[None, :]) / (joint.sum(axis=1, keepdims=True) + total))
+
+
+def likelihood(joint: np.ndarray) -> float:
+    """What the exchange makes greater: that of the training texts, but for what no class changes."""
+    return float(_xlogx(joint).sum() - _xlogx(joint.sum(axis=0)).sum() - _xlogx(joint.sum(axis=1)).sum())
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -194,34 +308,35 @@ def _joint(own: np.ndarray, right: np.ndarray, total: int) -> np.ndarray:
 @dataclass
 class Model:
     clustered: np.ndarray  # hashes of the clustered words, sorted
+    often: np.ndarray  # their counts
     own: np.ndarray  # the class of each unit
     steps: np.ndarray  # log10 P(class | class before)
     sizes: np.ndarray  # log10 of what a word's count, and one, is divided by in its unit's class
-    listed: np.ndarray  # hashes of the commonest words, sorted
-    often: np.ndarray  # their counts
+    ends: int
     tokens: int
     types: int
 
     def parts(self, h, first, last, length) -> dict[str, np.ndarray]:
-        """Of each text: tokens, known ones and log10(count + 1) of the listed, transitions and class sizes; and
-        the words that aren't listed, by text."""
-        shape = shapes(last, length)
+        """Of each text: tokens, known ones and log10(count + 1) of the clustered and the end, transitions and class
+        sizes; and the words that aren't clustered, by text."""
         end = len(self.own) - 1
-        row, begin = with_ends(units(h, shape, self.clustered), first, end)
+        row, begin = with_ends(units(h, shapes(last, length), self.clustered), first, end)
         classes = self.own[row]
         before = np.empty_like(classes)
         before[1:] = classes[:-1]
         before[begin[:-1]] = self.own[end]
         words, _ = with_ends(h, first, END)
-        at = np.minimum(np.searchsorted(self.listed, words), max(len(self.listed) - 1, 0))
-        known = self.listed[at] == words if len(self.listed) else np.zeros(len(words), dtype=bool)
-        logs = np.where(known, np.log10(np.where(known, self.often[at] if len(self.often) else 0, 0) + 1.0), 0.0)
+        n = np.zeros(len(row))
+        listed = row < len(self.clustered)
+        n[listed] = self.often[row[listed]]
+        n[row == end] = self.ends
+        rare = ~listed & (row != end)
         text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
         starts = begin[:-1]
         return {
-            "n_tokens": np.diff(begin), "n_listed": np.add.reduceat(known.astype(np.int64), starts), "logs": np.add.reduceat(logs, starts),
+            "n_tokens": np.diff(begin), "n_listed": np.add.reduceat((n > 0).astype(np.int64), starts), "logs": np.add.reduceat(np.log10(n + 1.0), starts),
             "steps": np.add.reduceat(self.steps[before, classes], starts), "sizes": np.add.reduceat(self.sizes[row], starts),
-            "rare": words[~known], "rare_text": text[~known],
+            "rare": words[rare], "rare_text": text[rare],
         }
 
 
@@ -233,38 +348,44 @@ def train(texts: DataFrame, counts: DataFrame) -> Model:
     """``texts``: one column, the training texts; ``counts``: their word_counts."""
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = int(sums.n or 0), int(sums.v)
-    listed = counts.orderBy(F.col("n").desc(), "h").limit(LISTED).select("h", "n", "shape").toArrow()
+    floor = max(LEAST, math.ceil(tokens * SHARE))
+    listed = counts.filter((F.col("n") >= floor) & (F.col("shape") >= 0)).select("h", "n", "shape").toArrow()
     h, n, shape = (listed[c].to_numpy() for c in ("h", "n", "shape"))
-    h = h.view(np.uint64) if len(h) else np.zeros(0, np.uint64)
-    common = np.flatnonzero(shape >= 0)[:CLUSTERED]
-    by_hash = np.argsort(h[common])
-    clustered, clustered_n = h[common][by_hash], n[common][by_hash]
-    pairs = unit_pairs(texts, clustered)
-    # Exchange goes through the words commonest first; units keep the order of their hashes.
+    by_hash = np.argsort(h.view(np.uint64))
+    clustered, n, shape = h.view(np.uint64)[by_hash], n[by_hash], shape[by_hash]
     words = len(clustered)
-    order = np.concatenate([np.argsort(-clustered_n, kind="stable"), np.arange(words, len(pairs))])
-    own = np.empty(len(pairs), dtype=np.int64)
-    own[order] = exchange(pairs[np.ix_(order, order)], words)
-    total = int(own.max()) + 1
-    member = np.zeros((len(pairs), total))
-    member[np.arange(len(pairs)), own] = 1
-    joint = member.T @ pairs @ member
-    weight = (joint.sum(axis=0) + 1) / (joint.sum() + total)
-    steps = np.log10((joint + total * weight[None, :]) / (joint.sum(axis=1, keepdims=True) + total))
+    # Exchange goes through the seeds commonest first; units keep the order of their hashes.
+    first = np.sort(np.lexsort((clustered, -n))[:SEEDS])
+    pairs = unit_pairs(texts, clustered[first])
+    order = np.concatenate([np.argsort(-n[first], kind="stable"), np.arange(len(first), len(pairs))])
+    seeded = np.empty(len(pairs), dtype=np.int64)
+    seeded[order] = exchange(pairs[np.ix_(order, order)], len(first))
+    own = np.concatenate([seeded[len(first) + shape], seeded[len(first) :]])
+    own[first] = seeded[: len(first)]
+    total = int(own[-1]) + 1
+    best = None
+    for k in range(ROUNDS + 1):
+        found = materialise(contexts(texts, clustered, own, of_words=k < ROUNDS))
+        joint = joint_of(found, words, total)
+        if best is None or likelihood(joint) > best[0]:
+            best = likelihood(joint), own, joint
+        if k < ROUNDS:
+            own = likeliest(found, own, words, joint)
+    _, own, joint = best
     # Words and counts of each class: clustered words, and by shape all that aren't clustered.
     inside = {int(r["shape"]): (int(r["n"]), int(r["v"])) for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     shape_n, shape_v = np.zeros(SHAPES), np.zeros(SHAPES)
     for k, (a, b) in inside.items():
         if k >= 0:
             shape_n[k], shape_v[k] = a, b
-    np.subtract.at(shape_n, shape[common], n[common])
-    np.subtract.at(shape_v, shape[common], 1)
+    np.subtract.at(shape_n, shape, n)
+    np.subtract.at(shape_v, shape, 1)
     class_size = np.zeros(total)
-    np.add.at(class_size, own[:words], clustered_n + 1)
-    class_size[own[words : words + SHAPES]] = shape_n + shape_v + 1
-    class_size[own[-1]] = inside.get(-1, (0, 0))[0] + 1
-    by_listed = np.argsort(h)
-    return Model(clustered, own, steps, np.log10(np.maximum(class_size, 1))[own], h[by_listed], n[by_listed], tokens, types)
+    np.add.at(class_size, own[:words], n + 1)
+    class_size[own[words : words + SHAPES]] += shape_n + shape_v + 1
+    ends = inside.get(-1, (0, 0))[0]
+    class_size[own[-1]] = ends + 1
+    return Model(clustered, n, own, transitions(joint), np.log10(np.maximum(class_size, 1))[own], ends, tokens, types)
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

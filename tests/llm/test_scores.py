@@ -147,6 +147,56 @@ def test_exchange_finds_word_classes_and_never_loses(spark):
             assert likelihood(np.where(np.arange(40) == w, k, own)) <= after + 1e-6
 
 
+def test_contexts_are_those_of_the_texts(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices("a b c d e, 5 f".split(), k=rng.randrange(0, 9))) for _ in range(50)] + [None, "a " * 900]
+    import pyarrow as pa
+
+    from sieveline.llm import words as W
+
+    def hashed(t):
+        return W.shaped_words(*W.buffers(pa.array([t], pa.string())))
+
+    clustered = np.sort(hashed("a b c")[0])
+    own = np.array([0, 1, 0, *range(2, 3 + class_lm.SHAPES)])
+    total = int(own[-1]) + 1
+    wanted = collections.Counter()
+    for t in texts:
+        h, _, last, length = hashed(t)
+        row = [len(own) - 1, *class_lm.units(h, class_lm.shapes(last, length), clustered), len(own) - 1]
+        for p, q in zip(row, row[1:]):
+            wanted[3 + own[p], total + own[q]] += 1
+            if q < 3:
+                wanted[q, own[p]] += 1
+            if p < 3:
+                wanted[p, total + own[q]] += 1
+    found = class_lm.contexts(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), clustered, own)
+    assert {(r.w, c.c): c.n for r in found.collect() for c in r.cells} == wanted
+    joint = class_lm.joint_of(found, 3, total)
+    assert all(joint[w - 3, c - total] == n for (w, c), n in wanted.items() if w >= 3)
+    assert joint.sum() == sum(n for (w, _), n in wanted.items() if w >= 3)
+
+
+def test_words_beyond_the_seeds_join_the_class_of_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "SEEDS", 8)
+    rng = random.Random(5)
+    a, b = ([f"{x}{k}{x}" for k in range(60)] for x in "ab")  # all of one shape
+    weights = [30] * 4 + [1] * 56
+    texts = [(" ".join(w for _ in range(20) for w in (rng.choices(a, weights)[0], rng.choices(b, weights)[0])),) for _ in range(400)]
+    frame = spark.createDataFrame(texts, "t string")
+    model = class_lm.train(frame, class_lm.word_counts(frame))
+    assert len(model.clustered) == 120
+    by_word = {}
+    import pyarrow as pa
+
+    from sieveline.llm import words as W
+
+    for w in a + b:
+        h, _, last, length = W.shaped_words(*W.buffers(pa.array([w])))
+        by_word[w] = int(model.own[class_lm.units(h, class_lm.shapes(last, length), model.clustered)[0]])
+    assert not {by_word[w] for w in a} & {by_word[w] for w in b}
+
+
 def test_the_model_beats_word_frequency_where_order_matters(spark):
     rng = random.Random(3)
     a, b = [f"a{k}" for k in range(20)], [f"b{k}" for k in range(20)]
