@@ -18,14 +18,17 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from sieveline.llm import words as W
@@ -34,13 +37,13 @@ from sieveline.session import materialise
 
 #: Labelled rows of each class that are read at most.
 SAMPLE = 50_000
-#: Word beginnings that are looked at closely at most: those with the most toxic texts.
-CANDIDATES = 3_000
 LENGTHS = range(3, 13)
 LEAST_TEXTS = 3
 LEAST_ODDS = 2.5
 #: Least log likelihood ratio of a term, so that none of a million meets it by chance.
 EVIDENCE = 12.0
+#: A term that so large a part of toxic texts and so small a part of clean ones have is taken in any case.
+MANY_TOXIC, FEW_CLEAN = 0.02, 0.001
 BINS = 48
 
 # Phrases in which a lexicon word is harmless.
@@ -112,7 +115,10 @@ class Lexicon:
         for end, (length, weight) in self.automaton.iter(folded):
             (spans if weight is None else found).append((end - length + 1, end + 1, weight))
         if spans:
-            found = [h for h in found if not any(a <= h[0] and h[1] <= b for a, b, _ in spans)]
+            # The furthest end of the phrases that begin no later than a hit tells whether one covers it.
+            spans.sort()
+            begins, ends = [a for a, *_ in spans], list(accumulate((b for _, b, _ in spans), max))
+            found = [h for h in found if not (k := bisect_right(begins, h[0])) or ends[k - 1] < h[1]]
         return found
 
 
@@ -164,8 +170,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return marked.withColumn("h", F.xxhash64("_text")).groupBy("key", "_toxic").agg(F.min_by("_text", "h").alias("_text")).select("_text", "_toxic")
 
 
-def candidate_terms(rows: DataFrame, least: int, limit: int) -> list[str]:
-    """Word beginnings that at least so many toxic texts have, those of most texts first."""
+def candidate_terms(rows: DataFrame, least: int) -> list[Row]:
+    """Word beginnings that at least so many toxic texts have and that could be taken, those of most texts first.
+
+    Those left out have too little evidence even while no text is explained: more texts explained never add any.
+    """
 
     def work(batches):
         for batch in batches:
@@ -179,9 +188,11 @@ def candidate_terms(rows: DataFrame, least: int, limit: int) -> list[str]:
     clean = rows.filter("_toxic = 0").select("_text").mapInArrow(work, "term string, n long").groupBy("term").agg(F.sum("n").alias("m"))
     sizes = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, others = sizes.get(1, 0), sizes.get(0, 0)
-    odds = F.log((F.col("n") + 0.5) / (toxic + 1)) - F.log((F.coalesce("m", F.lit(0)) + 0.5) / (others + 1))
-    kept = counted.filter(F.col("n") >= least).join(clean, "term", "left").withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
-    return kept.orderBy(F.col("n").desc(), F.length("term").desc(), "term").select("term", "n", "m", "odds").limit(limit).collect()
+    odds = F.log((F.col("n") + 0.5) / (toxic + 1)) - F.log((F.col("m") + 0.5) / (others + 1))
+    kept = counted.filter(F.col("n") >= least).join(clean, "term", "left").na.fill(0, ["m"]).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
+    sure = F.col("n") * math.log((toxic + others) / max(toxic, 1)) - 2 * F.col("m") >= EVIDENCE
+    telling = (F.col("n") >= MANY_TOXIC * toxic) & (F.col("m") <= FEW_CLEAN * others)
+    return kept.filter(sure | telling).orderBy(F.col("n").desc(), F.length("term").desc(), "term").select("term", "n", "m", "odds").collect()
 
 
 def learn_lexicon(rows: DataFrame, sample: int = SAMPLE) -> Lexicon:
@@ -189,8 +200,8 @@ def learn_lexicon(rows: DataFrame, sample: int = SAMPLE) -> Lexicon:
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Lexicon({}, PHRASES)
-    found = candidate_terms(rows, max(LEAST_TEXTS, math.ceil(toxic / 1000)), CANDIDATES)
-    terms = [(r["term"], r["n"], r["m"] or 0, r["odds"]) for r in found]
+    found = candidate_terms(rows, max(LEAST_TEXTS, math.ceil(toxic / 1000)))
+    terms = [(r["term"], r["n"], r["m"], r["odds"]) for r in found]
     # Of beginnings of one another with nearly the same texts the longest stands for all.
     support = {t: n for t, n, *_ in terms}
     longer = {t[:-1]: max(n, 0) for t, n, *_ in sorted(terms, key=lambda x: x[1])}
@@ -202,33 +213,38 @@ def learn_lexicon(rows: DataFrame, sample: int = SAMPLE) -> Lexicon:
             own = [sorted(index[t] for t in beginnings(fold(text)) & index.keys()) for text in texts_of(batch, "_text")]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32()))], names=["own"])
 
-    texts = rows.filter("_toxic = 1").select("_text").mapInArrow(incidence, "own array<int>").collect()
-    has = np.zeros((len(terms), len(texts)), dtype=bool)
-    for k, row in enumerate(texts):
-        has[list(row["own"]), k] = True
+    own = rows.filter("_toxic = 1").select("_text").mapInArrow(incidence, "own array<int>").toArrow()["own"].combine_chunks()
+    of_text, lengths = own.flatten().to_numpy(), pc.list_value_length(own).to_numpy()
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    by_term = np.argsort(of_text, kind="stable")
+    text_of = np.repeat(np.arange(len(lengths)), lengths)[by_term]
+    term_begin = np.searchsorted(of_text[by_term], np.arange(len(terms) + 1))
     weights: dict[str, float] = {}
-    open_texts = np.ones(len(texts), dtype=bool)
+    open_texts = np.ones(len(lengths), dtype=bool)
     base = math.log((toxic + clean) / toxic)
     m = np.array([x[2] for x in terms], dtype=float)
+    n = np.bincount(of_text, minlength=len(terms))
     while len(terms) and open_texts.any():
-        n = has[:, open_texts].sum(axis=1)
         # Evidence that the texts not yet explained lie so one-sidedly by more than chance.
         sure = np.where(n > 0, n * base - 2.0 * m, 0.0)
         best = int(np.argmax(sure))
         if n[best] < LEAST_TEXTS or sure[best] < EVIDENCE:
             break
         weights[terms[best][0]] = float(terms[best][3])
-        open_texts &= ~has[best]
+        explained = text_of[term_begin[best] : term_begin[best + 1]]
+        explained = explained[open_texts[explained]]
+        open_texts[explained] = False
+        n = n - np.bincount(np.concatenate([of_text[begin[t] : begin[t + 1]] for t in explained]), minlength=len(terms))
     # Terms of many toxic texts and hardly any clean ones, though others explain those texts.
     for term, n, clean_n, odds in terms:
-        if n >= max(LEAST_TEXTS, 0.02 * toxic) and clean_n <= 0.001 * clean and not any(term.startswith(t) for t in weights):
+        if n >= max(LEAST_TEXTS, MANY_TOXIC * toxic) and clean_n <= FEW_CLEAN * clean and not any(term.startswith(t) for t in weights):
             weights[term] = float(odds)
     weights = {t: w for t, w in weights.items() if not any(t != s and t.startswith(s) for s in weights)}
     return Lexicon(weights, PHRASES + harmless_phrases(rows, Lexicon(weights, PHRASES)))
 
 
 def harmless_phrases(rows: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
-    """Two-word phrases around hits that clean texts have, and toxic ones hardly: at most 1,000, the commonest."""
+    """Two-word phrases around hits that at least five clean texts have, and toxic ones hardly, the commonest first."""
 
     def work(batches):
         for batch in batches:
@@ -247,7 +263,7 @@ def harmless_phrases(rows: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
     counted = rows.select("_text", "_toxic").mapInArrow(work, "phrase string, toxic int, n long").groupBy("phrase").agg(
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad")
     )
-    found = counted.filter(F.col("clean") >= F.greatest(F.lit(5), 5 * F.col("bad"))).orderBy(F.col("clean").desc(), "phrase").limit(1000).collect()
+    found = counted.filter(F.col("clean") >= F.greatest(F.lit(5), 5 * F.col("bad"))).orderBy(F.col("clean").desc(), "phrase").collect()
     return tuple(r["phrase"] for r in found)
 
 

@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -87,6 +88,33 @@ def test_no_labels_and_no_rows(spark, labelled):
 # ---- language model ----
 
 
+def test_terms_and_phrases_have_no_cap(spark):
+    from sieveline.llm.toxicity import Lexicon, candidate_terms, harmless_phrases
+
+    def word(k):
+        return "".join(chr(97 + k // 22**i % 22) for i in range(4))[::-1].translate(str.maketrans("lij", "wxz")) + "q"
+
+    terms = [word(k) for k in range(3_400)]
+    rows = [(" ".join(terms[j] for j in range(k % 4, 3_400, 4)), 1) for k in range(60)] + [("calm text", 0)] * 60
+    frame = spark.createDataFrame(rows, "_text string, _toxic int")
+    assert set(terms) <= {r.term for r in candidate_terms(frame, 3)} and len(set(terms)) == 3_400
+    clean = [(" ".join(f"badterm {w} x" for w in terms[:1_200]), 0)] * 5 + [(f"badterm {terms[0]}", 1)] * 2
+    found = harmless_phrases(spark.createDataFrame(clean, "_text string, _toxic int"), Lexicon({"badterm": 1.0}))
+    assert {f"badterm {w}" for w in terms[1:1_200]} <= set(found) and f"badterm {terms[0]}" not in found
+
+
+def test_phrases_cover_hits_as_by_brute_force():
+    rng = random.Random(8)
+    parts = ["foul", "foul play", "play", "play fair", "fair", "fair foul play", "ab"]
+    for _ in range(200):
+        lexicon = toxicity.Lexicon({t: 1.0 for t in rng.sample(["foui", "piay", "fair", "fa"], 3)}, tuple(rng.sample([p for p in parts if " " in p], 2)))
+        folded = toxicity.fold(" ".join(rng.choices(parts, k=9)))
+        spans = [(m.end(), m.end() + len(p) + 1) for p in (toxicity.fold(p).strip() for p in lexicon.phrases) for m in re.finditer(f" (?={re.escape(p)} )", folded)]
+        hits = [(m.end(), m.end() + len(t)) for t in lexicon.weights for m in re.finditer(f" (?={t})", folded)]
+        wanted = sorted(h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spans))
+        assert sorted((a, b) for a, b, _ in lexicon.hits(folded)) == wanted
+
+
 def test_scores_add_up_and_base_is_as_stated(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("The cat, sat; on. a MAT 42 é%d".split()) for _ in range(rng.randrange(0, 40))), "s") for i in range(120)]
