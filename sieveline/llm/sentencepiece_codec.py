@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import ahocorasick
 import numpy as np
@@ -168,10 +168,12 @@ class Stream:
 
 
 class Encoder:
-    """Encodes texts, remembering stretches."""
+    """Encodes texts, remembering stretches, and pairs of pieces, as long as it lives."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+        # The vocabulary outlives the task in its worker; what one task remembers must not.
+        vocabulary.automaton
+        self.v = replace(vocabulary, _pairs={})
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 

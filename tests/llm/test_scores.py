@@ -332,6 +332,13 @@ def test_the_stream_commits_early_and_holds_a_window():
     assert [*whole.feed("▁" + text.replace(" ", "▁")), *whole.close()] == sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL).encode(text)
 
 
+def test_what_a_task_remembers_goes_with_it():
+    v = sentencepiece_codec.Vocabulary.read()
+    one, two = sentencepiece_codec.Encoder(v), sentencepiece_codec.Encoder(v)
+    assert one.encode("thinking about it") and one.v._pairs and not v._pairs and not two.v._pairs
+    assert one.v.automaton is two.v.automaton is v.automaton
+
+
 def test_codec_of_nothing(spark):
     empty = docs_of(spark, [])
     assert sentencepiece_codec.coded(empty).count() == 0
