@@ -9,7 +9,10 @@ from sieveline import fixed
 from sieveline.functions.hashing import keyed_hash
 from sieveline.functions.patterns import matches
 from sieveline.functions.text import js_trim
-from sieveline.operators.skew import join_per_key
+from sieveline.operators.skew import join_per_key, positions
+from sieveline.session import materialise
+
+PAGE_ROWS = 200
 
 
 def first_email(emails: Column) -> Column:
@@ -76,6 +79,41 @@ def linked_with(links: DataFrame, asked: DataFrame, id_col: str = "candidate_id"
     return wanted.join(others, ["pool_id", "link_head"]).filter(F.col(id_col) != F.col("linked_id")).select(id_col, "linked_id")
 
 
+def link_pages(links: DataFrame, page_rows: int = PAGE_ROWS, id_col: str = "candidate_id") -> DataFrame:
+    """The members of every group of two or more in order of id, cut into pages: one row per page.
+
+    Gives (pool_id, link_head, page from 0, n_pages, members). A page holds at most ``page_rows`` ids and a group is
+    ranked in slices, so no task meets a whole group. Repeated rows of an id are members of their own, as ``n_linked``
+    counts them (``n_pages`` follows it). Rows without an id or a pool are on no page. ``links`` is read several times: hand in a written table.
+    """
+    members = links.filter((F.col("n_linked") > 0) & F.col("pool_id").isNotNull() & F.col(id_col).isNotNull())
+    placed = positions(members.select(id_col, "pool_id", "link_head", "n_linked"), ["pool_id", "link_head"], [F.col(id_col)])
+    return (
+        placed.groupBy("pool_id", "link_head", F.floor((F.col("position") - 1) / page_rows).alias("page"))
+        .agg(F.max("n_linked").alias("n_linked"), F.array_sort(F.collect_list(id_col)).alias("members"))
+        .select("pool_id", "link_head", "page", (F.floor(F.col("n_linked") / page_rows) + 1).alias("n_pages"), "members")
+    )
+
+
+def linked_on_page(links: DataFrame, pages: DataFrame, asked: DataFrame, id_col: str = "candidate_id") -> DataFrame:
+    """(asked id, page, n_pages, linked id) for the (id, page) rows of ``asked``: one page each, never the group.
+
+    The rows out are at most ``page_rows`` per row asked. Who asks is counted per page before pages are joined, and the
+    pages most asked for go to where the rows are, so a page that a third of all rows ask for is no hot key. Pages
+    below 0 or behind the last, unknown ids and ids linked with nothing give no row; a question asked twice counts once.
+    """
+    keys = ["pool_id", "link_head", "page"]
+    questions = asked.select(id_col, F.col("page").cast("bigint").alias("page")).distinct()
+    mine = links.filter(F.col("n_linked") > 0).select(id_col, "pool_id", "link_head").distinct()
+    wanted = materialise(mine.join(questions, id_col))
+    opened = materialise(wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_asked")).join(pages, keys))
+    return (
+        join_per_key(wanted, opened, keys, size_col="n_asked")
+        .select(id_col, "page", "n_pages", F.explode("members").alias("linked_id"))
+        .filter(F.col(id_col) != F.col("linked_id"))
+    )
+
+
 def open_applications(links: DataFrame, asked: DataFrame, evaluations: DataFrame) -> DataFrame:
     """Linked applications of the same person that are still open."""
     pairs = linked_with(links, asked)

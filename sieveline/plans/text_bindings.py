@@ -246,6 +246,29 @@ def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("candidate_id").alias("doc_id"), "linked_id")
 
 
+PAGE = 50
+
+
+@query(
+    "linked_page",
+    f"""WITH m AS (SELECT doc_id, lang, source, (row_number() OVER w - 1) // {PAGE} AS page, (count(*) OVER (PARTITION BY lang, source) - 1) // {PAGE} AS last
+                  FROM documents WHERE lang IS NOT NULL WINDOW w AS (PARTITION BY lang, source ORDER BY doc_id)),
+      asked AS (SELECT DISTINCT doc_id, lang, source, last, unnest([0, last]) AS page FROM m SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 0) l USING (doc_id))
+      SELECT a.doc_id, a.page, a.last + 1 AS n_pages, b.doc_id AS linked_id
+      FROM asked a JOIN m b ON a.lang = b.lang AND a.source IS NOT DISTINCT FROM b.source AND a.page = b.page AND a.doc_id <> b.doc_id""",
+)
+def linked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the last page of the documents of one language and source, for each that is labelled poor."""
+    docs = text_table(spark, sf_dir, "documents", "doc_id", ["lang", "source"])
+    keyed = materialise(docs.select(F.col("doc_id").alias("candidate_id"), F.col("lang").alias("pool_id"), F.col("source").alias("record_key")))
+    links = materialise(identity.link_groups(keyed))
+    poor = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("candidate_id"))
+    last = F.floor(F.col("n_linked") / PAGE)
+    asked = links.join(poor, "candidate_id", "left_semi").select("candidate_id", F.explode(F.array(F.lit(0).cast("bigint"), last)).alias("page"))
+    found = identity.linked_on_page(links, identity.link_pages(links, PAGE), asked)
+    return found.withColumnRenamed("candidate_id", "doc_id")
+
+
 @query(
     "calibration_margin",
     f"""WITH m AS (SELECT doc_id, CAST({WORDS_SQL} AS DOUBLE) AS core FROM documents)

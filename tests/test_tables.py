@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sieveline import config as cfg
-from sieveline import fixed
+from sieveline import fixed, session
 from sieveline.operators import calibration, combine, decisions, experience, identity, outbox, rank, reports, retention, skew, validity
 from sieveline.sources import files, model_outputs, stages
 
@@ -86,6 +86,27 @@ def test_hot_keys(spark):
     assert ranked.join(plain.select("doc_id", "want"), "doc_id").filter("position <> want").count() == 0
 
 
+def test_pages_of_a_huge_group(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("candidate_id"), F.lit("p").alias("pool_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 9_000)).alias("record_key"))
+    odd = spark.createDataFrame([(-1, None, "hot"), (-2, "p", "alone"), (None, "p", "hot"), (-3, "p", "two"), (-4, "p", "two")], "candidate_id long, pool_id string, record_key string")
+    links = session.materialise(identity.link_groups(rows.unionByName(odd)))
+    pages = session.materialise(identity.link_pages(links, page_rows=64))
+    keyed = {}
+    for r in links.filter("n_linked > 0 AND pool_id IS NOT NULL AND candidate_id IS NOT NULL").collect():
+        keyed.setdefault(r.link_head, []).append(r.candidate_id)
+    found = {(r.link_head, r.page): r.members for r in pages.collect()}
+    assert found == {(head, at // 64): sorted(ids)[at:at + 64] for head, ids in keyed.items() for at in range(0, len(ids), 64)}
+    hot = keyed[0]
+    assert len(hot) == 10_000 and sorted(hot) == [i for p in range(157) for i in found[0, p]]
+    everyone = rows.select("candidate_id", F.lit(0).alias("page"))
+    assert identity.linked_on_page(links, pages, everyone.filter("candidate_id % 3 = 0")).count() == 10_000 * 64 - 64
+    asked = spark.createDataFrame([(3, 156), (3, 156), (3, 157), (3, -1), (-1, 0), (-2, 0), (-3, 0), (-9, 0), (None, 0), (3, None)], "candidate_id long, page int")
+    got = sorted(tuple(r) for r in identity.linked_on_page(links, pages, asked).collect())
+    assert got == [(-3, 0, 1, -4), *[(3, 156, 157, i) for i in sorted(hot)[156 * 64:]]]
+    none = links.limit(0)
+    assert identity.link_pages(none).count() == 0 and identity.linked_on_page(none, identity.link_pages(none), asked).count() == 0
+
+
 def plain_fold(rows):
     """Verdicts by keeping every decision with its fate, as a table of decisions would."""
     out, now = [], {}
