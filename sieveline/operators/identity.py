@@ -79,39 +79,83 @@ def linked_with(links: DataFrame, asked: DataFrame, id_col: str = "candidate_id"
     return wanted.join(others, ["pool_id", "link_head"]).filter(F.col(id_col) != F.col("linked_id")).select(id_col, "linked_id")
 
 
+def cut_pages(rows: DataFrame, groups: list[str], order: list[str], members: Column, page_rows: int) -> DataFrame:
+    """The rows of every group in order, cut into pages: (groups, page from 0, n_pages, members), one row per page.
+
+    A page holds at most ``page_rows`` rows and a group is ranked in slices, so no task meets a whole group. Rows that
+    are equal in ``order`` and ``members`` are kept as often as they come. ``groups`` and ``order`` are never null.
+    """
+    placed = positions(rows, groups, [F.col(c) for c in order])
+    member = F.struct(F.col("position"), members.alias("member"))
+    pages = materialise(
+        placed.groupBy(*groups, F.floor((F.col("position") - 1) / page_rows).alias("page"))
+        .agg(F.transform(F.array_sort(F.collect_list(member)), lambda m: m["member"]).alias("members"))
+    )
+    sizes = pages.groupBy(*groups).agg((F.max("page") + 1).alias("n_pages"))
+    return join_per_key(pages, sizes, groups, size_col="n_pages").select(*groups, "page", "n_pages", "members")
+
+
 def link_pages(links: DataFrame, page_rows: int = PAGE_ROWS, id_col: str = "candidate_id") -> DataFrame:
-    """The members of every group of two or more in order of id, cut into pages: one row per page.
+    """The members of every group of two or more in order of id, by page: see ``cut_pages``.
 
-    Gives (pool_id, link_head, page from 0, n_pages, members). A page holds at most ``page_rows`` ids and a group is
-    ranked in slices, so no task meets a whole group. Repeated rows of an id are members of their own, as ``n_linked``
-    counts them (``n_pages`` follows it). Rows without an id or a pool are on no page. ``links`` is read several times: hand in a written table.
+    Repeated rows of an id are members of their own, as ``n_linked`` counts them. Rows without an id or a pool are on
+    no page. ``links`` is read several times: hand in a written table.
     """
     members = links.filter((F.col("n_linked") > 0) & F.col("pool_id").isNotNull() & F.col(id_col).isNotNull())
-    placed = positions(members.select(id_col, "pool_id", "link_head", "n_linked"), ["pool_id", "link_head"], [F.col(id_col)])
-    return (
-        placed.groupBy("pool_id", "link_head", F.floor((F.col("position") - 1) / page_rows).alias("page"))
-        .agg(F.max("n_linked").alias("n_linked"), F.array_sort(F.collect_list(id_col)).alias("members"))
-        .select("pool_id", "link_head", "page", (F.floor(F.col("n_linked") / page_rows) + 1).alias("n_pages"), "members")
-    )
+    return cut_pages(members.select(id_col, "pool_id", "link_head"), ["pool_id", "link_head"], [id_col], F.col(id_col), page_rows)
 
 
-def linked_on_page(links: DataFrame, pages: DataFrame, asked: DataFrame, id_col: str = "candidate_id") -> DataFrame:
-    """(asked id, page, n_pages, linked id) for the (id, page) rows of ``asked``: one page each, never the group.
+def _opened(links: DataFrame, pages: DataFrame, asked: DataFrame, id_col: str) -> DataFrame:
+    """(asked id, page, n_pages, member), one row per member of the page asked for.
 
-    The rows out are at most ``page_rows`` per row asked. Who asks is counted per page before pages are joined, and the
-    pages most asked for go to where the rows are, so a page that a third of all rows ask for is no hot key. Pages
-    below 0 or behind the last, unknown ids and ids linked with nothing give no row; a question asked twice counts once.
+    Who asks is counted per page before pages are joined, and the pages most asked for go to where the rows are, so a
+    page that a third of all rows ask for is no hot key.
     """
     keys = ["pool_id", "link_head", "page"]
     questions = asked.select(id_col, F.col("page").cast("bigint").alias("page")).distinct()
     mine = links.filter(F.col("n_linked") > 0).select(id_col, "pool_id", "link_head").distinct()
     wanted = materialise(mine.join(questions, id_col))
     opened = materialise(wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_asked")).join(pages, keys))
-    return (
-        join_per_key(wanted, opened, keys, size_col="n_asked")
-        .select(id_col, "page", "n_pages", F.explode("members").alias("linked_id"))
-        .filter(F.col(id_col) != F.col("linked_id"))
+    found = join_per_key(wanted, opened, keys, size_col="n_asked")
+    return found.select(id_col, "page", "n_pages", F.explode("members").alias("member"))
+
+
+def linked_on_page(links: DataFrame, pages: DataFrame, asked: DataFrame, id_col: str = "candidate_id") -> DataFrame:
+    """(asked id, page, n_pages, linked id) for the (id, page) rows of ``asked``: one page each, never the group.
+
+    The rows out are at most ``page_rows`` per row asked. Pages below 0 or behind the last, unknown ids and ids linked
+    with nothing give no row; a question asked twice counts once.
+    """
+    found = _opened(links, pages, asked, id_col).withColumnRenamed("member", "linked_id")
+    return found.filter(F.col(id_col) != F.col("linked_id"))
+
+
+def open_pages(links: DataFrame, evaluations: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """The open applications of every group of two or more, by page, in order of candidate, role and status.
+
+    A candidate's applications are rows of their own. Withdrawn and declined ones are left out before pages are cut;
+    a missing status is open.
+    """
+    still = evaluations.filter(~F.coalesce("pipeline_status", F.lit("")).isin("declined", "withdrawn"))
+    linked = links.filter((F.col("n_linked") > 0) & F.col("pool_id").isNotNull()).select("candidate_id", "pool_id", "link_head")
+    # Nulls have no place in an order of keys: each column goes in as a pair that tells them apart.
+    rows = materialise(
+        linked.join(still.select("candidate_id", "role_applied", "pipeline_status"), "candidate_id").withColumn(
+            "sort_by",
+            F.struct("candidate_id", *[x for c in ("role_applied", "pipeline_status") for x in (F.col(c).isNotNull().alias(f"has_{c}"), F.coalesce(c, F.lit("")).alias(c))]),
+        )
     )
+    member = F.struct(F.col("candidate_id").alias("linked_id"), "role_applied", "pipeline_status")
+    return cut_pages(rows, ["pool_id", "link_head"], ["sort_by"], member, page_rows)
+
+
+def open_applications_on_page(links: DataFrame, pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """(candidate, page, n_pages, linked id, role, status): one page of the person's other open applications.
+
+    ``pages`` come from ``open_pages``; a candidate's own applications stand on them and are left out here.
+    """
+    found = _opened(links, pages, asked, "candidate_id").select("candidate_id", "page", "n_pages", "member.*")
+    return found.filter(F.col("candidate_id") != F.col("linked_id"))
 
 
 def open_applications(links: DataFrame, asked: DataFrame, evaluations: DataFrame) -> DataFrame:

@@ -269,6 +269,29 @@ def linked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("candidate_id", "doc_id")
 
 
+@query(
+    "open_page",
+    f"""WITH ev AS (SELECT doc_id, source AS role_applied, CASE doc_id % 5 WHEN 0 THEN 'declined' WHEN 1 THEN 'withdrawn' WHEN 2 THEN 'hold' WHEN 3 THEN 'scored' END AS pipeline_status FROM documents),
+      g AS (SELECT doc_id, lang, source FROM documents WHERE lang IS NOT NULL QUALIFY count(*) OVER (PARTITION BY lang, source) > 1),
+      o AS (SELECT g.*, role_applied, pipeline_status, (row_number() OVER (PARTITION BY lang, g.source ORDER BY doc_id) - 1) // {PAGE} AS page
+            FROM g JOIN ev USING (doc_id) WHERE coalesce(pipeline_status, '') NOT IN ('declined', 'withdrawn')),
+      p AS (SELECT *, max(page) OVER (PARTITION BY lang, source) + 1 AS n_pages FROM o)
+      SELECT a.doc_id, p.page, p.n_pages, p.doc_id AS linked_id, p.role_applied, p.pipeline_status
+      FROM g a SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 0) l USING (doc_id)
+      JOIN p ON a.lang = p.lang AND a.source IS NOT DISTINCT FROM p.source AND p.page = 0 AND a.doc_id <> p.doc_id""",
+)
+def open_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of the open applications beside each document labelled poor (same language and source)."""
+    docs = text_table(spark, sf_dir, "documents", "doc_id", ["lang", "source"])
+    keyed = materialise(docs.select(F.col("doc_id").alias("candidate_id"), F.col("lang").alias("pool_id"), F.col("source").alias("record_key")))
+    links = materialise(identity.link_groups(keyed))
+    status = F.get(F.array(*[F.lit(s) for s in ("declined", "withdrawn", "hold", "scored", None)]), (F.col("candidate_id") % 5).cast("int"))
+    evaluations = keyed.select("candidate_id", F.col("record_key").alias("role_applied"), status.alias("pipeline_status"))
+    poor = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("candidate_id"), F.lit(0).alias("page"))
+    found = identity.open_applications_on_page(links, identity.open_pages(links, evaluations, PAGE), poor)
+    return found.withColumnRenamed("candidate_id", "doc_id")
+
+
 @query(
     "calibration_margin",
     f"""WITH m AS (SELECT doc_id, CAST({WORDS_SQL} AS DOUBLE) AS core FROM documents)

@@ -107,6 +107,21 @@ def test_pages_of_a_huge_group(spark):
     assert identity.link_pages(none).count() == 0 and identity.linked_on_page(none, identity.link_pages(none), asked).count() == 0
 
 
+def test_pages_of_open_applications(spark):
+    who = spark.createDataFrame([(i, "p", "k") for i in range(7)] + [(7, "p", "z"), (8, None, "n"), (9, None, "n")], "candidate_id long, pool_id string, record_key string")
+    links = session.materialise(identity.link_groups(who))
+    applied = [(0, "PM", "hold"), (1, "PM", None), (1, None, "hold"), (1, "SPM", "declined"), (2, "PM", "withdrawn"), (3, "PM", "hold"), (3, "PM", "hold"), (5, None, None), (7, "PM", None), (8, "PM", None), (9, "PM", None)]
+    ev = spark.createDataFrame(applied, "candidate_id long, role_applied string, pipeline_status string")
+    pages = identity.open_pages(links, ev, page_rows=4)
+    order = [(0, "PM", "hold"), (1, None, "hold"), (1, "PM", None), (3, "PM", "hold"), (3, "PM", "hold"), (5, None, None)]
+    assert {(r.page, r.n_pages): [tuple(m) for m in r.members] for r in pages.collect()} == {(0, 2): order[:4], (1, 2): order[4:]}
+    asked = spark.createDataFrame([(2, 0), (3, 1), (1, 0), (7, 0), (8, 0), (2, 2)], "candidate_id long, page int")
+    got = identity.open_applications_on_page(links, pages, asked).collect()
+    want = [(2, 0, 2, *m) for m in order[:4]] + [(3, 1, 2, *order[5])] + [(1, 0, 2, *m) for m in order[:4] if m[0] != 1]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert identity.open_pages(links, ev.limit(0)).count() == 0
+
+
 def plain_fold(rows):
     """Verdicts by keeping every decision with its fate, as a table of decisions would."""
     out, now = [], {}
