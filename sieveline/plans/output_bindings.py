@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline import fixed
@@ -32,8 +32,6 @@ def scoring_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_discount") >= 0.07, "low").when(F.col("l_discount") >= 0.02, "high").otherwise("sure").alias("confidence"),
         F.when(F.col("l_tax") == 0.03, F.lit(None)).otherwise(F.lit("because it says so")).alias("rationale"),
     )
-    dims = [d for d in fixed.SCORED_DIMS if d != "D9"]
-    listed = F.struct(*[dimension.alias(d) for d in dims], F.when(F.col("l_linenumber") != 7, dimension).alias("D9"))
     asked = F.struct(
         F.struct((F.col("l_quantity") > 25).alias("value"), F.lit("q").alias("quote")).alias("built_from_zero"),
         F.struct(F.when(F.col("l_tax") != 0.06, True).alias("value"), F.lit("q").alias("quote")).alias("early_stage_exposure"),
@@ -43,7 +41,13 @@ def scoring_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct((F.col("l_linenumber") - 1).cast("int").alias("role_index"), F.when(F.col("l_shipdate") < "1995-01-01", "CEO").otherwise("PM").alias("type"), F.lit("q").alias("quote")),
         F.struct(F.lit(2).alias("role_index"), F.lit("OTHER").alias("type"), F.lit("r").alias("quote")),
     )
-    whole = F.to_json(F.struct(listed.alias("dimensions"), asked.alias("d7_qualifiers"), roles.alias("role_types")))
+    # The dimensions of a run read alike: one is rendered, and written under each name.
+    rest = F.to_json(F.struct(asked.alias("d7_qualifiers"), roles.alias("role_types")))
+    li = li.withColumn("_dimension", F.to_json(dimension)).withColumn("_rest", rest)
+    dims = [d for d in fixed.SCORED_DIMS if d != "D9"]
+    listed = [x for at, d in enumerate(dims) for x in (F.lit(f'{"," * (at > 0)}"{d}":'), F.col("_dimension"))]
+    last = F.when(F.col("l_linenumber") != 7, F.concat(F.lit(',"D9":'), F.col("_dimension"))).otherwise("")
+    whole = F.concat(F.lit('{"dimensions":{'), *listed, last, F.lit("},"), F.substr("_rest", F.lit(2)))
     payload = F.when(F.col("l_partkey") % 17 == 0, F.substring(whole, 1, 40)).otherwise(whole)
     return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("run_ix"), payload.alias("payload"))
 
@@ -90,17 +94,9 @@ def invalid_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring runs read from JSON and opened: dimensions, qualifiers and role types, added up per document."""
-    runs = model_outputs.parse_runs(materialise(scoring_payloads(spark, sf_dir)))
-
-    def summed(rows: DataFrame, part: str, name: str, value: Column, quotes: Column) -> DataFrame:
-        picked = rows.select("doc_id", F.lit(part).alias("part"), F.col(name).alias("name"), value.cast("long").alias("v"), quotes.cast("long").alias("q"))
-        return picked.groupBy("doc_id", "part", "name").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("total"), F.sum("q").alias("quotes"))
-
-    dims = summed(model_outputs.run_dims(runs), "dimension", "dim", F.col("score"), F.size("evidence"))
-    asked = model_outputs.run_qualifiers(runs).filter("quote is not null or value is not null")
-    qualifiers = summed(asked, "qualifier", "qualifier", F.coalesce(F.col("value").cast("int"), F.lit(0)), F.col("quote").isNotNull().cast("int"))
-    roles = summed(model_outputs.run_role_types(runs), "role", "type", F.col("role_index"), F.col("quote").isNotNull().cast("int"))
-    return dims.unionByName(qualifiers).unionByName(roles)
+    parts = model_outputs.run_parts(model_outputs.parse_runs(scoring_payloads(spark, sf_dir)))
+    sums = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("value"), F.lit(0)).alias("total"), F.sum("quotes").alias("quotes")]
+    return parts.groupBy("doc_id", "part", "name").agg(*sums)
 
 
 # ---- extracts ----

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import fixed, schemas
+from sieveline.functions.bind import bind
 
 
 def read_extracts(raw: DataFrame, payload: str = "payload") -> DataFrame:
@@ -77,6 +78,37 @@ def run_role_types(runs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "run_ix", "position", "t.role_index", "t.type", "t.quote")
 
 
+def run_parts(runs: DataFrame) -> DataFrame:
+    """One row per (document, run, part, name): the rows of run_dims, run_qualifiers and run_role_types as numbers.
+
+    ``value`` is a score, 1 for a true qualifier or a role's index; ``quotes`` counts what stands for it. A run is
+    parsed once for its three parts. Qualifiers without value and quote are left out.
+    """
+    none = F.array().cast("array<struct<part:string,name:string,value:bigint,quotes:bigint>>")
+
+    def rows(values: Column, part: str, name, value, quotes) -> Column:
+        made = F.transform(
+            values,
+            lambda x: F.struct(F.lit(part).alias("part"), name(x).alias("name"), value(x).cast("bigint").alias("value"), quotes(x).cast("bigint").alias("quotes")),
+        )
+        return F.coalesce(made, none)
+
+    def opened(run: Column) -> Column:
+        dims = F.filter(F.map_entries(run["dimensions"]), lambda e: e["key"].isin(*fixed.SCORED_DIMS))
+        known = lambda q: q["quote"].isNotNull() | q["value"].isNotNull()
+        asked = F.filter(F.map_entries(run["d7_qualifiers"]), lambda e: known(e["value"]))
+        n_quotes = lambda e: F.when(e["value"]["evidence"].isNull(), 0).otherwise(F.size(e["value"]["evidence"]))
+        return F.concat(
+            rows(dims, "dimension", lambda e: e["key"], lambda e: e["value"]["score"], n_quotes),
+            rows(asked, "qualifier", lambda e: e["key"], lambda e: F.coalesce(e["value"]["value"].cast("int"), F.lit(0)), lambda e: e["value"]["quote"].isNotNull()),
+            rows(run["role_types"], "role", lambda t: t["type"], lambda t: t["role_index"], lambda t: t["quote"].isNotNull()),
+        )
+
+    # Outer: a plain inline would ask beforehand whether there are rows, and parse the run twice.
+    parts = runs.select("doc_id", "run_ix", F.inline_outer(bind(F.col("run"), opened)))
+    return parts.filter("part is not null")
+
+
 def read_briefs(raw: DataFrame, payload: str = "payload") -> DataFrame:
     kept = [c for c in raw.columns if c != payload]
     return raw.withColumn("_b", F.from_json(payload, schemas.BRIEF)).select(*kept, "_b.*")

@@ -428,3 +428,29 @@ def test_links_and_locks(spark):
     made = spark.createDataFrame([("e1", at(9)), ("e1", at(3))], "evaluation_id string, decided_at timestamp")
     locked = decisions.lock_times(pools, made, spark.createDataFrame([("e1", "p")], "doc_id string, pool_id string"))
     assert {r.pool_id: r.locked_at for r in locked.collect()} == {"p": at(3), "q": at(-5)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_run_is_parsed_once_for_its_parts(spark, tmp_path):
+    from sieveline.plans import output_bindings
+
+    quote = {"quote": "q", "primary": True}
+    full = {
+        "dimensions": {"D1": {"score": 3, "evidence": [quote, quote]}, "D2": {"score": None, "evidence": None}, "D3": None, "other": {"score": 1}},
+        "d7_qualifiers": {"built_from_zero": {"value": True, "quote": None}, "odd": {"value": None, "quote": "q"}, "none": {}, "null": None},
+        "role_types": [{"role_index": 2, "type": "PM", "quote": "q"}, None, {"type": None}],
+    }
+    raw = [("a", 0, json.dumps(full)), ("a", 1, json.dumps({**full, "dimensions": None})), ("b", 0, "not json"), ("c", 0, None), ("d", 0, "{}"), (None, 0, json.dumps(full))]
+    runs = model_outputs.parse_runs(spark.createDataFrame(raw, "doc_id string, run_ix int, payload string"))
+    rows = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    dims = model_outputs.run_dims(runs).selectExpr("doc_id", "run_ix", "'dimension'", "dim", "bigint(score)", "bigint(size(evidence))")
+    asked = model_outputs.run_qualifiers(runs).filter("quote is not null or value is not null")
+    asked = asked.selectExpr("doc_id", "run_ix", "'qualifier'", "qualifier", "bigint(coalesce(int(value), 0))", "bigint(quote is not null)")
+    roles = model_outputs.run_role_types(runs).selectExpr("doc_id", "run_ix", "'role'", "type", "bigint(role_index)", "bigint(quote is not null)")
+    parts = model_outputs.run_parts(runs)
+    assert rows(parts) == rows(dims.union(asked).union(roles)) and parts.count() == 21
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(50).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert plan(output_bindings.run_rows(spark, str(tmp_path))).count("from_json") == 1
