@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sieveline import fixed
 from sieveline.functions import text as tx
 from sieveline.functions.bind import bind, text_list
-from sieveline.functions.patterns import WORD_START, any_of, jvm, matches, term_pattern
+from sieveline.functions.patterns import WORD_START, any_of, jvm, matches, opens, term_pattern
 from sieveline.term_lists import GENERIC_COMPANY_WORDS, INSTITUTIONS, LANGUAGES, PLACES
 
 # What each counter's private-use mark is rendered as; silent marks leave nothing.
@@ -156,8 +156,10 @@ def pronoun_passes() -> list[tuple[str, list[tuple[str, str]]]]:
     passes = []
     for words, tail, replacement in fixed.PRONOUN_RULES:
         after = jvm(tail).replace(jvm(r"\s+"), f"{silent}*{jvm(chr(92) + 's')}(?:{silent}|{jvm(chr(92) + 's')})*") if r"\s+" in tail else jvm(tail)
-        rules = [(WORD_START + spelled(words, case) + after, MARKS["pronouns"] + cased(replacement, case)) for case in ("upper", "title", "lower")]
-        passes.append((WORD_START + "(?i:" + "|".join(words) + ")", rules))
+        small = "".join(sorted({w[0] for w in words}))
+        first = {"upper": small.upper(), "title": small.upper(), "lower": small}
+        rules = [(opens(first[case]) + WORD_START + spelled(words, case) + after, MARKS["pronouns"] + cased(replacement, case)) for case in first]
+        passes.append((opens(small + small.upper()) + WORD_START + "(?i:" + "|".join(words) + ")", rules))
     return passes
 
 
@@ -236,10 +238,14 @@ def _mark_pronouns(text: Column) -> Column:
     return out
 
 
+# The characters that a date of each pattern can open with.
+DATE_STARTS = ["JFMASOND", "0-9", "12", "0-9", "F", "12"]
+
+
 def _mark_dates(text: Column) -> Column:
     out = text
-    for pattern in fixed.DATE_PATTERNS:
-        out = F.regexp_replace(out, jvm(pattern), MARKS["dates"])
+    for pattern, first in zip(fixed.DATE_PATTERNS, DATE_STARTS, strict=True):
+        out = F.regexp_replace(out, opens(first) + jvm(pattern), MARKS["dates"])
     return out
 
 
@@ -250,9 +256,9 @@ def mark_identity(texts: Column, terms: Column) -> Column:
     ``terms``: see prepare_terms.
     """
     out = F.transform(texts, lambda t: _mark_terms(t, terms))
-    titles = jvm(r"\b(?:Mr|Mrs|Ms|Miss|Mx|Shri|Smt|Dr)\b")
+    titles = opens("MSD") + jvm(r"\b(?:Mr|Mrs|Ms|Miss|Mx|Shri|Smt|Dr)\b")
     out = F.transform(out, lambda t: F.when(t.rlike(titles), _mark_honorifics(t)).otherwise(t))
-    pronouns = jvm(fixed.LEAK_GENDERED_PATTERN, True)
+    pronouns = opens("HhSs") + jvm(fixed.LEAK_GENDERED_PATTERN, True)
     out = F.transform(out, lambda t: F.when(t.rlike(pronouns), _mark_pronouns(t)).otherwise(t))
     return F.transform(out, lambda t: F.when(t.rlike("[0-9]{2}"), _mark_dates(t)).otherwise(t))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import people
 from sieveline import fixed
 from sieveline.functions import dates, hashing, text as tx
-from sieveline.functions.patterns import any_of, jvm
+from sieveline.functions.patterns import any_of, jvm, opens
 from sieveline.operators import evidence, fidelity, guard, identity, leak, profile, redact
 
 
@@ -244,3 +244,13 @@ def test_terms_found_by_their_longest_word(spark):
     pairs = redact.listed_pairs(listed, redact.text_words(F.col("h")))
     found = {r.i: r.p for r in df.select("i", redact.present_terms(pairs, F.col("h")).alias("p")).collect()}
     assert found == {0: ["St. Xavier's College", "Delhi NCR", "Delhi", "NCR"], 1: ["NCR", "IIT"], 2: ["IIT"], 3: [], 4: [], 5: ["Navi Mumbai", "Mumbai"]}
+
+
+def test_patterns_open_with_one_cheap_test():
+    dates_found = ["May 2019", "JAN '19", "1/2/2019", "2019/05", "05/2020", "1/1950", "FY 19-20", "FY'2019", "in 2019", "x19 2091"]
+    java = lambda p: re.compile(jvm(p).replace("\\p{Z}", " \\xa0").replace("\\x{feff}", "\\ufeff"), re.A)
+    for pattern, first in zip(fixed.DATE_PATTERNS, redact.DATE_STARTS, strict=True):
+        opened = re.compile(opens(first) + java(pattern).pattern, re.A)
+        assert [opened.findall(t) for t in dates_found] == [java(pattern).findall(t) for t in dates_found]
+    for has_work, rules in redact.pronoun_passes():
+        assert all(p.startswith("(?=[") for p in [has_work, *(p for p, _ in rules)])
