@@ -452,5 +452,10 @@ def test_a_run_is_parsed_once_for_its_parts(spark, tmp_path):
     roles = model_outputs.run_role_types(runs).selectExpr("doc_id", "run_ix", "'role'", "type", "bigint(role_index)", "bigint(quote is not null)")
     parts = model_outputs.run_parts(runs)
     assert rows(parts) == rows(dims.union(asked).union(roles)) and parts.count() == 21
-    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(50).write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert plan(output_bindings.run_rows(spark, str(tmp_path))).count("from_json") == 1
+    line = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp"
+    spark.createDataFrame([(1, 2, 3, 1, 30.0, 0.01, 0.02, "A", T0), (1, 3, 4, 7, 9.0, 0.08, 0.07, "N", T0)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    opened = output_bindings.run_rows(spark, str(tmp_path))
+    assert plan(opened).count("from_json") == 1
+    got = {(r.part, r.name): (r.n, r.total, r.quotes) for r in opened.collect()}
+    assert (got["dimension", "D1"], got["dimension", "D9"], got["qualifier", "built_from_zero"]) == ((2, 2, 7), (1, 2, 3), (2, 1, 2))
+    assert (got["qualifier", "senior_pm_layer_above"], got["role", "PM"], got["role", "OTHER"]) == ((1, 0, 0), (2, 6, 2), (2, 4, 2))
