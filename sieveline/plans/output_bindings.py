@@ -21,33 +21,34 @@ _MISSING_SQL = "(l_linenumber = 7)"
 def scoring_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, run_ix, payload): a run as its model would write it, some cut short, some lacking parts."""
     li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+    # Written as to_json writes it: a field without a value is left out. The fields that may lack one end in a comma.
+    field = lambda name, value: F.coalesce(F.concat(F.lit(f'"{name}":'), value.cast("string"), F.lit(",")), F.lit(""))
     score = F.when(F.col("l_partkey") % 11 == 0, 7).otherwise(F.floor((F.col("l_quantity") - 1) / 10).cast("int"))
-    quote = lambda i: F.struct(F.concat(F.lit("quote "), i.cast("string")).alias("quote"), (i == 1).alias("primary"))
-    n = (F.col("l_suppkey") % 5).cast("int")
-    quotes = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), quote)).otherwise(F.array().cast("array<struct<quote:string,primary:boolean>>"))
-    flag = F.col("l_returnflag")
-    dimension = F.struct(
-        score.alias("score"), F.when(flag == "A", "absent").when(flag == "N", "weak").otherwise("present").alias("evidence_status"),
-        F.when(F.col("l_discount") == 0.05, F.lit(None)).otherwise(quotes).alias("evidence"),
-        F.when(F.col("l_discount") >= 0.07, "low").when(F.col("l_discount") >= 0.02, "high").otherwise("sure").alias("confidence"),
-        F.when(F.col("l_tax") == 0.03, F.lit(None)).otherwise(F.lit("because it says so")).alias("rationale"),
+    n = F.col("l_suppkey") % 5
+    quote = lambda i: f'{"," * (i > 1)}{{"quote":"quote {i}","primary":{"true" if i == 1 else "false"}}}'
+    quotes = F.concat(F.lit("["), *[F.when(n >= i, quote(i)).otherwise("") for i in range(1, 5)], F.lit("]"))
+    flag, tax = F.col("l_returnflag"), F.col("l_tax")
+    status = F.when(flag == "A", "absent").when(flag == "N", "weak").otherwise("present")
+    sure = F.when(F.col("l_discount") >= 0.07, "low").when(F.col("l_discount") >= 0.02, "high").otherwise("sure")
+    dimension = F.concat(
+        F.lit("{"), field("score", score), F.lit('"evidence_status":"'), status, F.lit('",'),
+        F.when(F.col("l_discount") == 0.05, "").otherwise(F.concat(F.lit('"evidence":'), quotes, F.lit(","))),
+        F.lit('"confidence":"'), sure, F.when(tax == 0.03, '"}').otherwise('","rationale":"because it says so"}'),
     )
-    asked = F.struct(
-        F.struct((F.col("l_quantity") > 25).alias("value"), F.lit("q").alias("quote")).alias("built_from_zero"),
-        F.struct(F.when(F.col("l_tax") != 0.06, True).alias("value"), F.lit("q").alias("quote")).alias("early_stage_exposure"),
-        F.when(F.col("l_tax") != 0.07, F.struct(F.lit(False).alias("value"), F.lit(None).cast("string").alias("quote"))).alias("senior_pm_layer_above"),
-    )
-    roles = F.array(
-        F.struct((F.col("l_linenumber") - 1).cast("int").alias("role_index"), F.when(F.col("l_shipdate") < "1995-01-01", "CEO").otherwise("PM").alias("type"), F.lit("q").alias("quote")),
-        F.struct(F.lit(2).alias("role_index"), F.lit("OTHER").alias("type"), F.lit("r").alias("quote")),
+    rest = F.concat(
+        F.lit('"d7_qualifiers":{"built_from_zero":{'), field("value", F.col("l_quantity") > 25), F.lit('"quote":"q"},"early_stage_exposure":{'),
+        F.when(tax != 0.06, '"value":true,').otherwise(""), F.lit('"quote":"q"}'),
+        F.when(tax != 0.07, ',"senior_pm_layer_above":{"value":false}').otherwise(""), F.lit('},"role_types":[{'),
+        field("role_index", (F.col("l_linenumber") - 1).cast("int")),
+        F.when(F.col("l_shipdate") < "1995-01-01", '"type":"CEO",').otherwise('"type":"PM",'),
+        F.lit('"quote":"q"},{"role_index":2,"type":"OTHER","quote":"r"}]}'),
     )
     # The dimensions of a run read alike: one is rendered, and written under each name.
-    rest = F.to_json(F.struct(asked.alias("d7_qualifiers"), roles.alias("role_types")))
-    li = li.withColumn("_dimension", F.to_json(dimension)).withColumn("_rest", rest)
+    li = li.withColumn("_dimension", dimension)
     dims = [d for d in fixed.SCORED_DIMS if d != "D9"]
     listed = [x for at, d in enumerate(dims) for x in (F.lit(f'{"," * (at > 0)}"{d}":'), F.col("_dimension"))]
     last = F.when(F.col("l_linenumber") != 7, F.concat(F.lit(',"D9":'), F.col("_dimension"))).otherwise("")
-    whole = F.concat(F.lit('{"dimensions":{'), *listed, last, F.lit("},"), F.substr("_rest", F.lit(2)))
+    whole = F.concat(F.lit('{"dimensions":{'), *listed, last, F.lit("},"), rest)
     payload = F.when(F.col("l_partkey") % 17 == 0, F.substring(whole, 1, 40)).otherwise(whole)
     return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("run_ix"), payload.alias("payload"))
 
@@ -64,8 +65,10 @@ _PROBLEMS_SQL = f"""SELECT l_orderkey AS doc_id, l_linenumber AS run_ix, unnest(
 @query("run_problems", f"SELECT doc_id, problem, count(*) AS n_runs FROM ({_PROBLEMS_SQL}) GROUP BY doc_id, problem")
 def run_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule that a scoring run's JSON breaks, counted per document."""
-    checked = validity.run_problems(model_outputs.parse_runs(materialise(scoring_payloads(spark, sf_dir))))
-    return checked.select("doc_id", F.explode("problems").alias("problem")).groupBy("doc_id", "problem").agg(F.count(F.lit(1)).alias("n_runs"))
+    checked = validity.run_problems(model_outputs.parse_runs(scoring_payloads(spark, sf_dir)))
+    # Outer: a plain explode would ask beforehand whether there are problems, and parse the run twice.
+    named = checked.select("doc_id", F.explode_outer("problems").alias("problem")).filter("problem is not null")
+    return named.groupBy("doc_id", "problem").agg(F.count(F.lit(1)).alias("n_runs"))
 
 
 @query(
@@ -74,7 +77,7 @@ def run_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def invalid_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that go to review because one of their runs is not valid."""
-    return validity.invalid_documents(model_outputs.parse_runs(materialise(scoring_payloads(spark, sf_dir))))
+    return validity.invalid_documents(model_outputs.parse_runs(scoring_payloads(spark, sf_dir)))
 
 
 @query(

@@ -459,3 +459,28 @@ def test_a_run_is_parsed_once_for_its_parts(spark, tmp_path):
     got = {(r.part, r.name): (r.n, r.total, r.quotes) for r in opened.collect()}
     assert (got["dimension", "D1"], got["dimension", "D9"], got["qualifier", "built_from_zero"]) == ((2, 2, 7), (1, 2, 3), (2, 1, 2))
     assert (got["qualifier", "senior_pm_layer_above"], got["role", "PM"], got["role", "OTHER"]) == ((1, 0, 0), (2, 6, 2), (2, 4, 2))
+
+
+def test_runs_are_checked_as_they_are_rendered(spark, tmp_path):
+    from sieveline.plans import output_bindings
+
+    row = (1, 5, 3, 1, 30.0, 0.03, 0.01, "A", dt.datetime(1994, 1, 1))
+    odd = [(2, None, -1, 7, None, 0.05, 0.03, None, None), (3, 17, 4, 2, 1.0, 0.0, 0.06, "N", None), (None, 22, None, None, 50.0, None, None, "R", dt.datetime(1999, 1, 1)), (4, 5, 3, 2, 30.0, 0.03, 0.01, "R", dt.datetime(1999, 1, 1))]
+    names = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp"
+    spark.createDataFrame([row, *odd], names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.doc_id: r.payload for r in output_bindings.scoring_payloads(spark, str(tmp_path)).collect()}
+    quotes = [{"quote": f"quote {i}", "primary": i == 1} for i in (1, 2, 3)]
+    dim = {"score": 2, "evidence_status": "absent", "evidence": quotes, "confidence": "high", "rationale": "because it says so"}
+    asked = {"built_from_zero": {"value": True, "quote": "q"}, "early_stage_exposure": {"value": True, "quote": "q"}, "senior_pm_layer_above": {"value": False}}
+    roles = [{"role_index": 0, "type": "CEO", "quote": "q"}, {"role_index": 2, "type": "OTHER", "quote": "r"}]
+    compact = lambda x: json.dumps(x, separators=(",", ":"))
+    assert got[1] == compact({"dimensions": {d: dim for d in fixed.SCORED_DIMS}, "d7_qualifiers": asked, "role_types": roles})
+    assert json.loads(got[2])["dimensions"]["D1"] == {"evidence_status": "present", "confidence": "high"} and "D9" not in json.loads(got[2])["dimensions"]
+    assert got[3] == '{"dimensions":{"D1":{"score":0,"evidence'
+    assert json.loads(got[None])["dimensions"]["D1"] == {"score": 7, "evidence_status": "present", "evidence": [], "confidence": "sure", "rationale": "because it says so"}
+    assert json.loads(got[None])["role_types"][0] == {"type": "PM", "quote": "q"} and "senior_pm_layer_above" not in json.loads(got[None])["d7_qualifiers"]
+    bad, named = output_bindings.invalid_outputs(spark, str(tmp_path)), output_bindings.run_problems(spark, str(tmp_path))
+    assert sorted(str(r.doc_id) for r in bad.collect()) == ["1", "2", "3", "None"]
+    assert {r.problem for r in named.collect() if r.doc_id == 1} == {"role_index", "role_type"} and not [r for r in named.collect() if r.doc_id == 4]
+    for checked in (bad, named):
+        assert plan(checked).count("from_json") == 1 and all("lineitem" in f for f in checked.inputFiles())
