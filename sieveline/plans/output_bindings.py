@@ -20,7 +20,7 @@ _MISSING_SQL = "(l_linenumber = 7)"
 
 def scoring_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, run_ix, payload): a run as its model would write it, some cut short, some lacking parts."""
-    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", per_core=4)
     # Written as to_json writes it: a field without a value is left out. The fields that may lack one end in a comma.
     field = lambda name, value: F.coalesce(F.concat(F.lit(f'"{name}":'), value.cast("string"), F.lit(",")), F.lit(""))
     score = F.when(F.col("l_partkey") % 11 == 0, 7).otherwise(F.floor((F.col("l_quantity") - 1) / 10).cast("int"))

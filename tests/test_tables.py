@@ -484,3 +484,7 @@ def test_runs_are_checked_as_they_are_rendered(spark, tmp_path):
     assert {r.problem for r in named.collect() if r.doc_id == 1} == {"role_index", "role_type"} and not [r for r in named.collect() if r.doc_id == 4]
     for checked in (bad, named):
         assert plan(checked).count("from_json") == 1 and all("lineitem" in f for f in checked.inputFiles())
+    cores = spark.sparkContext.defaultParallelism
+    assert output_bindings.scoring_payloads(spark, str(tmp_path)).rdd.getNumPartitions() == 4 * cores
+    dealt = spark.range(99).coalesce(1)
+    assert [skew.spread(dealt, "id", **asked).rdd.getNumPartitions() for asked in ({}, {"per_core": 3})] == [cores, 3 * cores]
