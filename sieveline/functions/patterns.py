@@ -18,6 +18,21 @@ WORD_START, WORD_END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 SPACES = r"\t\n\x0B\f\r\p{Z}\x{feff}"
 TERM_LEFT, TERM_RIGHT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
+# Pieces of the patterns of ``fixed``, and forms that match the same in the JVM but give nothing back. The JVM repeats a
+# group of varying length by recursion: some thousand rounds (a page of numbers, a table's bars) overflow the task's
+# stack, and Spark ends the executor for it. A possessive repeat is a loop. What it may not give back is told before:
+# ten digits in runs that may end the match; a start inside a run that an earlier start would have taken too is passed.
+FLAT = {
+    r"[\w.+%-]+@[\w-]+(\.[\w-]+)+": r"(?:(?<![\w.+%-])|\G)[\w.+%-]++@[\w-]++(?:\.[\w-]++)++",
+    r"(?:[\w-]+\.)+": r"(?<![\w-])(?<![\w-]\.)(?:[\w-]++\.)++",
+    r"\d(?:[\s\-().]*\d){9,}(?![\w%])": r"(?=\d(?:[\s\-().]*+\d){9}\d*+(?![\w%]))\d++(?:[\s\-().]++\d++(?![\w%]))*+",
+    r"\s*[:#]?\s*\d+": r"\s*+(?:[:#]\s*+)?\d+",
+    r"\s*[:\-]?\s*\d+": r"\s*+(?:[:\-]\s*+)?\d+",
+    r"\s+([,.;:)])": r"(?<!\s)\s++([,.;:)])",
+    r"\s*[·|,](?:\s*[·|,])+\s*": r"(?<!\s)\s*+[·|,](?:\s*+[·|,])++\s*+",
+    r"[\s·|,]+$": r"(?<![\s·|,])[\s·|,]++$",
+}
+
 
 def opens(first: str) -> str:
     """Put before a pattern that can only match from one of these characters: others are passed with one cheap test."""
@@ -35,6 +50,8 @@ def _edge(following: str) -> str:
 
 def jvm(pattern: str, ignore_case: bool = False, unicode_case: bool = False) -> str:
     """The same pattern for the JVM's regular expressions."""
+    for piece, flat in FLAT.items():
+        pattern = pattern.replace(piece, flat)
     out, in_class, i = [], False, 0
     while i < len(pattern):
         char = pattern[i]

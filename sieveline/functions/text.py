@@ -37,7 +37,8 @@ def squeeze(text: Column) -> Column:
 
 
 def js_trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    # Away from the text's start a run is only tried from its first character, so a long run inside a text is passed once.
+    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}](?<![{SPACES}]{{2}})[{SPACES}]*+$", "")
 
 
 def plain_normal(text: Column) -> Column:

@@ -8,6 +8,9 @@ private-use mark, one per counter; the marks are counted, then rendered.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from sieveline import fixed
 from sieveline.functions import text as tx
 from sieveline.functions.bind import bind, text_list
-from sieveline.functions.patterns import WORD_START, any_of, jvm, matches, opens, term_pattern
+from sieveline.functions.patterns import SPACES, WORD_START, any_of, jvm, matches, opens, term_pattern
 from sieveline.term_lists import GENERIC_COMPANY_WORDS, INSTITUTIONS, LANGUAGES, PLACES
 
 # What each counter's private-use mark is rendered as; silent marks leave nothing.
@@ -155,7 +158,7 @@ def pronoun_passes() -> list[tuple[str, list[tuple[str, str]]]]:
     silent = "[" + MARKS["pronouns"] + MARKS["honorifics"] + "]"
     passes = []
     for words, tail, replacement in fixed.PRONOUN_RULES:
-        after = jvm(tail).replace(jvm(r"\s+"), f"{silent}*{jvm(chr(92) + 's')}(?:{silent}|{jvm(chr(92) + 's')})*") if r"\s+" in tail else jvm(tail)
+        after = jvm(tail).replace(jvm(r"\s+"), f"{silent}*+[{SPACES}][{silent[1:-1]}{SPACES}]*+") if r"\s+" in tail else jvm(tail)
         small = "".join(sorted({w[0] for w in words}))
         first = {"upper": small.upper(), "title": small.upper(), "lower": small}
         rules = [(opens(first[case]) + WORD_START + spelled(words, case) + after, MARKS["pronouns"] + cased(replacement, case)) for case in first]
@@ -196,7 +199,8 @@ def _mark_urls(text: Column) -> Column:
 
 
 def _mark_phones(text: Column) -> Column:
-    return bind(text, lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, jvm(fixed.PHONE_PATTERN), MARKS["phones"])).otherwise(t))
+    phone = opens("+0-9") + jvm(fixed.PHONE_PATTERN)
+    return bind(text, lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, phone, MARKS["phones"])).otherwise(t))
 
 
 def mark_contacts(text: Column) -> Column:
@@ -216,25 +220,26 @@ def _mark_terms(text: Column, terms: Column) -> Column:
 def _mark_honorifics(text: Column) -> Column:
     """Before the candidate: dropped; before another name: a referee; bare: dropped."""
     candidate = "[" + MARKS["emails"] + MARKS["urls"] + MARKS["phones"] + MARKS["names"] + "]"
-    prefix = jvm(fixed.HONORIFIC_PREFIX)
+    prefix = opens("MSD") + jvm(fixed.HONORIFIC_PREFIX)
     out = F.regexp_replace(text, prefix + f"(?={candidate})", MARKS["honorifics"])
     out = F.regexp_replace(out, prefix + jvm(fixed.HONORIFIC_NAME), MARKS["honorifics"] + MARKS["referees"])
-    return F.regexp_replace(out, jvm(fixed.HONORIFIC_BARE), MARKS["honorifics"])
+    return F.regexp_replace(out, opens("M") + jvm(fixed.HONORIFIC_BARE), MARKS["honorifics"])
 
 
 def _mark_pronouns(text: Column) -> Column:
-    def one_pass(has_work: str, rules: list[tuple[str, str]]):
+    def one_pass(has_work: str, rules: list[tuple[str, str]], apostrophe: bool):
         def run(value: Column) -> Column:
             replaced = value
             for pattern, word in rules:
                 replaced = F.regexp_replace(replaced, pattern, word)
-            return F.when(value.rlike(has_work), replaced).otherwise(value)
+            work = value.rlike(has_work)
+            return F.when(F.contains(value, F.lit("'")) & work if apostrophe else work, replaced).otherwise(value)
 
         return run
 
     out = text
-    for has_work, rules in pronoun_passes():
-        out = bind(out, one_pass(has_work, rules))
+    for (has_work, rules), (words, _, _) in zip(pronoun_passes(), fixed.PRONOUN_RULES, strict=True):
+        out = bind(out, one_pass(has_work, rules, all("'" in w for w in words)))
     return out
 
 
@@ -263,16 +268,40 @@ def mark_identity(texts: Column, terms: Column) -> Column:
     return F.transform(out, lambda t: F.when(t.rlike("[0-9]{2}"), _mark_dates(t)).otherwise(t))
 
 
+def _replaced_where(text: Column, has_work: Callable[[Column], Column], pattern: str, by: str) -> Column:
+    return bind(text, lambda t: F.when(has_work(t), F.regexp_replace(t, pattern, by)).otherwise(t))
+
+
+# Letters (in lower case) of which one stands in whatever an academic pattern matches.
+ACADEMIC_LETTERS = [["gpa", "cpi"], ["%"], ["medal"], ["university "], ["class", "division", "dean", "laude"], ["air", "rank"]]
+
+
 def mark_academic(text: Column) -> Column:
-    """Academic scores and honours of a text; one pass tells the texts that hold none."""
+    """Academic scores and honours of a text; a pattern is spent only where its letters stand."""
 
-    def run(value: Column) -> Column:
+    def run(value: Column, lower: Column) -> Column:
         out = value
-        for pattern in fixed.ACADEMIC_PATTERNS:
-            out = F.regexp_replace(out, jvm(pattern, True), MARKS["academic"])
-        return F.when(value.rlike(any_of(fixed.ACADEMIC_PATTERNS)), out).otherwise(value)
+        for pattern, letters in zip(fixed.ACADEMIC_PATTERNS, ACADEMIC_LETTERS, strict=True):
+            held = reduce(or_, [F.contains(lower, F.lit(some)) for some in letters])
+            out = _replaced_where(out, lambda _: held, jvm(pattern, True), MARKS["academic"])
+        return out
+
+    return bind(text, lambda t: bind(F.lower(t), lambda lower: run(t, lower)))
 
-    return bind(text, run)
+
+def _at_ends(text: Column, more: str = "") -> Column:
+    """Whether the text opens or ends with white space, a line end that ``$`` stands before, or one of ``more``."""
+    return F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1))).rlike(f"[{SPACES}\\x85{more}]")
+
+
+# Cheap tests of what each tidying pattern needs.
+TIDY_WORK = [
+    lambda t: F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")),
+    lambda t: t.rlike(f"[,.;:)](?<=[{SPACES}][,.;:)])"),
+    lambda t: F.contains(t, F.lit("(")),
+    lambda t: t.rlike(f"[·|,][{SPACES}]*+[·|,]"),
+    lambda t: _at_ends(t, "·|,"),
+]
 
 
 def unmark(text: Column) -> Column:
@@ -281,9 +310,9 @@ def unmark(text: Column) -> Column:
     for name, shown in SHOWN.items():
         if not shown:
             out = F.replace(out, F.lit(MARKS[name]), F.lit(""))
-    for pattern, replacement in fixed.TIDY_PATTERNS:
-        out = F.regexp_replace(out, jvm(pattern), replacement)
-    return show_marks(tx.js_trim(out))
+    for (pattern, by), has_work in zip(fixed.TIDY_PATTERNS, TIDY_WORK, strict=True):
+        out = _replaced_where(out, has_work, jvm(pattern), by)
+    return show_marks(bind(out, lambda t: F.when(_at_ends(t), tx.js_trim(t)).otherwise(t)))
 
 
 def show_marks(text: Column) -> Column:
@@ -294,6 +323,12 @@ def show_marks(text: Column) -> Column:
     return out
 
 
+def only_marks(texts: Column) -> Column:
+    """The marks that an array of texts holds, as one short text: several kinds are counted in it cheaply."""
+    first, last = min(MARKS.values()), max(MARKS.values())
+    return F.array(F.regexp_replace(F.array_join(texts, ""), f"[^{first}-{last}]+", ""))
+
+
 def count_mark(texts: Column, mark: str) -> Column:
     """How many of the mark an array of texts holds."""
     return bind(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sieveline import fixed
 from sieveline.functions import hashing, text as tx
 from sieveline.operators import calibration, dictionary, evidence, fidelity, guard, identity, leak, redact, validity
+from sieveline.operators.skew import deal_rows
 from sieveline.plans import redaction_sql
 from sieveline.plans.bindings import long_counts, query, table, text_table
 from sieveline.session import materialise
@@ -138,14 +139,15 @@ def told(text: Column) -> Column:
 @query("full_redaction", redaction_sql.full_redaction(f"SELECT doc_id, {_TOLD_SQL} AS text FROM documents"))
 def full_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents through every redaction pass, with the fixed place and institution lists."""
-    docs = text_table(spark, sf_dir, "documents", "doc_id", ["text"]).withColumn("text", told(F.col("text")))
+    docs = deal_rows(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("text", told(F.col("text")))
     none = F.array().cast("array<string>")
     own = F.struct(*[none.alias(n) for n in ("names", "emails", "phones", "urls", "locations", "institutions", "companies")])
     termed = docs.withColumn("_h", redact.comparable(F.col("text")))
     termed = termed.withColumn("_terms", redact.prepare_terms(own, F.col("_h")))
     marked = termed.withColumn("_m", redact.mark_identity(F.array("text"), F.col("_terms")))
     final = marked.withColumn("_f", F.transform("_m", redact.mark_academic))
-    counts = [redact.count_mark(F.col("_m"), redact.MARKS[n]).alias(n) for n in redaction_sql.COUNTED]
+    final = final.withColumn("_k", redact.only_marks(F.col("_m")))
+    counts = [redact.count_mark(F.col("_k"), redact.MARKS[n]).alias(n) for n in redaction_sql.COUNTED]
     result = final.select(
         "doc_id", *counts, redact.count_mark(F.col("_f"), redact.MARKS["academic"]).alias("academic"),
         F.sha2(redact.unmark(F.get("_f", F.lit(0))), 256).alias("redacted_hash"),

@@ -254,3 +254,63 @@ def test_patterns_open_with_one_cheap_test():
         assert [opened.findall(t) for t in dates_found] == [java(pattern).findall(t) for t in dates_found]
     for has_work, rules in redact.pronoun_passes():
         assert all(p.startswith("(?=[") for p in [has_work, *(p for p, _ in rules)])
+
+
+def test_long_runs_overflow_no_stack(spark):
+    """A page of numbers or a table's bars: such a text ended its executor."""
+    java = spark._jvm.java.util.regex.Pattern
+    n = 20_000
+    follows = redact.pronoun_passes()[4][1][2][0]
+    for pattern, text, left in [
+        (jvm(fixed.PHONE_PATTERN), "1 " * n, "# "), (jvm(fixed.PHONE_PATTERN), "7" * n, "#"), (jvm(fixed.EMAIL_PATTERN), "x@" + "a." * n + "b", "#"),
+        (jvm(fixed.URL_PATTERN, True), "a." * n + "io/x", "#"), (jvm(fixed.URL_PATTERN, True), "a." * n + "b", "a." * n + "b"),
+        (follows, "her" + " " * n + "x", "#" + " " * n + "x"), (jvm(fixed.TIDY_PATTERNS[3][0]), "| , " * n, "#"),
+    ]:
+        assert java.compile(pattern).matcher(text).replaceAll("#") == left
+
+
+def test_flat_patterns_match_as_written(spark):
+    """Patterns that give nothing back, against Python's reading of the pattern as written."""
+    java = spark._jvm.java.util.regex.Pattern
+    lines = [
+        "1234567890 12a", "123456789 0a", "123456789 0", "+1 (417) 555-2299, 5%", "12 345 678 901 23%", "_12345678901", "1234567890_", "1-2-3-4-5-6-7-8-9-0 (", "+12345 678901 2x 1234567890",
+        "a@b.c+d@e.f", "..x@y.z.", "x@y", "q.z@w-v.net.b_c", "a@b.c.d@e.f", "1@2.3", "a.b.com/x", "x-y.co/ www.z a.com.b/ https://q", "a.b.c.app/",
+        "CGPA  :  9.1 / 10", "cpi- 8 gpa9", "AIR # 12, rank12 rank : x", "a  , b ;", ", , x | · y", "a ,b", "x|,  |", " , x , ", ",",
+    ]
+    tried = [(fixed.EMAIL_PATTERN, 0), (fixed.URL_PATTERN, re.I), (fixed.PHONE_PATTERN, 0), *((p, re.I) for p in fixed.ACADEMIC_PATTERNS), *((p, 0) for p, _ in fixed.TIDY_PATTERNS)]
+    for pattern, flags in tried:
+        flat = java.compile(jvm(pattern, bool(flags)))
+        assert [flat.matcher(t).replaceAll("#") for t in lines] == [re.sub(pattern, "#", t, flags=flags | re.A) for t in lines], pattern
+
+
+def test_cheap_tests_pass_no_work(spark):
+    """What academic and tidying patterns look for first stands in everything they match."""
+    scores = [
+        "CGPA: 9.1 / 10", "cpi 8", "Sgpa-7", "81 % marks", "75% AGGREGATE", "Gold medalist", "bronze Medallist in x", "University rank 2", "UNIVERSITY topper", "First class", "first division",
+        "second CLASS", "Deans list", "dean's list", "summa cum laude", "Cum Laude", "AIR 12", "All India Rank: 3", "rank #4",
+    ]
+    rough = ["a  b\t c ", "x , y ;z", "in ( ) town(\n)", "a , , b | · c", "· a", "b |", " , c", "d\n", "\te", "plain text.", "", "(f)", "g ,, h"]
+
+    def tidied(text):
+        for pattern, by in fixed.TIDY_PATTERNS:
+            text = re.sub(pattern, by.replace("$1", r"\1"), text)
+        return text.strip()
+
+    df = spark.createDataFrame([(t,) for t in scores + rough], "t string")
+    got = {r.t: r for r in df.select("t", redact.mark_academic(F.col("t")).alias("a"), redact.unmark(F.col("t")).alias("u")).collect()}
+    assert [t for t in scores if redact.MARKS["academic"] not in got[t].a] == []
+    assert {t: got[t].u for t in rough} == {t: tidied(t) for t in rough}
+
+
+def test_rows_of_one_large_row_group_are_dealt_out(spark):
+    from sieveline.operators.skew import deal_rows
+
+    # Enough partitions, but one of them holds all rows; keys are null.
+    uneven = spark.range(0, 640_000, 1, 64).filter("id < 1000").selectExpr("CAST(NULL AS bigint) AS doc_id", "CAST(id AS string) AS text")
+    dealt = deal_rows(uneven)
+    sizes = [r.n for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 200
+    assert dealt.columns == uneven.columns and dealt.select("text").distinct().count() == 1000
+    even = spark.range(0, 640, 1, 64)
+    assert deal_rows(even) is even
+    assert deal_rows(even.filter("id < 0")).count() == 0
