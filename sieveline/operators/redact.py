@@ -186,6 +186,10 @@ def prepare_terms(
     )
 
 
+def _replaced_where(text: Column, has_work: Callable[[Column], Column], pattern: str, by: str) -> Column:
+    return bind(text, lambda t: F.when(has_work(t), F.regexp_replace(t, pattern, by)).otherwise(t))
+
+
 def _mark_emails(text: Column) -> Column:
     return bind(text, lambda t: F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, jvm(fixed.EMAIL_PATTERN), MARKS["emails"])).otherwise(t))
 
@@ -227,20 +231,31 @@ def _mark_honorifics(text: Column) -> Column:
 
 
 def _mark_pronouns(text: Column) -> Column:
-    def one_pass(has_work: str, rules: list[tuple[str, str]], apostrophe: bool):
-        def run(value: Column) -> Column:
-            replaced = value
-            for pattern, word in rules:
-                replaced = F.regexp_replace(replaced, pattern, word)
-            work = value.rlike(has_work)
-            return F.when(F.contains(value, F.lit("'")) & work if apostrophe else work, replaced).otherwise(value)
+    """The pronouns that stand in the text are listed first; a rule is spent only if a word of its spelling is among them."""
+    listed = opens("HhSs") + jvm(fixed.LEAK_GENDERED_PATTERN, True)
 
-        return run
+    def one_pass(value: Column, rules: list[tuple[str, str]], words: list[str], kinds: Column) -> Column:
+        # The words as listed, without what follows an apostrophe; "A" is upper case, "T" and "l" tell the first letter's.
+        words = [w.partition("'")[0] for w in words]
+        for (pattern, word), kind in zip(rules, "ATl", strict=True):
+            held = F.arrays_overlap(kinds, text_list([kind + w for w in words]))
+            value = _replaced_where(value, lambda _: held, pattern, word)
+        return value
 
-    out = text
-    for (has_work, rules), (words, _, _) in zip(pronoun_passes(), fixed.PRONOUN_RULES, strict=True):
-        out = bind(out, one_pass(has_work, rules, all("'" in w for w in words)))
-    return out
+    def run(value: Column, found: Column) -> Column:
+        spelled = lambda w: F.array(
+            F.concat(F.when(w == F.upper(w), "A").otherwise("T"), F.lower(w)), F.concat(F.when(w.rlike("^[HS]"), "T").otherwise("l"), F.lower(w))
+        )
+
+        def every_pass(kinds: Column) -> Column:
+            out = value
+            for (_, rules), (words, _, _) in zip(pronoun_passes(), fixed.PRONOUN_RULES, strict=True):
+                out = one_pass(out, rules, words, kinds)
+            return out
+
+        return F.when(F.size(found) > 0, bind(F.flatten(F.transform(found, spelled)), every_pass)).otherwise(value)
+
+    return bind(text, lambda t: bind(F.array_distinct(F.regexp_extract_all(t, F.lit(listed), F.lit(0))), lambda found: run(t, found)))
 
 
 # The characters that a date of each pattern can open with.
@@ -248,10 +263,15 @@ DATE_STARTS = ["JFMASOND", "0-9", "12", "0-9", "F", "12"]
 
 
 def _mark_dates(text: Column) -> Column:
-    out = text
-    for pattern, first in zip(fixed.DATE_PATTERNS, DATE_STARTS, strict=True):
-        out = F.regexp_replace(out, opens(first) + jvm(pattern), MARKS["dates"])
-    return out
+    month, *parted, financial, year = [opens(f) + jvm(p) for p, f in zip(fixed.DATE_PATTERNS, DATE_STARTS, strict=True)]
+
+    def each(value: Column, *patterns: str) -> Column:
+        return reduce(lambda out, p: F.regexp_replace(out, p, MARKS["dates"]), patterns, value)
+
+    # Digits on both sides of a slash, full stop or hyphen; the letters of a financial year.
+    out = bind(each(text, month), lambda t: F.when(t.rlike("[/.-](?<=[0-9].)(?=[0-9])"), each(t, *parted)).otherwise(t))
+    out = bind(out, lambda t: F.when(F.contains(t, F.lit("FY")), each(t, financial)).otherwise(t))
+    return each(out, year)
 
 
 def mark_identity(texts: Column, terms: Column) -> Column:
@@ -263,15 +283,10 @@ def mark_identity(texts: Column, terms: Column) -> Column:
     out = F.transform(texts, lambda t: _mark_terms(t, terms))
     titles = opens("MSD") + jvm(r"\b(?:Mr|Mrs|Ms|Miss|Mx|Shri|Smt|Dr)\b")
     out = F.transform(out, lambda t: F.when(t.rlike(titles), _mark_honorifics(t)).otherwise(t))
-    pronouns = opens("HhSs") + jvm(fixed.LEAK_GENDERED_PATTERN, True)
-    out = F.transform(out, lambda t: F.when(t.rlike(pronouns), _mark_pronouns(t)).otherwise(t))
+    out = F.transform(out, _mark_pronouns)
     return F.transform(out, lambda t: F.when(t.rlike("[0-9]{2}"), _mark_dates(t)).otherwise(t))
 
 
-def _replaced_where(text: Column, has_work: Callable[[Column], Column], pattern: str, by: str) -> Column:
-    return bind(text, lambda t: F.when(has_work(t), F.regexp_replace(t, pattern, by)).otherwise(t))
-
-
 # Letters (in lower case) of which one stands in whatever an academic pattern matches.
 ACADEMIC_LETTERS = [["gpa", "cpi"], ["%"], ["medal"], ["university "], ["class", "division", "dean", "laude"], ["air", "rank"]]
 
